@@ -499,7 +499,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = single.where("copied is null").select("doc_id", "text")
     shared = distinct.mapInArrow(_emit_anchors(n), _FLOW_DDL).repartition(n, "bucket", "doc").mapInArrow(_shared_anchors, _FLOW_DDL)
     lists = shared.groupBy("doc").agg(F.collect_list("a").alias("lists")).withColumnRenamed("doc", "doc_id")
-    contexts = distinct.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "lists").mapInArrow(_emit_contexts(n), _FLOW_DDL)
+    # A left join: an inner one would push a null check below the exchange, which then couldn't be reused.
+    contexts = distinct.join(lists.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "lists").mapInArrow(_emit_contexts(n), _FLOW_DDL)
     marked = contexts.repartition(n, "bucket", "doc").mapInArrow(_sort_contexts, _FLOW_DDL)
     marks = marked.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("marks")).withColumnRenamed("doc", "doc_id")
     rows = single.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copied", "marks")
