@@ -40,7 +40,7 @@ CONTEXT = 2 * (LENGTH - GRAM) + GRAM
 #: Bytes that multikey quicksort looks at before the blind tries take over.
 SHALLOW = 32
 #: Bytes of text after which a task emits what it has gathered.
-FLUSH = 24 << 20
+FLUSH = 16 << 20
 #: Windows that are sorted at once.
 SORT_AT_ONCE = 400_000
 
@@ -201,8 +201,8 @@ def _windows(hashes: np.ndarray, least: np.ndarray, at: np.ndarray) -> tuple[np.
     return low, high
 
 
-_FLOW = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-_FLOW_DDL = "bucket int, doc long, a binary, b binary, c binary, d binary"
+_FLOW = pa.schema([("bucket", pa.int32()), ("dest", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+_FLOW_DDL = "bucket int, dest int, a binary, b binary, c binary, d binary"
 
 
 def _flow(rows: list[tuple]) -> pa.RecordBatch:
@@ -232,7 +232,7 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[np.nd
 
 
 def _emit_anchors(buckets: int):
-    """Documents to anchor records by bucket, and by document the hashes known to be shared (a: hashes)."""
+    """Documents to anchor records by bucket, and by destination the hashes known to be shared."""
 
     def run(batches):
         for held in _flushes(batches):
@@ -250,7 +250,7 @@ def _emit_anchors(buckets: int):
             runs = _runs(h)
             sizes = np.diff(runs)
             known = np.repeat(sizes > 1, sizes)
-            rows = _by_document(d[known], h[known])
+            rows = _destinations(d[known], buckets, _narrow(h[known]))
             # One record for each hash: its document, or -1 if this flush has answered it.
             first = runs[:-1]
             h, d = h[first], np.where(sizes > 1, -1, d[first])
@@ -284,15 +284,48 @@ def _widen(b: bytes) -> np.ndarray:
 _LOW6 = np.uint64((1 << 48) - 1)
 
 
-def _by_document(docs: np.ndarray, hashes: np.ndarray) -> list[tuple]:
+def _destinations(docs: np.ndarray, dests: int, *columns: np.ndarray) -> list[tuple]:
+    """Values of documents as rows (dest, documents, their numbers of values, values): one for each destination.
+
+    A row for each document would make documents times buckets of them.
+    """
+    dest = (_vec.mix(docs.astype(np.uint64)) % np.uint64(dests)).astype(np.int64)
+    by = np.lexsort((docs, dest))
+    dest, docs, columns = dest[by], docs[by], [c[by] for c in columns]
+    rows = []
+    cut = _runs(dest)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        own = _runs(docs[a:b])
+        rows.append((None, int(dest[a]), _vec.pack(docs[a:b][own[:-1]]), _vec.pack(np.diff(own).astype(np.uint32)), *[_vec.pack(c[a:b]) for c in columns], *[None] * (2 - len(columns))))
+    return rows
+
+
+def _to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of destinations to one row for each document: (doc_id, a, b) with all its values."""
+    docs, values, width = [], [[], []], [6, None]
+    for batch in batches:
+        for row in batch.to_pylist():
+            count = np.frombuffer(row["b"], np.uint32)
+            docs.append(np.repeat(np.frombuffer(row["a"], np.int64), count))
+            for k, name in enumerate("cd"):
+                if row[name] is not None:
+                    width[k] = len(row[name]) // int(count.sum())
+                    values[k].append(np.frombuffer(row[name], np.uint8).reshape(-1, width[k]))
+    if not docs:
+        return
+    docs = np.concatenate(docs)
     by = np.argsort(docs, kind="stable")
-    docs, hashes = docs[by], hashes[by]
+    docs = docs[by]
+    columns = [np.concatenate(v)[by] if v else None for v in values]
     cut = _runs(docs)
-    return [(None, int(docs[a]), _vec.pack(_narrow(hashes[a:b])), None, None, None) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    for at in range(0, len(cut) - 1, 5000):
+        spans = list(zip(cut[at : at + 5000], cut[at + 1 : at + 5001], strict=False))
+        arrays = [pa.array([None if c is None else _vec.pack(c[a:b]) for a, b in spans], pa.binary()) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array([int(docs[a]) for a, _ in spans], pa.int64()), *arrays], ["doc_id", "a", "b"])
 
 
 def _held_by_bucket(batches, use) -> Iterator[pa.RecordBatch]:
-    """Pass rows that have a document through; hand each bucket's other rows to ``use``."""
+    """Pass rows that have a destination through; hand each bucket's other rows to ``use``."""
     held: dict[int, list] = {}
     for batch in batches:
         done = batch.filter(batch.column(0).is_null())
@@ -306,7 +339,7 @@ def _held_by_bucket(batches, use) -> Iterator[pa.RecordBatch]:
                 yield _flow(rows[a : a + 20_000])
 
 
-def _shared_anchors(batches):
+def _shared_anchors(buckets: int):
     def use(rows):
         h = np.concatenate([_widen(r["a"]) for r in rows])
         d = np.concatenate([np.repeat(np.frombuffer(r["b"], np.int64), np.frombuffer(r["c"], np.uint32)) for r in rows])
@@ -314,9 +347,9 @@ def _shared_anchors(batches):
         h, d = h[by], d[by]
         sizes = np.diff(_runs(h))
         shared = np.repeat(sizes > 1, sizes) & (d >= 0)
-        return _by_document(d[shared], h[shared])
+        return _destinations(d[shared], buckets, _narrow(h[shared]))
 
-    yield from _held_by_bucket(batches, use)
+    return lambda batches: _held_by_bucket(batches, use)
 
 
 def _emit_contexts(buckets: int):
@@ -335,7 +368,7 @@ def _emit_contexts(buckets: int):
                 small = hashes[at] & _LOW6
                 for i, packs in enumerate(lists):
                     if packs:
-                        keep[cut[i] : cut[i + 1]] = np.isin(small[cut[i] : cut[i + 1]], np.concatenate([_widen(p) for p in packs]))
+                        keep[cut[i] : cut[i + 1]] = np.isin(small[cut[i] : cut[i + 1]], _widen(packs))
                 at, text = at[keep], text[keep]
                 if not len(at):
                     continue
@@ -353,7 +386,8 @@ def _emit_contexts(buckets: int):
             if not hs:
                 continue
             h, d, pos, low, high, ctx = map(np.concatenate, (hs, docs, poss, lows, highs, ctxs))
-            first, rows = _merge(h, d, pos, low, high, ctx)
+            first, marks = _merge(h, d, pos, low, high, ctx)
+            rows = _marks(buckets, *marks)
             bucket = (h[first] >> np.uint64(32)) % np.uint64(buckets)
             by = first[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket, kind="stable")
@@ -366,8 +400,8 @@ def _emit_contexts(buckets: int):
     return run
 
 
-def _merge(h, d, pos, low, high, ctx) -> tuple[np.ndarray, list[tuple]]:
-    """Merge equal contexts: places of the smallest document of each, and marks for the others."""
+def _merge(h, d, pos, low, high, ctx) -> tuple[np.ndarray, tuple]:
+    """Merge equal contexts: places of the smallest document of each, and (documents, begins, ends) covered in the others."""
     whole = np.ascontiguousarray(np.concatenate((ctx, low[:, None].astype(np.uint8), high[:, None].astype(np.uint8)), axis=1))
     key = _vec.mix(h.copy())
     for a in range(0, whole.shape[1], 8):
@@ -382,19 +416,21 @@ def _merge(h, d, pos, low, high, ctx) -> tuple[np.ndarray, list[tuple]]:
     later = d[by] > d[lead]
     own = by[later]
     # A document's other places with its own first context still take part.
-    return by[~later], _marks(d[own], pos[own] - low[own], pos[own] - high[own] + LENGTH)
+    return by[~later], (d[own], pos[own] - low[own], pos[own] - high[own] + LENGTH)
 
 
-def _marks(docs: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple]:
-    """A row for each document with the covered ranges, merged."""
+def _marks(dests: int, docs: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple]:
+    """The covered ranges of documents, merged, as rows of destinations."""
     by = np.lexsort((begins, docs))
     docs, begins, ends = docs[by], begins[by], ends[by]
-    rows = []
-    cut = _runs(docs)
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        begin, end = _union(begins[a:b], ends[a:b])
-        rows.append((None, int(docs[a]), _vec.pack(begin), _vec.pack(end), None, None))
-    return rows
+    if len(docs):
+        # Far enough apart, ranges of different documents can be merged in one go.
+        step = int(ends.max()) + 1
+        shift = np.cumsum(np.concatenate(([0], docs[1:] != docs[:-1]))) * step
+        begins, ends = _union(begins + shift, ends + shift)
+        docs, which = docs[np.searchsorted(shift, begins // step * step)], begins // step * step
+        begins, ends = begins - which, ends - which
+    return _destinations(docs, dests, begins.astype(np.uint32)[:, None], ends.astype(np.uint32)[:, None])
 
 
 def _union(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -408,13 +444,14 @@ def _union(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begins[first], reach[np.append(first[1:] - 1, len(begins) - 1)]
 
 
-def _sort_contexts(batches):
+def _sort_contexts(buckets: int):
     def use(rows):
         h = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
         ctx = np.concatenate([np.frombuffer(r["b"], np.uint8).reshape(-1, CONTEXT) for r in rows])
         d, pos = np.concatenate([np.frombuffer(r["c"], np.int64).reshape(2, -1) for r in rows], axis=1)
         low, high = np.concatenate([np.frombuffer(r["d"], np.uint8).reshape(2, -1) for r in rows], axis=1).astype(np.int64)
-        first, out = _merge(h, d, pos, low, high, ctx)
+        first, marks = _merge(h, d, pos, low, high, ctx)
+        out = [marks]
         by = first[np.argsort(h[first], kind="stable")]
         sizes = np.diff(_runs(h[by]))
         by = by[np.repeat(sizes > 1, sizes)]
@@ -425,15 +462,15 @@ def _sort_contexts(batches):
         while a < len(cut) - 1:
             b = max(a + 1, int(np.searchsorted(total[cut], total[cut[a]] + SORT_AT_ONCE, "right")) - 1)
             span = slice(cut[a], cut[b])
-            out += _sort_windows(h[span], ctx[span], d[span], pos[span], low[span], high[span])
+            out.append(_sort_windows(h[span], ctx[span], d[span], pos[span], low[span], high[span]))
             a = b
-        return out
+        return _marks(buckets, *map(np.concatenate, zip(*out, strict=True)))
 
-    yield from _held_by_bucket(batches, use)
+    return lambda batches: _held_by_bucket(batches, use)
 
 
-def _sort_windows(h, ctx, d, pos, low, high) -> list[tuple]:
-    """Marks of the windows of these contexts that a smaller document has too."""
+def _sort_windows(h, ctx, d, pos, low, high) -> tuple:
+    """(documents, begins, ends) of the windows of these contexts that a smaller document has too."""
     count = low - high + 1
     row = np.repeat(np.arange(len(h)), count)
     back = _vec.gather(high, count)
@@ -444,7 +481,7 @@ def _sort_windows(h, ctx, d, pos, low, high) -> list[tuple]:
     least = np.minimum.reduceat(d[row[order]], first)[number] if len(number) else number
     covered = order[d[row[order]] > least]
     begin = pos[row[covered]] - back[covered]
-    return _marks(d[row[covered]], begin, begin + LENGTH)
+    return d[row[covered]], begin, begin + LENGTH
 
 
 def _cut(with_text: bool):
@@ -468,8 +505,7 @@ def _cut_batch(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
         if copied[i] and len(text) >= LENGTH:
             begins, ends = np.array([0]), np.array([len(text)])
         elif marks[i]:
-            begins = np.concatenate([np.frombuffer(m["a"], np.int64) for m in marks[i]])
-            ends = np.concatenate([np.frombuffer(m["b"], np.int64) for m in marks[i]])
+            begins, ends = (np.frombuffer(marks[i][c], np.uint32).astype(np.int64) for c in "ab")
             by = np.argsort(begins, kind="stable")
             begins, ends = _union(begins[by], ends[by])
         gone = np.zeros(len(text) + 1, np.int8)
@@ -497,12 +533,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = docs.repartition(n, "doc_id")
     single = dealt.join(copies.hint("shuffle_hash"), "doc_id", "left")
     distinct = single.where("copied is null").select("doc_id", "text")
-    shared = distinct.mapInArrow(_emit_anchors(n), _FLOW_DDL).repartition(n, "bucket", "doc").mapInArrow(_shared_anchors, _FLOW_DDL)
-    lists = shared.groupBy("doc").agg(F.collect_list("a").alias("lists")).withColumnRenamed("doc", "doc_id")
+    by_doc = "doc_id long, a binary, b binary"
+    shared = distinct.mapInArrow(_emit_anchors(n), _FLOW_DDL).repartition(n, "bucket", "dest").mapInArrow(_shared_anchors(n), _FLOW_DDL)
+    lists = shared.repartition(n, "dest").mapInArrow(_to_documents, by_doc).select("doc_id", F.col("a").alias("lists"))
     # A left join: an inner one would push a null check below the exchange, which then couldn't be reused.
     contexts = distinct.join(lists.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "lists").mapInArrow(_emit_contexts(n), _FLOW_DDL)
-    marked = contexts.repartition(n, "bucket", "doc").mapInArrow(_sort_contexts, _FLOW_DDL)
-    marks = marked.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("marks")).withColumnRenamed("doc", "doc_id")
+    marked = contexts.repartition(n, "bucket", "dest").mapInArrow(_sort_contexts(n), _FLOW_DDL)
+    marks = marked.repartition(n, "dest").mapInArrow(_to_documents, by_doc).select("doc_id", F.struct("a", "b").alias("marks"))
     rows = single.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copied", "marks")
     last = "text string" if with_text else "kept binary"
     return rows.mapInArrow(_cut(with_text), f"doc_id long, n_bytes long, begins array<long>, ends array<long>, {last}")
