@@ -9,11 +9,12 @@ Documents whose sets have a Jaccard similarity of at least ``percent`` / 100 are
    high bits decide).  Sixteen bits of each are the signature; ROWS of them are a band's key.
 3. Classes that share a band are linked to the smallest of the bucket if the signature allows
    it and the full sets confirm it.  Then the classes of a bucket that are not yet in its
-   largest component are compared with the others, in blocks, first by signature.
+   largest component are compared with some members of that, and what is left with all others,
+   in blocks, by signature and then by full sets.
 4. Connected components by alternating large-star and small-star.
 
 At a similarity of 0.85 a pair shares no band with probability 2e-8, at 0.80 with 3e-6.  No bucket is capped;
-a bucket's pairs are never emitted, only those that pass the signature test.
+a bucket's pairs are never emitted, only links that connect components.
 
 Null and empty texts have an empty set and are linked with nothing.
 """
@@ -35,6 +36,8 @@ BANDS, ROWS = 24, 4
 SLACK = 5.0
 #: Members of a bucket that one block holds, about.
 BLOCK = 512
+#: Members of a bucket's main component with which the others are compared first.
+PIVOTS = 4
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 _A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,10 +94,18 @@ def _sketch(words: int):
     return run
 
 
-def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether signatures (..., BANDS * ROWS) allow a similarity of percent / 100."""
+def _enough(share: np.ndarray, percent: int) -> np.ndarray:
+    """Whether so many equal minima allow a similarity of percent / 100."""
     s, n = percent / 100, BANDS * ROWS
-    return (x == y).sum(-1) >= n * s - SLACK * np.sqrt(n * s * (1 - s))
+    return share >= n * s - SLACK * np.sqrt(n * s * (1 - s))
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have a similarity of percent / 100."""
+    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _confirm(words: int, percent: int):
@@ -111,31 +122,50 @@ def _confirm(words: int, percent: int):
                     b += 1
                 (sx, ox), (sy, oy) = (shingle_sets(_vec.Texts(t.buf[t.off[a] : t.off[b]], t.off[a : b + 1] - t.off[a]), words) for t in (left, right))
                 for i in range(b - a):
-                    x, y = sx[ox[i] : ox[i + 1]], sy[oy[i] : oy[i + 1]]
-                    if len(x) and len(y) and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                        both = len(x) + len(y) - len(np.union1d(x, y))
-                        keep[a + i] = 100 * both >= percent * (len(x) + len(y) - both)
+                    keep[a + i] = _linked(sx[ox[i] : ox[i + 1]], sy[oy[i] : oy[i + 1]], percent)
                 a = b
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
 
-def _across(percent: int):
-    """Blocks (odd ids, their components and signatures; all ids, components and signatures) to pairs that may be alike."""
+def _across(words: int, percent: int):
+    """Blocks (band, odd, members) to links between components; odd and members: (rep, comp, sig, text).
+
+    Only pairs of different components are compared, in the first band that they share, by
+    signature and then by their full sets.  A confirmed pair makes one component of two, so a
+    block yields fewer links than it has components, whatever the number of its pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, comps = (np.array([m[k] for m in row["members"]], np.int64) for k in ("rep", "comp"))
-                sigs = np.frombuffer(b"".join(m["sig"] for m in row["members"]), np.uint16).reshape(len(ids), -1)
-                xs, ys = [], []
-                for m in row["odd"]:
-                    near = np.flatnonzero((comps != m["comp"]) & _alike(sigs, np.frombuffer(m["sig"], np.uint16), percent))
-                    xs += [m["rep"]] * len(near)
-                    ys.append(ids[near])
-                y = np.concatenate(ys) if ys else np.zeros(0, np.int64)
-                x = np.array(xs, np.int64)
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
+                band, odd, members = row["band"], row["odd"], row["members"]
+                place = {m["rep"]: i for i, m in enumerate(members)}
+                every = members + [m for m in odd if m["rep"] not in place]
+                place |= {m["rep"]: i for i, m in enumerate(every)}
+                label = np.array([m["comp"] for m in every], np.int64)
+                sigs = np.frombuffer(b"".join(m["sig"] for m in every), np.uint16).reshape(len(every), -1)
+                sets: dict[int, np.ndarray] = {}
+
+                def shingles(i: int, every=every, sets=sets) -> np.ndarray:
+                    if i not in sets:
+                        sets[i] = shingle_sets(_vec.strings(pa.array([every[i]["text"]], pa.string())), words)[0]
+                    return sets[i]
+
+                links = []
+                for m in odd:
+                    i = place[m["rep"]]
+                    same = sigs[: len(members)] == sigs[i]
+                    earlier = same[:, : band * ROWS].reshape(len(members), band, ROWS).all(-1).any(-1) if band else np.zeros(len(members), bool)
+                    share = same.sum(-1)
+                    near = np.flatnonzero(_enough(share, percent) & ~earlier & (label[: len(members)] != label[i]))
+                    for j in near[np.argsort(-share[near], kind="stable")].tolist():
+                        if label[i] != label[j] and _linked(shingles(i), shingles(j), percent):
+                            label[label == label[j]] = label[i]
+                            links.append((every[i]["rep"], every[j]["rep"]))
+                x, y = (np.array([e[c] for e in links], np.int64) for c in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
 
     return run
@@ -179,33 +209,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(sketch.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")))
     reps = sketch.select(F.col("doc_id").alias("rep"), "sig").join(classes.select("rep"), "rep", "left_semi")
 
-    bands = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.col("sig").substr(i * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "part")).select("rep", F.xxhash64("band", "part").alias("bucket"))
+    bands = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.col("sig").substr(i * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "part")).select("rep", "band", F.xxhash64("band", "part").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     members = written(bands.join(shared, "bucket"))
-    texts = written(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").repartition(n, "doc_id"))
-    sigs = sketch.select(F.col("doc_id").alias("rep"), "sig")
+    texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").join(sketch.select("doc_id", "sig"), "doc_id")
+    texts = written(texts.select(F.col("doc_id").alias("rep"), "text", "sig").repartition(n, "rep"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(texts.toDF("x", "text_x"), "x").join(texts.toDF("y", "text_y"), "y")
-        return pairs.select("x", "y", "text_x", "text_y").mapInArrow(_confirm(words, percent), "x long, y long")
-
-    stars = members.where("rep <> pivot").select(F.col("pivot").alias("x"), F.col("rep").alias("y"))
-    edges = written(confirmed(stars))
-    comps = written(components(edges))
-
-    # Buckets of three or more whose members are not all connected yet.
-    placed = members.where("n > 2").select("bucket", "rep", "n").join(comps.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main")).where("parts > 1").drop("parts")
-    open_ = written(placed.join(main, "bucket").join(sigs, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))))
-    if open_.isEmpty():
-        links = comps
-    else:
-        member = F.struct("rep", "comp", "sig")
-        all_blocks = open_.groupBy("bucket", "block").agg(F.collect_list(member).alias("members"))
-        odd_blocks = open_.where("comp <> main").groupBy("bucket", "block").agg(F.collect_list(member).alias("odd")).drop("block")
-        pairs = odd_blocks.join(all_blocks, "bucket").select("odd", "members").mapInArrow(_across(percent), "x long, y long")
-        more = confirmed(pairs)
+        x, y = (texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}")) for c in "xy")
+        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        return pairs.join(x, "x").join(y, "y").select("x", "y", "text_x", "text_y").mapInArrow(_confirm(words, percent), "x long, y long")
+
+    def open_buckets(comps: DataFrame) -> DataFrame:
+        """The members of buckets of three or more that are not all connected, with their and the bucket's main component."""
+        placed = members.where("n > 2").select("bucket", "band", "rep", "n").join(comps.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+        main = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main")).where("parts > 1").drop("parts")
+        return written(placed.join(main, "bucket"))
+
+    edges = written(confirmed(members.select(F.col("pivot").alias("x"), F.col("rep").alias("y"))))
+    links = written(components(edges))
+    still = open_buckets(links)
+    if not still.isEmpty():
+        # More pivots out of the main component connect most of the others.
+        own = still.where("comp = main").groupBy("bucket").agg(*[F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+        tries = still.where("comp <> main").join(own, "bucket").select(F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("x"), F.col("rep").alias("y"))
+        edges = written(edges.union(confirmed(tries)))
+        links = written(components(edges))
+        still = open_buckets(links)
+    if not still.isEmpty():
+        # The rest, exhaustively: what is not in the main component against all others, in blocks.
+        still = still.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))).join(texts, "rep")
+        member = F.struct("rep", "comp", "sig", "text")
+        blocks = still.groupBy("bucket", "band", "block").agg(F.collect_list(member).alias("members")).drop("block")
+        odd = still.where("comp <> main").groupBy("bucket", "block").agg(F.collect_list(member).alias("odd")).drop("block")
+        more = odd.join(blocks, "bucket").select("band", "odd", "members").mapInArrow(_across(words, percent), "x long, y long")
         links = written(components(edges.union(more)))
 
     out = sketch.select("doc_id", *keys).join(classes, keys, "left").join(links.toDF("rep", "comp"), "rep", "left")
