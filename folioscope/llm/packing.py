@@ -13,6 +13,7 @@ sequences are numbered from its task's partition, so a task that runs again give
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from . import _vec
 WINDOW = 4096
 SHARD_BYTES = 8 << 20
 K1, B = 1.2, 0.75
-#: Words that a task's cache of token ids may hold before it starts anew.
+#: Words that a worker's cache of token ids may hold before it starts anew.
 CACHE_WORDS = 2_000_000
 
 
@@ -117,6 +118,12 @@ class WordIds:
         return self.flat[0]
 
 
+@functools.lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """The cache of a Python worker, which runs many tasks."""
+    return WordIds(path)
+
+
 class Shard:
     """Documents with their ids and an inverted index."""
 
@@ -223,7 +230,7 @@ _COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset
 
 def _pack(path: str, end_id: int, window: int, shard_bytes: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sequences = WordIds(path), TaskContext.get().partitionId() << 32
+        words, sequences = _word_ids(path), TaskContext.get().partitionId() << 32
         kind = None
 
         def out(parts) -> Iterator[pa.RecordBatch]:
