@@ -10,6 +10,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Bytes that suffice for the header of every supported format.
 PROBE_BYTES = 64 * 1024
@@ -71,7 +72,7 @@ def jpeg(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<width:bigint,height:bigint>")
+@F.pandas_udf(StructType([StructField("width", LongType()), StructField("height", LongType())]))
 def _walked(data: pd.Series) -> pd.DataFrame:
     found = [(webp(d) or jpeg(d)) if d is not None else None for d in data]
     return pd.DataFrame({"width": [f[0] if f else None for f in found], "height": [f[1] if f else None for f in found]}, dtype="Int64")
