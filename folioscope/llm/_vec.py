@@ -6,13 +6,16 @@ polynomial over random byte values, so that the hash of any substring costs two
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are handled at once; keeps the 8-byte-per-byte arrays small.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,3 +138,21 @@ def gather(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def pack(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The same function of batches, which gives back a worker's freed memory when it ends.
+
+    A Python worker runs the tasks of many stages; without this it keeps the largest one's heap.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped

@@ -141,7 +141,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     found = []
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        found.append(rows.mapInArrow(_scan(Block(sorted((r.item_id, r.text) for r in own.collect()))), ddl))
+        found.append(rows.mapInArrow(_vec.tidy(_scan(Block(sorted((r.item_id, r.text) for r in own.collect())))), ddl))
     return reduce(DataFrame.unionAll, found)
 
 

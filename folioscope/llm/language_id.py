@@ -29,7 +29,7 @@ BUCKETS = 1 << 14
 DIM = 16
 EPOCHS = 6
 RATE = 2.0
-PER_CLASS = 1000
+PER_CLASS = 800
 REJECT_RATE = 0.001
 
 
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, per_class / sizes[k]))])
     drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20)
-    rows = known.where(drawn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_bags, "lang string, ids binary, shares binary").collect()
+    rows = known.where(drawn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_vec.tidy(_bags), "lang string, ids binary, shares binary").collect()
     index = {k: i for i, k in enumerate(languages)}
     bags = sorted((index[r.lang], bytes(r.ids), bytes(r.shares)) for r in rows)
     data = [(y, np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for y, i, s in bags]
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     if not model.languages:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.mapInArrow(_predict(model), f"doc_id {kind}, lang_pred string, score double")
+    found = rows.mapInArrow(_vec.tidy(_predict(model)), f"doc_id {kind}, lang_pred string, score double")
     return found.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < model.reject_below))
 
 
@@ -167,4 +167,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     if not model.languages:
         return docs.where(F.lit(False))
     flag = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("__lettered")
-    return docs.select("*", flag).mapInArrow(run, docs.schema)
+    return docs.select("*", flag).mapInArrow(_vec.tidy(run), docs.schema)

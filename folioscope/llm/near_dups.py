@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     n = partitions(docs)
-    sketch = written(docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, key1 long, key2 long, sig binary"))
+    sketch = written(docs.mapInArrow(_vec.tidy(_sketch(words)), "doc_id long, n_shingles long, key1 long, key2 long, sig binary"))
     keys = ["n_shingles", "key1", "key2"]
     classes = written(sketch.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")))
     reps = sketch.select(F.col("doc_id").alias("rep"), "sig").join(classes.select("rep"), "rep", "left_semi")
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirmed(pairs: DataFrame) -> DataFrame:
         x, y = (texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}")) for c in "xy")
         pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        return pairs.join(x, "x").join(y, "y").select("x", "y", "text_x", "text_y").mapInArrow(_confirm(words, percent), "x long, y long")
+        return pairs.join(x, "x").join(y, "y").select("x", "y", "text_x", "text_y").mapInArrow(_vec.tidy(_confirm(words, percent)), "x long, y long")
 
     def open_buckets(comps: DataFrame) -> DataFrame:
         """The members of buckets of three or more that are not all connected, with their and the bucket's main component."""
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         member = F.struct("rep", "comp", "sig", "text")
         blocks = still.groupBy("bucket", "band", "block").agg(F.collect_list(member).alias("members")).drop("block")
         odd = still.where("comp <> main").groupBy("bucket", "block").agg(F.collect_list(member).alias("odd")).drop("block")
-        more = odd.join(blocks, "bucket").select("band", "odd", "members").mapInArrow(_across(words, percent), "x long, y long")
+        more = odd.join(blocks, "bucket").select("band", "odd", "members").mapInArrow(_vec.tidy(_across(words, percent)), "x long, y long")
         links = written(components(edges.union(more)))
 
     out = sketch.select("doc_id", *keys).join(classes, keys, "left").join(links.toDF("rep", "comp"), "rep", "left")

@@ -30,7 +30,7 @@ WINDOW = 4096
 SHARD_BYTES = 8 << 20
 K1, B = 1.2, 0.75
 #: Words that a worker's cache of token ids may hold before it starts anew.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_200_000
 
 
 class WordIds:
@@ -267,4 +267,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
     kind = docs.schema[id_col].dataType.simpleString()
     ddl = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _COLUMNS) + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pack(tokenizer, end_id, window, shard_bytes, with_ids), ddl)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_vec.tidy(_pack(tokenizer, end_id, window, shard_bytes, with_ids)), ddl)

@@ -40,7 +40,7 @@ CONTEXT = 2 * (LENGTH - GRAM) + GRAM
 #: Bytes that multikey quicksort looks at before the blind tries take over.
 SHALLOW = 32
 #: Bytes of text after which a task emits what it has gathered.
-FLUSH = 16 << 20
+FLUSH = 8 << 20
 #: Windows that are sorted at once.
 SORT_AT_ONCE = 400_000
 
@@ -167,6 +167,7 @@ def _sliding(op, values: np.ndarray, width: int) -> np.ndarray:
 
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def anchors(texts: _vec.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -402,16 +403,14 @@ def _emit_contexts(buckets: int):
 
 def _merge(h, d, pos, low, high, ctx) -> tuple[np.ndarray, tuple]:
     """Merge equal contexts: places of the smallest document of each, and (documents, begins, ends) covered in the others."""
-    whole = np.ascontiguousarray(np.concatenate((ctx, low[:, None].astype(np.uint8), high[:, None].astype(np.uint8)), axis=1))
-    key = _vec.mix(h.copy())
-    for a in range(0, whole.shape[1], 8):
-        part = np.zeros((len(whole), 8), np.uint8)
-        part[:, : whole.shape[1] - a] = whole[:, a : a + 8]
-        key = _vec.mix(key + part.view("<u8").reshape(-1) * np.uint64(0x9E3779B97F4A7C15))
-    by = np.lexsort((pos, d, key))
-    key = key[by]
+    # Two 64-bit hashes of a context and its range, eight bytes at a time.
+    keys = [_vec.mix(h + salt + (low * SPAN + high).astype(np.uint64)) for salt in (np.uint64(1), np.uint64(2))]
+    for a in range(0, CONTEXT, 8):
+        part = np.ascontiguousarray(ctx[:, a : a + 8]).view("<u8").reshape(-1)
+        keys = [_vec.mix(k + part * m) for k, m in zip(keys, _MULTIPLIERS, strict=True)]
+    by = np.lexsort((pos, d, keys[1], keys[0]))
     fresh = np.ones(len(by), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (whole[by][1:] != whole[by][:-1]).any(axis=1)
+    fresh[1:] = (np.diff(keys[0][by]) != 0) | (np.diff(keys[1][by]) != 0)
     lead = by[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
     later = d[by] > d[lead]
     own = by[later]
@@ -484,47 +483,57 @@ def _sort_windows(h, ctx, d, pos, low, high) -> tuple:
     return d[row[covered]], begin, begin + LENGTH
 
 
-def _cut(with_text: bool):
-    """Rows (doc_id, text, copied, marks) to (doc_id, n_bytes, begins, ends, kept or text)."""
+def _covered(text: np.ndarray, copied: bool | None, marks: dict | None) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal ranges of a text that go."""
+    if copied and len(text) >= LENGTH:
+        return np.array([0]), np.array([len(text)])
+    if not marks:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins, ends = (np.frombuffer(marks[c], np.uint32).astype(np.int64) for c in "ab")
+    by = np.argsort(begins, kind="stable")
+    return _union(begins[by], ends[by])
 
-    def run(batches):
-        for batch in batches:
-            yield _cut_batch(batch, with_text)
 
-    return run
+def _gone(size: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    steps = np.zeros(size + 1, np.int8)
+    steps[begins] += 1
+    steps[ends] -= 1
+    return np.cumsum(steps[:-1]) > 0
 
 
-def _cut_batch(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
-    ids = batch.column(0)
-    texts = _vec.strings(batch.column(1))
-    copied, marks = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-    out = {"n": [], "begins": [], "ends": [], "kept": []}
-    for i in range(len(texts)):
-        text = texts.buf[texts.off[i] : texts.off[i + 1]]
-        begins, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if copied[i] and len(text) >= LENGTH:
-            begins, ends = np.array([0]), np.array([len(text)])
-        elif marks[i]:
-            begins, ends = (np.frombuffer(marks[i][c], np.uint32).astype(np.int64) for c in "ab")
-            by = np.argsort(begins, kind="stable")
-            begins, ends = _union(begins[by], ends[by])
-        gone = np.zeros(len(text) + 1, np.int8)
-        gone[begins] += 1
-        gone[ends] -= 1
-        out["n"].append(len(text))
-        out["begins"].append(begins.tolist())
-        out["ends"].append(ends.tolist())
-        if not with_text:
-            out["kept"].append(text[np.cumsum(gone[:-1]) == 0].tobytes())
-    spans = pa.list_(pa.int64())
-    last = batch.column(1) if with_text else pa.array(out["kept"], pa.binary())
-    return pa.RecordBatch.from_arrays([ids, pa.array(out["n"], pa.int64()), pa.array(out["begins"], spans), pa.array(out["ends"], spans), last], ["doc_id", "n_bytes", "begins", "ends", "text" if with_text else "kept"])
-
-
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, begins and ends of the removed byte ranges, and kept (binary) or text."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, copied, marks) to (doc_id, n_bytes, begins, ends, kept)."""
+    for batch in batches:
+        texts = _vec.strings(batch.column(1))
+        out: dict = {"n": [], "begins": [], "ends": [], "kept": []}
+        for i, (copied, marks) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            text = texts.buf[texts.off[i] : texts.off[i + 1]]
+            begins, ends = _covered(text, copied, marks)
+            out["n"].append(len(text))
+            out["begins"].append(begins.tolist())
+            out["ends"].append(ends.tolist())
+            out["kept"].append(text[~_gone(len(text), begins, ends)].tobytes())
+        spans = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["begins"], spans), pa.array(out["ends"], spans), pa.array(out["kept"], pa.binary())], ["doc_id", "n_bytes", "begins", "ends", "kept"])
+
+
+def _cut_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, copied, marks) to (doc_id, text), characters kept or removed as a whole."""
+    for batch in batches:
+        texts, out = _vec.strings(batch.column(1)), []
+        for i, (copied, marks) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            text = texts.buf[texts.off[i] : texts.off[i + 1]]
+            # Continuation bytes follow the byte that begins their character.
+            lead = np.flatnonzero((text & 0xC0) != 0x80)
+            gone = _gone(len(text), *_covered(text, copied, marks))
+            out.append(text[np.repeat(~gone[lead], np.diff(np.append(lead, len(text))))].tobytes().decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+
+
+def _with_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, copied, marks): what of each document goes."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = partitions(docs)
+    n = partitions(docs, mb=8)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     prints = docs.select("doc_id", digest.alias("print"))
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -534,17 +543,19 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     single = dealt.join(copies.hint("shuffle_hash"), "doc_id", "left")
     distinct = single.where("copied is null").select("doc_id", "text")
     by_doc = "doc_id long, a binary, b binary"
-    shared = distinct.mapInArrow(_emit_anchors(n), _FLOW_DDL).repartition(n, "bucket", "dest").mapInArrow(_shared_anchors(n), _FLOW_DDL)
-    lists = shared.repartition(n, "dest").mapInArrow(_to_documents, by_doc).select("doc_id", F.col("a").alias("lists"))
+    shared = distinct.mapInArrow(_vec.tidy(_emit_anchors(n)), _FLOW_DDL).repartition(n, "bucket", "dest").mapInArrow(_vec.tidy(_shared_anchors(n)), _FLOW_DDL)
+    lists = shared.repartition(n, "dest").mapInArrow(_vec.tidy(_to_documents), by_doc).select("doc_id", F.col("a").alias("lists"))
     # A left join: an inner one would push a null check below the exchange, which then couldn't be reused.
-    contexts = distinct.join(lists.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "lists").mapInArrow(_emit_contexts(n), _FLOW_DDL)
-    marked = contexts.repartition(n, "bucket", "dest").mapInArrow(_sort_contexts(n), _FLOW_DDL)
-    marks = marked.repartition(n, "dest").mapInArrow(_to_documents, by_doc).select("doc_id", F.struct("a", "b").alias("marks"))
-    rows = single.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copied", "marks")
-    last = "text string" if with_text else "kept binary"
-    return rows.mapInArrow(_cut(with_text), f"doc_id long, n_bytes long, begins array<long>, ends array<long>, {last}")
+    contexts = distinct.join(lists.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "lists").mapInArrow(_vec.tidy(_emit_contexts(n)), _FLOW_DDL)
+    marked = contexts.repartition(n, "bucket", "dest").mapInArrow(_vec.tidy(_sort_contexts(n)), _FLOW_DDL)
+    marks = marked.repartition(n, "dest").mapInArrow(_vec.tidy(_to_documents), by_doc).select("doc_id", F.struct("a", "b").alias("marks"))
+    return single.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copied", "marks")
 
 
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: doc_id, n_bytes, begins and ends of the removed byte ranges, and kept (binary)."""
+    ddl = "doc_id long, n_bytes long, begins array<long>, ends array<long>, kept binary"
+    return _with_marks(docs, id_col, text_col).mapInArrow(_vec.tidy(_cut), ddl)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -552,20 +563,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Of a character that a range cuts, its first byte decides: it stays or goes as a whole.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, begins, ends in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                gone = np.zeros(len(data) + 1, np.int8)
-                gone[begins] += 1
-                gone[ends] -= 1
-                # Continuation bytes follow the byte that begins their character.
-                lead = np.flatnonzero((data & 0xC0) != 0x80)
-                keep = np.repeat(np.cumsum(gone)[lead] == 0, np.diff(np.append(lead, len(data))))
-                out.append(data[keep].tobytes().decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    rows = repeated_bytes(docs, id_col, text_col, with_text=True)
-    return rows.select("doc_id", "text", "begins", "ends").mapInArrow(run, "doc_id long, text string")
+    return _with_marks(docs, id_col, text_col).mapInArrow(_vec.tidy(_cut_characters), "doc_id long, text string")

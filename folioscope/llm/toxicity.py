@@ -180,14 +180,14 @@ def fit(labelled: DataFrame, calibrate: Column, id_col: str = "doc_id", text_col
     flat.offset = float(np.log((total[1] + 0.5) / (total[0] + 0.5)))
     if not total[0] or not total[1]:
         return flat
-    counts = rows.where("not apart").select("text", "toxic").mapInArrow(_count, "n int, place int, suffix int, context int, toxic long, ordinary long")
+    counts = rows.where("not apart").select("text", "toxic").mapInArrow(_vec.tidy(_count), "n int, place int, suffix int, context int, toxic long, ordinary long")
     table = counts.groupBy("n", "place").agg(F.min("suffix").alias("suffix"), F.min("context").alias("context"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
     columns = {c: table.column(c).to_numpy() for c in table.column_names}
     by_order = {n: {c: v[columns["n"] == n] for c, v in columns.items()} for n in range(1, ORDER + 1)}
     gram, context = _ratios(by_order)
     apart = sum(r["count"] for r in sizes if r.apart)
     drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(min(1.0, CALIBRATE / max(1, apart)) * (1 << 20)))
-    found = rows.where("apart").where(drawn).select("toxic", "text").mapInArrow(_log_ratios(gram, context), "toxic int, ratio double").collect()
+    found = rows.where("apart").where(drawn).select("toxic", "text").mapInArrow(_vec.tidy(_log_ratios(gram, context)), "toxic int, ratio double").collect()
     y, x = np.array([r.toxic for r in found], float), np.array([r.ratio for r in found])
     if not len(y) or y.min() == y.max():
         return flat
@@ -197,6 +197,6 @@ def fit(labelled: DataFrame, calibrate: Column, id_col: str = "doc_id", text_col
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score from 0 to 1 and predicted for each document."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_log_ratios(model.gram, model.context), f"doc_id {kind}, ratio double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_vec.tidy(_log_ratios(model.gram, model.context)), f"doc_id {kind}, ratio double")
     p = 1 / (1 + F.exp(-(F.col("ratio") * model.slope + model.offset)))
     return rows.select("doc_id", p.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
