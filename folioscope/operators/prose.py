@@ -86,7 +86,7 @@ def keywords(text: Column) -> Column:
     def of_tokens(words: Column) -> Column:
         # Runs of the sorted tokens: a term's count is the distance to where the next one begins.
         starts = F.filter(F.transform(words, lambda w, i: F.when((i == 0) | (F.get(words, i - 1) != w), i)), lambda i: i.isNotNull())
-        counted = F.transform(starts, lambda s, k: F.struct((-(F.coalesce(F.get(starts, k + 1), F.size(words)) - s)).alias("minus"), F.get(words, s).alias("term")))
+        counted = T.let(starts, lambda at: F.transform(at, lambda s, k: F.struct((-(F.coalesce(F.get(at, k + 1), F.size(words)) - s)).alias("minus"), F.get(words, s).alias("term"))))
         top = F.slice(F.array_sort(counted), 1, 5)
 
         def of_top(t: Column) -> Column:
@@ -132,7 +132,7 @@ def organizations(text: Column, headings: Column) -> Column:
     """Names with a legal suffix that occur twice or more and are no heading; the first 20 in byte order."""
     titles = F.transform(headings, lambda h: F.lower(T.strip(h)))
     names = F.zip_with(T.find_all(text, ORGANIZATION, 1), T.find_all(text, ORGANIZATION, 2), lambda a, b: F.concat(a, F.lit(" "), b))
-    names = F.array_sort(F.filter(names, lambda n: ~F.array_contains(titles, F.lower(T.strip(n)))))
+    names = T.let(titles, lambda t: F.array_sort(F.filter(names, lambda n: ~F.array_contains(t, F.lower(T.strip(n))))))
     return T.let(names, lambda ns: F.slice(F.array_distinct(F.filter(ns, lambda n, i: F.coalesce(F.get(ns, i + 1) == n, F.lit(False)))), 1, 20))
 
 
@@ -151,7 +151,6 @@ def entities(text: Column, headings: Column) -> Column:
 
 def unsupported_claims(text: Column) -> Column:
     """The first ten claim openers without a citation within 400 characters: (snippet, position_pct)."""
-    total = F.greatest(T.n_tokens(text), F.lit(1))
     # Character positions: pieces between claims and the claims themselves, added up.
     pieces, claims = F.split(text, T.unicode(CLAIM)), T.find_all(text, CLAIM)
 
@@ -163,7 +162,7 @@ def unsupported_claims(text: Column) -> Column:
     places = F.aggregate(F.zip_with(F.slice(pieces, 1, F.size(claims)), claims, lambda p, c: F.struct(p.alias("piece"), c.alias("claim"))), start, step, lambda a: a["out"])
     rows = F.zip_with(places, T.offsets(text, CLAIM), lambda at, n: F.struct(F.substring(text, at + 1, F.lit(400)).alias("window"), n.alias("offset")))
     open_ = F.slice(F.filter(rows, lambda r: ~T.has(r["window"], CITATION)), 1, 10)
-    found = F.transform(open_, lambda r: F.struct(T.strip(F.substring(r["window"], 1, 120)).alias("snippet"), T.pct(r["offset"], total).alias("position_pct")))
+    found = T.let(F.greatest(T.n_tokens(text), F.lit(1)), lambda total: F.transform(open_, lambda r: F.struct(T.strip(F.substring(r["window"], 1, 120)).alias("snippet"), T.pct(r["offset"], total).alias("position_pct"))))
     return F.when(T.has(text, CLAIM), found).otherwise(F.array().cast("array<struct<snippet:string,position_pct:double>>"))
 
 
@@ -259,8 +258,11 @@ def copy_precision(text: Column) -> Column:
         n = b["n"].cast("double")
         per_1k = {k: F.round(b[k] * 1000 / n * 10) / 10 for k in PENALTIES}
         mean = F.aggregate(b["lengths"], F.lit(0.0), lambda a, x: a + x) / F.size(b["lengths"])
-        squares = F.aggregate(b["lengths"], F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-        ratio = F.when(F.size(b["lengths"]) >= 4, F.sqrt(squares / F.size(b["lengths"])) / mean).otherwise(0.45)
+
+        def spread(m: Column) -> Column:
+            return F.sqrt(F.aggregate(b["lengths"], F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(b["lengths"])) / m
+
+        ratio = F.when(F.size(b["lengths"]) >= 4, T.let(mean, spread)).otherwise(0.45)
         word = b["chars"] / n
         concrete = (b["proper_nouns"] + b["numerics"]) * 100 / n
         per = lambda k: _ladder(per_1k[k], PENALTIES[k])
