@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
@@ -106,6 +106,15 @@ def first_offset(text: Column, pattern: str) -> Column:
     return F.when(has(text, pattern), n_tokens(F.split(text, unicode(pattern), 2)[0]))
 
 
+def rows_of(docs: DataFrame, items: Column, name: str, *keep: str | Column) -> DataFrame:
+    """A row for each element of ``items``, which is computed once.
+
+    An inner generator would have the optimizer test the array's size below it, on a second copy of
+    the whole expression; an outer one doesn't, so the rows of empty arrays are dropped after it.
+    """
+    return docs.select(*keep, F.posexplode_outer(items).alias("__pos", name)).where("__pos is not null").drop("__pos")
+
+
 def half_up(x: Column, digits: int) -> Column:
     """Rounded to ``digits`` decimals, halves away from zero."""
     return F.round(x * 10**digits) / 10**digits

@@ -224,5 +224,5 @@ def design_slop(html_like: Column) -> Column:
 
 def line_hit_counts(docs: DataFrame, html_col: str = "html_like", id_col: str = "doc_id") -> DataFrame:
     """Corpus form: (doc_id, id, hits) of the line rules."""
-    rows = docs.select(id_col, F.explode(line_findings(F.col(html_col))).alias("f"))
+    rows = T.rows_of(docs, line_findings(F.col(html_col)), "f", id_col)
     return rows.groupBy(id_col, F.col("f.id").alias("id")).agg(F.count("*").alias("hits"))

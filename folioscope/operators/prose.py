@@ -102,7 +102,7 @@ def keywords(text: Column) -> Column:
 
 def keyword_counts(docs: DataFrame, text_col: str = "body_text", id_col: str = "doc_id") -> DataFrame:
     """Corpus form: (doc_id, term, count, density, rank) of each document's five most frequent terms."""
-    rows = docs.select(id_col, F.explode(keyword_tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("count"))
+    rows = T.rows_of(docs, keyword_tokens(F.col(text_col)), "term", id_col).groupBy(id_col, "term").agg(F.count("*").alias("count"))
     by_doc = Window.partitionBy(id_col)
     rows = rows.withColumn("total", F.sum("count").over(by_doc)).withColumn("rank", F.row_number().over(by_doc.orderBy(F.desc("count"), "term")))
     return rows.where("rank <= 5").select(id_col, "term", "count", T.pct(F.col("count"), F.col("total")).alias("density"), "rank")
@@ -140,7 +140,7 @@ def organization_counts(docs: DataFrame, headings: DataFrame, text_col: str = "b
     """Corpus form of ``organizations``: (doc_id, name, mentions), by anti join and having."""
     text = F.col(text_col)
     names = F.zip_with(T.find_all(text, ORGANIZATION, 1), T.find_all(text, ORGANIZATION, 2), lambda a, b: F.concat(a, F.lit(" "), b))
-    rows = docs.select(id_col, F.explode(names).alias("name")).withColumn("title", F.lower(T.strip(F.col("name"))))
+    rows = T.rows_of(docs, names, "name", id_col).withColumn("title", F.lower(T.strip(F.col("name"))))
     titles = headings.select(id_col, F.lower(T.strip(F.col("heading"))).alias("title"))
     return rows.join(titles, [id_col, "title"], "left_anti").groupBy(id_col, "name").agg(F.count("*").alias("mentions")).where("mentions >= 2")
 

@@ -12,6 +12,7 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import rows_of
 from ..operators import banks, design, freshness, page, prose
 from ..sources.documents import with_markup
 from ..sources.html import parsed
@@ -105,4 +106,4 @@ def audit(docs: DataFrame, as_of: datetime.date, factors: list[str] | None = Non
 
 def findings_long(audits: DataFrame) -> DataFrame:
     """A row for each finding: doc_id, rule_ord, rule_id, factor, message."""
-    return audits.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
+    return rows_of(audits, F.col("findings"), "f", "doc_id").select("doc_id", "f.*")

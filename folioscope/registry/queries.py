@@ -51,7 +51,7 @@ def keywords(spark, sf_dir):
 
 
 def people(spark, sf_dir):
-    return _body(spark, sf_dir, p=prose.people(_b())).select("doc_id", F.posexplode("p").alias("pos", "p")).select("doc_id", "pos", "p.name", "p.credentials")
+    return _body(spark, sf_dir, p=prose.people(_b())).select("doc_id", F.posexplode_outer("p").alias("pos", "p")).where("pos is not null").select("doc_id", "pos", "p.name", "p.credentials")
 
 
 def organizations(spark, sf_dir):
@@ -95,7 +95,7 @@ def ai_slop_density(spark, sf_dir):
 
 
 def _signals(rows: DataFrame) -> DataFrame:
-    hits = rows.select("doc_id", F.posexplode("x.signals").alias("pos", "s"))
+    hits = rows.select("doc_id", F.posexplode_outer("x.signals").alias("pos", "s")).where("pos is not null")
     return hits.groupBy("doc_id", F.col("s.kind").alias("kind")).agg(F.count("*").alias("hits"), F.min_by("s.position_pct", "pos").alias("first_pct"), F.min_by("s.snippet", "pos").alias("first_snippet"))
 
 
@@ -167,7 +167,7 @@ def page_links(spark, sf_dir):
 
 
 def authority_links(spark, sf_dir):
-    rows = _pages(spark, sf_dir).select("doc_id", F.explode("parsed.anchors").alias("a")).select("doc_id", page.host_of(F.col("a.href")).alias("host")).where("host is not null")
+    rows = _pages(spark, sf_dir).select("doc_id", F.explode_outer("parsed.anchors").alias("a")).select("doc_id", page.host_of(F.col("a.href")).alias("host")).where("host is not null")
     return page.authority_links(rows).groupBy("host").agg(F.count("*").alias("links"))
 
 
