@@ -38,9 +38,13 @@ def forget(df: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan: for a scan the size of its files; reads no data."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 60)
+    """The size of what a plan reads, by Catalyst's estimates: for scans that of their files; reads no data.
+
+    Sources without an estimate count as nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 55)
 
 
 def partitions(df: DataFrame, mb: int = 16, least: int | None = None) -> int:

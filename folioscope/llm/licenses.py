@@ -20,7 +20,7 @@ SENTENCES = {
     "licensed under the apache license version 2.0": "apache2_ref",
     "licensed under the apache license version 2.0 (the license)": "apache2_head",
     "you may not use this file except in compliance with the license": "apache2_comply",
-    "you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0": "apache2_copy",
+    "you may obtain a copy of the license at http//www.apache.org/licenses/license-2.0": "apache2_copy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2_basis",
     "see the license for the specific language governing permissions and limitations under the license": "apache2_see",
     "spdx-license-identifier apache-2.0": "spdx_apache2",
@@ -82,6 +82,7 @@ RULES = [
 HINTS = "licen|copyright|permission|redistribut|warrant|free software|liable|rights reserved|gnu general|any later version"
 #: Steps of normalisation, in order: pattern and replacement (in Java's syntax; \\1 in SQL).
 STEPS = [
+    (r"(spdx-license-identifier):", "$1"),
     (r"\r?\n[ \t]*(?:[/#*;%-]+[ \t]*)*", " "),
     (r"([.!?;:])[ \t]+", "$1\n"),
 ]

@@ -47,7 +47,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null").where(_fold(5) != 0)
     # Labels grow with the corpus, so they are never broadcast; the hash table is built on them, and texts aren't sorted.
     labelled = docs.where(_fold(5) != 0).join(labels.hint("shuffle_hash"), "doc_id")
-    model = toxicity.fit(labelled, calibrate=_fold(5) == 1)
+    model = toxicity.fit(labelled, calibrate=_fold(15) == 1)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
 
@@ -252,7 +252,7 @@ def _quoted(text: str) -> str:
 def _op1_sql() -> str:
     text = "lower(text)"
     for pattern, by in licenses.STEPS:
-        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(by.replace('$1', chr(92) + '1')) if '$1' not in by else _quoted(chr(92) + '1') + ' || chr(10)'}, 'g')"
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(by.replace('$1', chr(92) + '1'))}, 'g')"
     clean = "s"
     for pattern, by in licenses.CLEAN:
         clean = f"regexp_replace({clean}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
