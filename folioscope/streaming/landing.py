@@ -45,14 +45,20 @@ def changes(audits: DataFrame) -> DataFrame:
     return audits.select("file", "score", "suggestions").groupBy("file").applyInPandasWithState(_changes, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _timed(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """With event times that have a zone, as watermarks need; a batch needs no watermark."""
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    return rows.withWatermark(ts, late) if events.isStreaming else rows
+
+
 def windowed(events: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value", size: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """(window_start, key, n, total) by tumbling or sliding window, later events than ``late`` left out."""
     at = F.window(ts, size, slide) if slide else F.window(ts, size)
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = _timed(events, ts, late)
     return rows.groupBy(at.alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("window_start"), key, "n", "total")
 
 
 def sessions(events: DataFrame, ts: str = "ts", user: str = "user_id", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user, session_start, session_end, n) by session window."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = _timed(events, ts, late)
     return rows.groupBy(F.session_window(ts, gap).alias("s"), user).agg(F.count("*").alias("n")).select(user, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
