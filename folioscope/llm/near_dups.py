@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sketch.select(F.col("doc_id").alias("rep"), "sig").join(classes.select("rep"), "rep", "left_semi")
 
     bands = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.col("sig").substr(i * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "part")).select("rep", "band", F.xxhash64("band", "part").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
+    # Written, so that the join has two plain exchanges, of which Spark can split a hot bucket.
+    shared = written(bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1"))
     members = written(bands.join(shared, "bucket"))
     texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").join(sketch.select("doc_id", "sig"), "doc_id")
     texts = written(texts.select(F.col("doc_id").alias("rep"), "text", "sig").repartition(n, "rep"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec
-from ._spark import partitions
+from ._spark import partitions, written
 
 LENGTH, GRAM = 50, 20
 #: Grams in a window.
@@ -536,7 +536,8 @@ def _with_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = partitions(docs, mb=8)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     prints = docs.select("doc_id", digest.alias("print"))
-    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that the join has two plain exchanges, of which Spark can split a hot group of copies.
+    firsts = written(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     copies = prints.join(firsts, "print").where("doc_id > first").select("doc_id", F.lit(True).alias("copied"))
 
     dealt = docs.repartition(n, "doc_id")
