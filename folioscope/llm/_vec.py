@@ -140,6 +140,14 @@ def pack(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 
 
+def compress(data: bytes) -> bytes:
+    return pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def decompress(data: bytes, size: int) -> memoryview | pa.Buffer:
+    return pa.Codec("zstd", 3).decompress(data, size)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """The same function of batches, which gives back a worker's freed memory when it ends.
 

@@ -166,8 +166,6 @@ def _sliding(op, values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-#: Contexts are the largest part of what is shuffled, and text.
-_ZSTD = pa.Codec("zstd", 3)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -394,10 +392,11 @@ def _emit_contexts(buckets: int):
             bucket = (h[first] >> np.uint64(32)) % np.uint64(buckets)
             by = first[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket, kind="stable")
+            # Contexts are text, and the largest part of what is shuffled.
             cut = _runs(bucket)
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 own = by[a:b]
-                rows.append((int(bucket[a]), None, _vec.pack(h[own]), _ZSTD.compress(_vec.pack(ctx[own]), asbytes=True), _vec.pack(np.stack((d[own], pos[own]))), _vec.pack(np.stack((low[own], high[own])).astype(np.uint8))))
+                rows.append((int(bucket[a]), None, _vec.pack(h[own]), _vec.compress(_vec.pack(ctx[own])), _vec.pack(np.stack((d[own], pos[own]))), _vec.pack(np.stack((low[own], high[own])).astype(np.uint8))))
             yield _flow(rows)
 
     return run
@@ -448,7 +447,7 @@ def _union(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _sort_contexts(buckets: int):
     def use(rows):
         h = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
-        ctx = np.concatenate([np.frombuffer(_ZSTD.decompress(r["b"], len(r["a"]) // 8 * CONTEXT), np.uint8).reshape(-1, CONTEXT) for r in rows])
+        ctx = np.concatenate([np.frombuffer(_vec.decompress(r["b"], len(r["a"]) // 8 * CONTEXT), np.uint8).reshape(-1, CONTEXT) for r in rows])
         d, pos = np.concatenate([np.frombuffer(r["c"], np.int64).reshape(2, -1) for r in rows], axis=1)
         low, high = np.concatenate([np.frombuffer(r["d"], np.uint8).reshape(2, -1) for r in rows], axis=1).astype(np.int64)
         first, marks = _merge(h, d, pos, low, high, ctx)
