@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scans import read_table
 
 OPENERS = [
     "We delve into the tapestry of it, not only for this but also for that.",
@@ -56,7 +57,7 @@ def quoted(text: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
