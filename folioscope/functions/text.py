@@ -82,13 +82,22 @@ def pct(offset: Column, total: Column) -> Column:
     return F.round(offset / total * 1000) / 10
 
 
+def pieces(text: Column, pattern: str) -> Column:
+    """The text cut before each match."""
+    return F.split(F.regexp_replace(text, unicode(pattern), _MARK + "$0"), _MARK)
+
+
 def offsets(text: Column, pattern: str) -> Column:
-    """For each match, how many tokens begin before it; one that begins mid-token counts the part before it.
+    """For each match, how many tokens begin before it; one that begins mid-token counts the part before it."""
+    return offsets_of(pieces(text, pattern))
+
+
+def offsets_of(cut: Column) -> Column:
+    """The tokens before each piece but the first.
 
-    The text is cut before each match, and the tokens of the pieces are added up; a token that a
-    cut splits counts once.  Linear in the text, whatever the number of matches.
+    Those of the pieces are added up; a token that a cut splits counts once.  Linear in the text,
+    whatever the number of pieces.
     """
-    pieces = F.split(F.regexp_replace(text, unicode(pattern), _MARK + "$0"), _MARK)
 
     def step(acc: Column, piece: Column) -> Column:
         split_token = acc["open"] & piece.rlike(r"(?U)^\S")
@@ -98,7 +107,7 @@ def offsets(text: Column, pattern: str) -> Column:
         return F.struct(n.alias("n"), open_.alias("open"), F.array_append(acc["out"], n).alias("out"))
 
     start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(pieces, start, step, lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1))
+    return F.aggregate(cut, start, step, lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1))
 
 
 def first_offset(text: Column, pattern: str) -> Column:
