@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    gone = near_dups.near_duplicates(docs).where("not kept").select("doc_id")
+    gone = near_dups.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -35,10 +35,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A document of which nothing but white space is left goes, unless it came so.
     """
-    cut = suffix_dedup.without_repeats(docs)
-    names = [c for c in docs.columns if c not in ("text", "n_chars")]
-    rest = docs.select(*names, F.expr("trim(coalesce(text, '')) = ''").alias("was_empty"))
-    out = rest.join(cut, "doc_id").where("was_empty or trim(text) <> ''")
+    empty = F.trim(F.coalesce("text", F.lit(""))) == ""
+    out = suffix_dedup.without_repeats(docs.withColumn("was_empty", empty)).where(F.col("was_empty") | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -16,7 +16,9 @@ Documents whose sets have a Jaccard similarity of at least ``percent`` / 100 are
 At a similarity of 0.85 a pair shares no band with probability 2e-8, at 0.80 with 3e-6.  No bucket is capped;
 a bucket's pairs are never emitted, only links that connect components.
 
-Null and empty texts have an empty set and are linked with nothing.
+Null and empty texts have an empty set and are linked with nothing.  A document whose doc_id is null
+gets the component of its equals, if they have one, and is not kept.  Repeated rows of one doc_id are
+one document each.
 """
 
 from __future__ import annotations
@@ -249,4 +251,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     out = sketch.select("doc_id", *keys).join(classes, keys, "left").join(links.toDF("rep", "comp"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

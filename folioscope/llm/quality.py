@@ -97,6 +97,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     The measures are written once, narrow, since both the hosts' counts and the documents need them.
     """
     measured = written(measure(docs, id_col, text_col, host_col))
-    verdicts = host_verdicts(measured).select("host", "host_failed")
+    # Only failed hosts, and written, so that Spark can split a hot host in the join.
+    verdicts = written(host_verdicts(measured).where("host_failed").select("host", "host_failed"))
     out = measured.join(verdicts, "host", "left").withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))

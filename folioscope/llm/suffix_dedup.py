@@ -2,7 +2,8 @@
 
 A byte of a document goes if a ``LENGTH``-byte string that covers it also starts in a document
 with a smaller doc_id.  Strings are judged on the input; overlaps count; matches never cross
-documents.  Null texts are empty, and texts of under ``LENGTH`` bytes lose nothing.
+documents.  Null texts are empty, and texts of under ``LENGTH`` bytes lose nothing.  A document
+whose doc_id is null loses nothing, and others lose nothing to it.
 
 Only suffixes that can have a partner are sorted.  Of each window of ``LENGTH`` bytes, the
 ``GRAM``-byte gram with the smallest hash is its anchor, so equal windows have equal anchors.
@@ -221,6 +222,8 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[np.nd
     """(doc_ids, texts, rows) slices, in groups of about FLUSH bytes."""
     held, size = [], 0
     for batch in batches:
+        if batch.column(0).null_count:
+            batch = batch.filter(batch.column(0).is_valid())
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b, texts in _vec.slices(_vec.strings(batch.column(1))):
             held.append((ids[a:b], texts, batch.slice(a, b - a)))
@@ -360,7 +363,7 @@ def _emit_contexts(buckets: int):
         for held in _flushes(batches):
             hs, docs, poss, lows, highs, ctxs = [], [], [], [], [], []
             for ids, texts, batch in held:
-                lists = batch.column(2).to_pylist()
+                lists = batch.column(batch.schema.get_field_index("lists")).to_pylist()
                 if not any(lists):
                     continue
                 hashes, least, at, text = anchors(texts)
@@ -491,6 +494,7 @@ def _covered(text: np.ndarray, copied: bool | None, marks: dict | None) -> tuple
     if not marks:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begins, ends = (np.frombuffer(marks[c], np.uint32).astype(np.int64) for c in "ab")
+    begins, ends = begins[begins < len(text)], np.minimum(ends[begins < len(text)], len(text))
     by = np.argsort(begins, kind="stable")
     return _union(begins[by], ends[by])
 
@@ -519,50 +523,60 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, copied, marks) to (doc_id, text), characters kept or removed as a whole."""
+    """Rows (doc_id, text, rest, copied, marks) to (doc_id, text, rest), characters kept or removed as a whole."""
     for batch in batches:
         texts, out = _vec.strings(batch.column(1)), []
-        for i, (copied, marks) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+        for i, (copied, marks) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
             text = texts.buf[texts.off[i] : texts.off[i + 1]]
             # Continuation bytes follow the byte that begins their character.
             lead = np.flatnonzero((text & 0xC0) != 0x80)
             gone = _gone(len(text), *_covered(text, copied, marks))
             out.append(text[np.repeat(~gone[lead], np.diff(np.append(lead, len(text))))].tobytes().decode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2)], ["doc_id", "text", "rest"])
+
 
+def _with_marks(docs: DataFrame, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
+    """(doc_id, text, copied, marks), and before copied a struct ``rest`` of further columns: what of each document goes.
 
-def _with_marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, copied, marks): what of each document goes."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    All readers of the dealt texts take ``rest`` along, since the optimizer would deal them again without it.
+    """
+    own = [F.struct(*rest).alias("rest")] if rest else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *own)
+    names = docs.columns
     n = partitions(docs, mb=8)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     prints = docs.select("doc_id", digest.alias("print"))
     # Written, so that the join has two plain exchanges, of which Spark can split a hot group of copies.
     firsts = written(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    copies = prints.join(firsts, "print").where("doc_id > first").select("doc_id", F.lit(True).alias("copied"))
+    copies = prints.join(firsts, "print").where("doc_id > first").select("doc_id").distinct().withColumn("copied", F.lit(True))
 
     dealt = docs.repartition(n, "doc_id")
     single = dealt.join(copies.hint("shuffle_hash"), "doc_id", "left")
-    distinct = single.where("copied is null").select("doc_id", "text")
+    distinct = single.where("copied is null").select(*names)
     by_doc = "doc_id long, a binary, b binary"
     shared = distinct.mapInArrow(_vec.tidy(_emit_anchors(n)), _FLOW_DDL).repartition(n, "bucket", "dest").mapInArrow(_vec.tidy(_shared_anchors(n)), _FLOW_DDL)
     lists = shared.repartition(n, "dest").mapInArrow(_vec.tidy(_to_documents), by_doc).select("doc_id", F.col("a").alias("lists"))
     # A left join: an inner one would push a null check below the exchange, which then couldn't be reused.
-    contexts = distinct.join(lists.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "lists").mapInArrow(_vec.tidy(_emit_contexts(n)), _FLOW_DDL)
+    contexts = distinct.join(lists.hint("shuffle_hash"), "doc_id", "left").select(*names, "lists").mapInArrow(_vec.tidy(_emit_contexts(n)), _FLOW_DDL)
     marked = contexts.repartition(n, "bucket", "dest").mapInArrow(_vec.tidy(_sort_contexts(n)), _FLOW_DDL)
     marks = marked.repartition(n, "dest").mapInArrow(_vec.tidy(_to_documents), by_doc).select("doc_id", F.struct("a", "b").alias("marks"))
-    return single.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copied", "marks")
+    return single.join(marks.hint("shuffle_hash"), "doc_id", "left").select(*names, "copied", "marks")
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_bytes, begins and ends of the removed byte ranges, and kept (binary)."""
     ddl = "doc_id long, n_bytes long, begins array<long>, ends array<long>, kept binary"
-    return _with_marks(docs, id_col, text_col).mapInArrow(_vec.tidy(_cut), ddl)
+    return _with_marks(docs, id_col, text_col, []).mapInArrow(_vec.tidy(_cut), ddl)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and text without the repeated bytes; a null text is empty.
+    """The documents, all columns, with texts without the repeated bytes; a null text is empty.
 
-    Of a character that a range cuts, its first byte decides: it stays or goes as a whole.
+    Of a character that a range cuts, its first byte decides: it stays or goes as a whole.  Rows of one
+    doc_id count as one document: what goes from one goes from all.
     """
-    return _with_marks(docs, id_col, text_col).mapInArrow(_vec.tidy(_cut_characters), "doc_id long, text string")
+    rest = [c for c in docs.columns if c not in (id_col, text_col)] or [id_col]
+    kind = docs.select(F.struct(*rest).alias("rest")).schema["rest"].dataType.simpleString()
+    rows = _with_marks(docs, id_col, text_col, rest).mapInArrow(_vec.tidy(_cut_characters), f"doc_id long, text string, rest {kind}")
+    own = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text")}
+    return rows.select(*[own.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])

@@ -96,8 +96,13 @@ def test_repeated_bytes(documents, seed):
         assert (r.n_bytes, list(zip(r.begins, r.ends, strict=True))) == (len(data), spans), r.doc_id
         kept = bytes(c for c, g in zip(data, want[r.doc_id], strict=True) if not g)
         assert hashlib.sha256(r.kept).digest() == hashlib.sha256(kept).digest()
-    cut = {r.doc_id: r.text for r in suffix_dedup.without_repeats(documents(texts)).collect()}
-    assert cut[0] == passage and cut[1] == "" and cut[2] == ""
+    wide = documents(texts).selectExpr("*", "1 AS rest", "'m' AS marks", "2 AS copied")
+    rows = suffix_dedup.without_repeats(wide)
+    assert rows.columns == wide.columns
+    cut = {r.doc_id: r for r in rows.collect()}
+    assert cut[0].text == passage and cut[1].text == "" and cut[2].text == "" and cut[5].source == "s2" and cut[5].marks == "m"
+    again = suffix_dedup.without_repeats(wide.where("doc_id < 3").unionAll(wide.where("doc_id < 3"))).collect()
+    assert sorted(len(r.text) for r in again) == [0, 0, 0, 0, 500, 500]
 
 
 def test_deep_shallow_orders_and_groups():
@@ -110,3 +115,12 @@ def test_deep_shallow_orders_and_groups():
     strings = [rows[k, at[k] : at[k] + 50].tobytes() for k in order]
     assert strings == sorted(strings)
     assert [a == b for a, b in itertools.pairwise(strings)] == [a == b for a, b in itertools.pairwise(number.tolist())]
+
+
+def test_null_ids(spark, documents):
+    rows = [(None, "a b c d " * 30), (1, "a b c d " * 30), (2, "x y z " * 30), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.component_id, r.kept) for r in near_dups.near_duplicates(df).collect()]
+    assert sorted(found, key=str) == sorted([(None, 1, False), (1, 1, True), (2, 2, True), (None, None, False)], key=str)
+    cut = [(r.doc_id, r.n_bytes, len(r.begins)) for r in suffix_dedup.repeated_bytes(df).collect()]
+    assert sorted(cut, key=str) == sorted([(None, 240, 0), (1, 240, 0), (2, 180, 0), (None, 0, 0)], key=str)

@@ -231,3 +231,15 @@ def test_digest_of_empty_conversation(spark):
     text = "</s>[INST] ok [/INST]"
     assert rows[-1].turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert rows[-1].loss_chars == len(text) and rows[-1].valid
+
+
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b " * 40, None, None, None), (1, None, None, None, None), (1, "a fine text", "en", "s", 3), (1, "a fine text", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert quality.judge(df).count() == 4
+    assert toxicity.score(df, toxicity.fit(df.withColumn("toxic", F.lit(0)), calibrate=F.lit(True))).count() == 4
+    assert language_id.identify(df, language_id.fit(df)).count() == 4
+    assert packing.pack_documents(df, queries.tokenizer_path()).where("start = 0").count() == 4
+    bench = spark.createDataFrame([(None, "a b a b a b a b a b a b a b a b")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.overlaps(df, bench).collect()] == [None]
+    assert decontaminate.clean(df, bench).count() == 4
+    assert licenses.scan(df).count() == 0
