@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)\s+"
 #: Separates sentences in every operator that has them.
 SENTENCE_END = r"[.!?]+\s+"
-#: Marks the beginning of a match; does not occur in text, as HTML and XML forbid it.
-_MARK = "\u0001"
+#: Marks the beginning of a match; where a text has it, it becomes another control character first.
+_MARK, _OTHER = "\u0001", "\u0002"
 
 
 def unicode(pattern: str) -> str:
@@ -84,7 +84,7 @@ def pct(offset: Column, total: Column) -> Column:
 
 def pieces(text: Column, pattern: str) -> Column:
     """The text cut before each match."""
-    return F.split(F.regexp_replace(text, unicode(pattern), _MARK + "$0"), _MARK)
+    return F.split(F.regexp_replace(F.translate(text, _MARK, _OTHER), unicode(pattern), _MARK + "$0"), _MARK)
 
 
 def offsets(text: Column, pattern: str) -> Column:

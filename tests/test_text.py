@@ -22,7 +22,7 @@ t = F.col("t")
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.text(alphabet="ab. \t", max_size=12), min_size=1, max_size=4))
+@given(st.lists(st.text(alphabet="ab. \t\x01", max_size=12), min_size=1, max_size=4))
 def test_offsets_match_a_plain_loop(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", "t", T.offsets(t, r"a\b").alias("o"), T.first_offset(t, r"a\b").alias("f")).collect()
     for r in rows:
