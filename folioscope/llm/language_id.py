@@ -29,7 +29,7 @@ BUCKETS = 1 << 14
 DIM = 16
 EPOCHS = 6
 RATE = 2.0
-PER_CLASS = 800
+PER_CLASS = 500
 REJECT_RATE = 0.001
 
 
@@ -85,9 +85,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, per_class / sizes[k]))])
     drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20)
-    rows = known.where(drawn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_vec.tidy(_bags), "lang string, ids binary, shares binary").collect()
+    rows = known.where(drawn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_vec.tidy(_bags), "lang string, ids binary, shares binary").toArrow()
     index = {k: i for i, k in enumerate(languages)}
-    bags = sorted((index[r.lang], bytes(r.ids), bytes(r.shares)) for r in rows)
+    bags = sorted(zip((index[k] for k in rows.column("lang").to_pylist()), rows.column("ids").to_pylist(), rows.column("shares").to_pylist(), strict=True))
+    del rows
     data = [(y, np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for y, i, s in bags]
     rng = np.random.default_rng(seed)
     rng.shuffle(data)

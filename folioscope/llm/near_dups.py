@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = members.where("n > 2").select("bucket", "band", "rep", "n").join(comps.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
         main = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main")).where("parts > 1").drop("parts")
-        return written(placed.join(main, "bucket"))
+        return written(placed.join(written(main), "bucket"))
 
     edges = written(confirmed(members.select(F.col("pivot").alias("x"), F.col("rep").alias("y"))))
     links = written(components(edges))
