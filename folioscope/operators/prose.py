@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -80,8 +80,8 @@ def questions(text: Column) -> Column:
     return F.slice(seen, 1, 10)
 
 
-def keywords(text: Column) -> Column:
-    """struct(primary, questions, density): the five most frequent terms, ties in byte order."""
+def top_terms(text: Column) -> Column:
+    """struct(primary, density): the five most frequent terms, ties in byte order.  Nothing is shuffled."""
 
     def of_tokens(words: Column) -> Column:
         # Runs of the sorted tokens: a term's count is the distance to where the next one begins.
@@ -96,16 +96,18 @@ def keywords(text: Column) -> Column:
 
         return T.let(top, of_top)
 
-    both = T.let(F.array_sort(keyword_tokens(text)), of_tokens)
-    return T.let(both, lambda b: F.struct(b["primary"].alias("primary"), questions(text).alias("questions"), b["density"].alias("density")))
+    return T.let(F.array_sort(keyword_tokens(text)), of_tokens)
+
+
+def keywords(text: Column) -> Column:
+    """struct(primary, questions, density)."""
+    return T.let(top_terms(text), lambda b: F.struct(b["primary"].alias("primary"), questions(text).alias("questions"), b["density"].alias("density")))
 
 
 def keyword_counts(docs: DataFrame, text_col: str = "body_text", id_col: str = "doc_id") -> DataFrame:
     """Corpus form: (doc_id, term, count, density, rank) of each document's five most frequent terms."""
-    rows = T.rows_of(docs, keyword_tokens(F.col(text_col)), "term", id_col).groupBy(id_col, "term").agg(F.count("*").alias("count"))
-    by_doc = Window.partitionBy(id_col)
-    rows = rows.withColumn("total", F.sum("count").over(by_doc)).withColumn("rank", F.row_number().over(by_doc.orderBy(F.desc("count"), "term")))
-    return rows.where("rank <= 5").select(id_col, "term", "count", T.pct(F.col("count"), F.col("total")).alias("density"), "rank")
+    top = T.let(top_terms(F.col(text_col)), lambda k: F.transform(k["primary"], lambda p, i: F.struct(p["term"].alias("term"), p["count"].cast("bigint").alias("count"), k["density"][p["term"]].alias("density"), (i + 1).alias("rank"))))
+    return T.rows_of(docs, top, "k", id_col).select(id_col, "k.*")
 
 
 def strip_honorific(name: Column) -> Column:

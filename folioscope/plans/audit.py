@@ -86,11 +86,11 @@ def component_factor(name: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in COMPONENT_FACTORS.items() for x in pair]), name), F.lit("content"))
 
 
-def audit(docs: DataFrame, as_of: datetime.date, factors: list[str] | None = None, fail_under: int | None = None) -> DataFrame:
+def audit(docs: DataFrame, as_of: datetime.date, factors: list[str] | None = None, fail_under: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """A report for each document: doc_id, file, file_type, features, score, score_breakdown, findings, suggestions.
 
     ``factors`` filters findings, suggestions and components, never the score.  With ``fail_under``
-    there is a column ``passed``.
+    there is a column ``passed``.  Columns of ``docs`` named in ``keep`` stay.
     """
     rows = features(docs, as_of).withColumns({"findings": rules.findings(rules.audit_rules()), "components": rules.deductions()})
     rows = rows.withColumn("score", rules.total_score(F.col("components")))
@@ -98,7 +98,7 @@ def audit(docs: DataFrame, as_of: datetime.date, factors: list[str] | None = Non
     if factors:
         found = F.filter(found, lambda x: message_has_factor(x["message"], factors))
         parts = F.filter(parts, lambda x: component_factor(x["name"]).isin(factors))
-    rows = rows.select("doc_id", F.col("label").alias("file"), "file_type", *FEATURES, "score", found.alias("findings"), parts.alias("components"))
+    rows = rows.select("doc_id", F.col("label").alias("file"), "file_type", *keep, *FEATURES, "score", found.alias("findings"), parts.alias("components"))
     rows = rows.withColumn("score_breakdown", F.struct(F.col("score").alias("total"), "components")).drop("components")
     rows = rows.withColumn("suggestions", F.transform("findings", lambda x: x["message"]))
     return rows if fail_under is None else rows.withColumn("passed", F.col("score") >= fail_under)

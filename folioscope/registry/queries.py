@@ -244,7 +244,8 @@ def image_probe(spark, sf_dir):
 def image_rules(spark, sf_dir):
     k = F.col("o_orderkey")
     status = F.when(k % 5 == 0, 404).when(k % 7 != 0, 200)
-    rows = samples.table(spark, sf_dir, "orders").select(k.alias("doc_id"), crawl.image_findings(F.lit("https://x.example/i.png"), status, F.when(k % 3 == 2, F.lit("text/html")).otherwise(F.lit("image/png")), _image_bytes(k), F.lit("1200")).alias("f"))
+    kind = F.when(k % 3 == 2, F.lit("text/html")).otherwise(F.lit("image/png"))
+    rows = samples.table(spark, sf_dir, "orders").select(k.alias("doc_id"), crawl.image_findings(F.lit("https://x.example/i.png"), status, kind, crawl.image_probe(kind, _image_bytes(k)), F.lit("1200")).alias("f"))
     return rows.select("doc_id", F.array_join(F.transform("f", lambda x: x["rule_id"]), "|").alias("rules"))
 
 

@@ -59,17 +59,22 @@ def header_findings(robots: Column, encoding: Column, size: Column) -> Column:
     return let(F.transform(F.split(F.lower(F.coalesce(robots, F.lit(""))), "[,;]"), strip), of_tokens)
 
 
-def image_findings(url: Column, status: Column, kind: Column, data: Column, declared_width: Column) -> Column:
-    """Findings of the preview image's response; none without a response or for a URL that isn't absolute."""
-    answered = (url.startswith("https://") | url.startswith("http://")) & status.isNotNull()
-    failed = status >= 400
+def image_probe(kind: Column, data: Column) -> Column:
+    """struct(width, height, svg, image): what an image's content type and first bytes show."""
     bytes_ = F.substring(data, 1, PROBE_BYTES)
     start = F.hex(F.substring(data, 1, 5))
     svg = F.coalesce(F.contains(kind, F.lit("svg")), F.lit(False)) | start.startswith("3C737667") | (start == "3C3F786D6C")
     image = F.coalesce(kind.startswith("image/"), F.lit(False)) | looks_like_image(bytes_)
+    return let(dimensions(bytes_), lambda s: F.struct(s["width"].alias("width"), s["height"].alias("height"), F.coalesce(svg, F.lit(False)).alias("svg"), F.coalesce(image, F.lit(False)).alias("image")))
+
+
+def image_findings(url: Column, status: Column, kind: Column, probe: Column, declared_width: Column) -> Column:
+    """Findings of the preview image's response; none without a response or for a URL that isn't absolute."""
+    answered = (url.startswith("https://") | url.startswith("http://")) & status.isNotNull()
+    failed = status >= 400
 
     def of_size(s: Column) -> Column:
-        w, h = s["width"], s["height"]
+        w, h, svg, image = s["width"], s["height"], s["svg"], s["image"]
         size = F.concat(w.cast("string"), F.lit("×"), h.cast("string"))
         shown = answered & ~failed
         tiny = (w < 200) | (h < 200)
@@ -87,7 +92,7 @@ def image_findings(url: Column, status: Column, kind: Column, data: Column, decl
             ]
         )
 
-    return let(dimensions(bytes_), of_size)
+    return let(probe, of_size)
 
 
 def audit_crawl(crawl: DataFrame, as_of: datetime.date, factors: list[str] | None = None, fail_under: int | None = None) -> DataFrame:
@@ -98,16 +103,26 @@ def audit_crawl(crawl: DataFrame, as_of: datetime.date, factors: list[str] | Non
     """
     rows = crawl.where(status_class(F.col("status")) == "ok").withColumn("headers", lower_keys(F.col("headers")))
     body = F.substring("body", 1, BODY_BYTES)
-    rows = rows.select("*", F.xxhash64("label").alias("doc_id"), type_of_content_type(F.col("headers")["content-type"]).alias("file_type"), F.expr(f"make_valid_utf8(cast(substring(body, 1, {BODY_BYTES}) as string))").alias("raw"), F.octet_length(body).alias("bytes"))
-    audits = audit(rows.select("doc_id", "label", "file_type", "raw"), as_of, factors, fail_under)
-    extra = rows.select("doc_id", "status", "headers", "bytes", "image_status", "image_type", "image_bytes")
-    both = audits.join(extra, "doc_id")
-    og = F.col("open_graph")
-    made = F.concat(header_findings(F.col("headers")["x-robots-tag"], F.col("headers")["content-encoding"], F.col("bytes")), image_findings(og["image"], F.col("image_status"), F.col("image_type"), F.col("image_bytes"), og["image_width"]))
+    rows = rows.select(
+        F.xxhash64("label").alias("doc_id"),
+        "label",
+        type_of_content_type(F.col("headers")["content-type"]).alias("file_type"),
+        F.expr(f"make_valid_utf8(cast(substring(body, 1, {BODY_BYTES}) as string))").alias("raw"),
+        F.octet_length(body).alias("bytes"),
+        "status",
+        "headers",
+        "image_status",
+        "image_type",
+        image_probe(F.col("image_type"), F.col("image_bytes")).alias("probe"),
+    )
+    extra = ("status", "headers", "bytes", "image_status", "image_type", "probe")
+    both = audit(rows, as_of, factors, fail_under, keep=extra)
+    names = [c for c in both.columns if c not in extra]
+    og, headers, probe = F.col("open_graph"), F.col("headers"), F.col("probe")
+    made = F.concat(header_findings(headers["x-robots-tag"], headers["content-encoding"], F.col("bytes")), image_findings(og["image"], F.col("image_status"), F.col("image_type"), probe, og["image_width"]))
     both = both.withColumn("response_findings", made)
-    size = dimensions(F.col("image_bytes"))
-    check = F.when(F.col("image_status").isNotNull() & og["image"].rlike("^https?://"), F.struct(og["image"].alias("url"), F.col("image_status").alias("status"), F.when(F.col("image_status") < 400, F.col("image_type")).alias("content_type"), size["width"].alias("width"), size["height"].alias("height")))
-    fetched = F.struct(F.col("file").alias("url"), "status", "bytes", *[F.col("headers")[h].alias(h.replace("-", "_")) for h in HEADERS], check.alias("og_image_check"))
+    check = F.when(F.col("image_status").isNotNull() & og["image"].rlike("^https?://"), F.struct(og["image"].alias("url"), F.col("image_status").alias("status"), F.when(F.col("image_status") < 400, F.col("image_type")).alias("content_type"), probe["width"].alias("width"), probe["height"].alias("height")))
+    fetched = F.struct(F.col("file").alias("url"), "status", "bytes", *[headers[h].alias(h.replace("-", "_")) for h in HEADERS], check.alias("og_image_check"))
     front = F.transform("response_findings", lambda x: x["message"])
     both = both.withColumn("fetched", fetched).withColumn("suggestions", F.concat(front, "suggestions"))
-    return both.select(*audits.columns, "response_findings", "fetched")
+    return both.select(*names, "response_findings", "fetched")
