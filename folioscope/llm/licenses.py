@@ -83,7 +83,7 @@ HINTS = "licen|copyright|permission|redistribut|warrant|free software|liable|rig
 #: Steps of normalisation, in order: pattern and replacement (in Java's syntax; \\1 in SQL).
 STEPS = [
     (r"(spdx-license-identifier):", "$1"),
-    (r"\r?\n[ \t]*(?:[/#*;%-]+[ \t]*)*", " "),
+    (r"\r?\n[ \t/#*;%-]*", " "),
     (r"([.!?;:])[ \t]+", "$1\n"),
 ]
 CLEAN = [

@@ -72,7 +72,7 @@ def test_chat_machine(spark):
 
 def test_licences(documents):
     mit = "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy of this\n * software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n * The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n */"
-    texts = ["Released under the MIT License.\nFoo bar.", mit, "Copyright (c) 2020 Jane Doe. All rights reserved. x", "# SPDX-License-Identifier: Apache-2.0\n", "no such thing", None, "", "a license of sorts", LONG + ". Licensed under CC BY-NC 4.0. Licensed under the MIT License. Licensed under the Apache License, Version 2.0."]
+    texts = ["Released under the MIT License.\nFoo bar.", mit, "Copyright (c) 2020 Jane Doe. All rights reserved. x", "# SPDX-License-Identifier: Apache-2.0\n", "no such thing", None, "", "a license of sorts\n" + "- " * 50_000, LONG + ". Licensed under CC BY-NC 4.0. Licensed under the MIT License. Licensed under the Apache License, Version 2.0."]
     rows = {r.doc_id: (r.licenses, r.unmatched) for r in licenses.scan(documents(texts).selectExpr("*", "1 AS m", "2 AS identifiers")).collect()}
     assert rows == {0: (["MIT"], []), 1: (["MIT"], []), 2: (["LicenseRef-All-Rights-Reserved"], ["copyright"]), 3: (["Apache-2.0"], []), 8: (["Apache-2.0", "CC-BY-NC-4.0", "MIT"], [])}
 
