@@ -184,14 +184,16 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: link each larger neighbour to the smallest of the neighbourhood.
         both = now.union(now.select("y", "x")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("x"), F.col("v").alias("y")).distinct()
+        # Written, so that Spark can split the edges of a hub in the join.
+        smallest = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = both.where("v > u").join(smallest, "u").select(F.col("m").alias("x"), F.col("v").alias("y")).distinct()
         # Small star: link each smaller neighbour, and the node itself, to the smallest one.
         least = large.groupBy("y").agg(F.min("x").alias("m"))
         small = large.join(least, "y").select(F.col("m").alias("x"), F.col("x").alias("y")).union(least.select("m", "y"))
         new = written(small.where("x < y").distinct())
         mark = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
         forget(now)
+        forget(smallest)
         now = new
         if mark == before:
             return now.select(F.col("y").alias("node"), F.col("x").alias("comp")).union(now.select("x", "x").distinct())
