@@ -434,6 +434,9 @@ def oracle_sql() -> dict[str, str]:
         "image_probe": _PROBE,
         "image_rules": _IMAGE_RULES,
         "jsonld": "SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'https://x.example/' || c_custkey END AS url, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS same_as, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS answer, CASE WHEN c_custkey % 4 <> 0 THEN 'b::c' END AS second FROM customer",
+        "jsonld_documents": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '2024-02-02' ELSE '2024-01-01' END AS modified, o AS suffix, o AS publisher, CASE WHEN c_custkey % 5 = 0 THEN 'https://x.example' END AS page, '2' AS position, c_mktsegment AS step, o AS employer,
+  '@context,@type,headline,description,datePublished,dateModified,author' || CASE WHEN o IS NOT NULL THEN ',publisher' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN ',mainEntityOfPage' ELSE '' END || CASE WHEN o IS NOT NULL THEN ',image' ELSE '' END || ',@context,@type,name,step' || CASE WHEN o IS NOT NULL THEN ',description' ELSE '' END || ',@context,@type,name' || CASE WHEN o IS NOT NULL THEN ',jobTitle,worksFor' ELSE '' END AS keys
+  FROM (SELECT *, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS o FROM customer)""",
         "sarif_results": f"SELECT 'doc-' || doc_id AS uri, 'warning' AS level, unnest(hs) AS text FROM {S.TITLES_SQL}",
         "score_histogram": f"SELECT CAST(score // 10 * 10 AS BIGINT) AS bucket, count(*) AS documents FROM {scores} GROUP BY 1",
         "score_rank": f"SELECT doc_id, source, score, rank() OVER (PARTITION BY source ORDER BY score DESC) AS rank, rank() OVER (PARTITION BY source ORDER BY score DESC) / count(*) OVER (PARTITION BY source) AS share FROM {scores}",

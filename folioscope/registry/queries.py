@@ -308,11 +308,36 @@ def audit_reports(spark, sf_dir):
     return _audits(spark, sf_dir).select("doc_id", "score", F.length(reports.envelope(F.struct("file", "score", "suggestions", "content"))).alias("n_json"), F.size("suggestions").alias("n_suggestions"))
 
 
+def jsonld_documents(spark, sf_dir):
+    from ..operators import jsonld as build
+
+    c, k = F.col, F.col("c_custkey")
+    odd = F.when(k % 2 == 1, c("c_mktsegment"))
+    rows = samples.table(spark, sf_dir, "customer").select(
+        k,
+        build.article(c("c_name"), c("c_mktsegment"), F.lit("2024-01-01"), c("c_name"), modified=F.when(k % 3 == 0, F.lit("2024-02-02")), credentials=odd, org_name=odd, org_url=F.lit("https://o.example"), url=F.when(k % 5 == 0, F.lit("https://x.example")), image=odd).alias("a"),
+        build.howto(c("c_name"), F.array(c("c_mktsegment"), F.lit("done")), description=odd).alias("h"),
+        build.person(c("c_name"), job_title=odd, works_for=odd).alias("p"),
+    )
+    at = lambda j, path: F.get_json_object(c(j), path)
+    return rows.select(
+        "c_custkey",
+        at("a", "$.dateModified").alias("modified"),
+        at("a", "$.author.honorificSuffix").alias("suffix"),
+        at("a", "$.publisher.name").alias("publisher"),
+        at("a", "$.mainEntityOfPage.@id").alias("page"),
+        at("h", "$.step[1].position").alias("position"),
+        at("h", "$.step[0].text").alias("step"),
+        at("p", "$.worksFor.name").alias("employer"),
+        F.concat_ws(",", *[F.array_join(F.json_object_keys(c(j)), ",") for j in "ahp"]).alias("keys"),
+    )
+
+
 QUERIES = [
     word_counts, sentence_stats, keyword_counts, keywords, people, organizations, organizations_by_row, evidence, snippet_candidate, position_bias, information_gain,
     copy_precision, ai_slop_density, ai_slop_signals, metatext_signals, metatext_verdict, freshness_dates, design_line_hits, design_documents, design_verdict, heading_order,
     markdown_lite, page_metadata, page_body_text, page_links, authority_links, page_performance, audit_scores, audit_findings, factor_filter, verify_diff, verify_long, header_rules,
-    image_probe, image_rules, jsonld, sarif_results, score_histogram, score_rank, quality_gate, rule_prevalence, findings_rollup, event_windows, event_sessions, audit_reports,
+    image_probe, image_rules, jsonld, jsonld_documents, sarif_results, score_histogram, score_rank, quality_gate, rule_prevalence, findings_rollup, event_windows, event_sessions, audit_reports,
 ]
 
 
