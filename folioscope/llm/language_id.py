@@ -7,7 +7,8 @@ model is linear after the average, prediction adds up one row of class scores fo
 The classifier is fitted on a bounded sample: about ``per_class`` labelled documents of each
 language (all, if there are fewer), chosen by a hash of doc_id.  A quarter of them calibrates:
 a temperature makes the softmax a probability, and ``reject_below`` is the confidence under
-which at most ``REJECT_RATE`` of rightly predicted calibration documents fall, 0.5 at most.
+which at most ``REJECT_RATE`` of rightly predicted calibration documents fall, ``MOST`` at most:
+a document in two of the languages is not rejected.
 Every text is predicted whole.  A null text or one without a letter is ``und`` with score 0.
 If there are no labelled documents, everything is ``und``.
 """
@@ -31,6 +32,7 @@ EPOCHS = 6
 RATE = 2.0
 PER_CLASS = 500
 REJECT_RATE = 0.001
+MOST = 0.4
 
 
 @dataclass
@@ -115,7 +117,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     heat = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean())
     p = _softmax(logits / heat)
     right = p.max(-1)[p.argmax(-1) == truth]
-    reject = min(0.5, float(np.quantile(right, REJECT_RATE))) if len(right) else 0.0
+    reject = min(MOST, float(np.quantile(right, REJECT_RATE))) if len(right) else 0.0
     return Model(languages, scores.astype(np.float32), bias, float(heat), reject)
 
 
