@@ -44,6 +44,8 @@ SHALLOW = 32
 FLUSH = 8 << 20
 #: Windows that are sorted at once.
 SORT_AT_ONCE = 400_000
+#: Bytes of an anchor's hash that are sent.
+HASH_BYTES = 5
 
 
 class BlindTrie:
@@ -272,20 +274,20 @@ def _emit_anchors(buckets: int):
 
 
 def _narrow(h: np.ndarray) -> np.ndarray:
-    """The low six bytes of each hash: with the bucket, enough to tell a task's hashes apart.
+    """The low ``HASH_BYTES`` of each hash: with the bucket, enough to tell a task's hashes apart.
 
     Hashes that agree in them only send a few more contexts to be compared.
     """
-    return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+    return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
 
 
 def _widen(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(b) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, HASH_BYTES)
     return out.view("<u8").reshape(-1)
 
 
-_LOW6 = np.uint64((1 << 48) - 1)
+_LOW = np.uint64((1 << 8 * HASH_BYTES) - 1)
 
 
 def _destinations(docs: np.ndarray, dests: int, *columns: np.ndarray) -> list[tuple]:
@@ -306,7 +308,7 @@ def _destinations(docs: np.ndarray, dests: int, *columns: np.ndarray) -> list[tu
 
 def _to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of destinations to one row for each document: (doc_id, a, b) with all its values."""
-    docs, values, width = [], [[], []], [6, None]
+    docs, values, width = [], [[], []], [0, 0]
     for batch in batches:
         for row in batch.to_pylist():
             count = np.frombuffer(row["b"], np.uint32)
@@ -369,7 +371,7 @@ def _emit_contexts(buckets: int):
                 hashes, least, at, text = anchors(texts)
                 keep = np.zeros(len(at), bool)
                 cut = np.searchsorted(text, np.arange(len(texts) + 1))
-                small = hashes[at] & _LOW6
+                small = hashes[at] & _LOW
                 for i, packs in enumerate(lists):
                     if packs:
                         keep[cut[i] : cut[i + 1]] = np.isin(small[cut[i] : cut[i + 1]], _widen(packs))
