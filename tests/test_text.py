@@ -102,7 +102,7 @@ def test_heading_skeleton(spark):
 
 @pytest.mark.parametrize(
     ("text", "date"),
-    [("2026-12-31", "2026-12-31"), ("30 Dec 2026", "2026-12-30"), ("December 30, 2026", "2026-12-30"), ("12/31/2026", "2026-12-31"), ("31/12/2026", "2026-12-31"), ("2026", "2026-01-01"), ("Dec. 30 2026", "2026-01-01"), ("x", None)],
+    [("2026-12-31", "2026-12-31"), ("30 Dec 2026", "2026-12-30"), ("December 30, 2026", "2026-12-30"), ("Dec 30,2026", "2026-12-30"), ("12/31/26", "2026-12-31"), ("31 Foo 2026", "2026-01-01"), ("12/31/2026", "2026-12-31"), ("31/12/2026", "2026-12-31"), ("2026", "2026-01-01"), ("Dec. 30 2026", "2026-01-01"), ("x", None)],
 )
 def test_visible_dates(spark, text, date):
     assert one(spark, text, dates.parse_visible_date(t))[0] == (date and datetime.date.fromisoformat(date))
