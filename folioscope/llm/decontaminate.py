@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds.
 
-Tokens are runs of ASCII letters, digits and bytes over 0x7F, with A-Z lowered.  Each fixed
+Tokens are runs of ASCII letters, digits and bytes over 0x7F, after Unicode case folding.  Each fixed
 mask looks at some of ``SPAN`` consecutive tokens and ignores the others; windows of a document
 and of a benchmark item that agree under a mask are a hit.  Around a hit both are aligned, and
 the best run of the item's tokens is taken, where a match counts 1 and a substitution -3.  A run
@@ -16,6 +16,7 @@ passes over the documents, not more memory.  Documents are never shuffled.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -40,8 +41,21 @@ _IS_TOKEN = np.zeros(256, bool)
 _IS_TOKEN[48:58] = _IS_TOKEN[65:91] = _IS_TOKEN[97:123] = _IS_TOKEN[128:] = True
 
 
+def _folded(texts: _vec.Texts) -> _vec.Texts:
+    """The texts with Unicode case folding; A-Z may stay in those that are ASCII."""
+    wide = np.concatenate(([0], np.cumsum(texts.buf > 127)))[texts.off]
+    if not len(texts) or wide[-1] == wide[0]:
+        return texts
+    data, off = texts.buf.tobytes(), texts.off.tolist()
+    parts = [data[a:b] for a, b in itertools.pairwise(off)]
+    for k in np.flatnonzero(np.diff(wide)).tolist():
+        parts[k] = parts[k].decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
+    return _vec.Texts(np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in parts]))))
+
+
 def tokens(texts: _vec.Texts) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each token, and the token offsets of the texts."""
+    texts = _folded(texts)
     spaced = _vec.Texts(np.where(_IS_TOKEN[texts.buf], texts.buf, np.uint8(32)), texts.off)
     return spaced.word_hashes(lower=True)
 

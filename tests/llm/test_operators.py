@@ -219,6 +219,18 @@ def test_decontamination(spark, documents):
     assert decontaminate.overlaps(documents(texts), bench.where("false")).count() == 0
 
 
+def test_decontamination_in_other_letter_case(spark, documents):
+    items = [
+        "Él dijo que mañana íbamos a cenar según la opinión de su señora después del café",
+        "в начале было слово и слово было у бога и слово было бог оно было в начале",
+        "οι άνθρωποι στους δρόμους της πόλης είδαν τους ξένους και τις γυναίκες στις πόρτες τους",
+        "die straße außerhalb der größeren stadt heißt süße gasse und grüßt müßig alle füße weiß",
+    ]
+    found = _overlaps(spark, documents, [f"pad é {i.upper()} pad" for i in items], items)
+    assert set(found) == {(k, k) for k in range(4)}
+    assert all(r.n_tokens == len(items[k].split()) and r.n_substituted == 0 and r.token == 2 for (k, _), r in found.items())
+
+
 def test_decontamination_in_blocks(spark, documents, monkeypatch):
     items = [" ".join(f"i{k}w{n}" for n in range(20)) for k in range(30)]
     texts = [f"pad {i} pad" for i in items]
