@@ -4,9 +4,11 @@ Tokens are runs of ASCII letters, digits and bytes over 0x7F, after Unicode case
 mask looks at some of ``SPAN`` consecutive tokens and ignores the others; windows of a document
 and of a benchmark item that agree under a mask are a hit.  Around a hit both are aligned, and
 the best run of the item's tokens is taken, where a match counts 1 and a substitution -3.  A run
-of ``OVERLAP`` tokens or more is an overlap, a run of the whole item if that is shorter.
+of ``OVERLAP`` tokens or more is an overlap, a run of the whole item if that is shorter.  So is a
+whole item with one substitution anywhere, or two if it has ``TWO_FROM`` tokens or more.
 
-Items of fewer tokens than ``SPAN`` are sought whole and without substitutions; items of fewer
+The masks find all of these in items of more tokens than ``SPAN``.  An item of up to ``SPAN`` tokens
+is sought whole, by seeds that each ignore one of its tokens; items of fewer
 than ``LEAST`` tokens are too short to be told from ordinary text and are never reported.  Null
 and empty texts contain nothing and match nothing.
 
@@ -33,6 +35,7 @@ SPAN = 12
 LEAST = 6
 OVERLAP = 13
 SUBSTITUTION = -3
+TWO_FROM = 16
 BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 22
 
@@ -68,6 +71,20 @@ def _seed(hashes: np.ndarray, picked: list[int], span: int, salt: int) -> np.nda
     return _vec.mix(out)
 
 
+def _seeds(hashes: np.ndarray, kinds: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    """(span, seeds) of each kind; those of a whole item are one sum less the token that is ignored."""
+    whole, summed = 0, hashes
+    for span, picked, salt, short in kinds:
+        if not short or len(hashes) < span:
+            yield span, _seed(hashes, picked, span, salt)
+            continue
+        n = len(hashes) - span + 1
+        if whole != span:
+            whole, summed = span, sum(hashes[k : k + n] * _MULT[k] for k in range(span))
+        (k,) = set(range(span)) - set(picked)
+        yield span, _vec.mix(summed + np.uint64(salt) - hashes[k : k + n] * _MULT[k])
+
+
 class Block:
     """The seeds of some benchmark items, sorted, with a bitmap in front."""
 
@@ -76,13 +93,14 @@ class Block:
         texts = _vec.strings(pa.array([t for _, t in items], pa.string()))
         hashes, off = tokens(texts)
         self.tokens = [hashes[off[i] : off[i + 1]] for i in range(len(items))]
-        short = sorted({len(t) for t in self.tokens if LEAST <= len(t) < SPAN})
-        #: (span, positions looked at, salt)
-        self.kinds = [(SPAN, [k for k, c in enumerate(m) if c == "1"], s) for s, m in enumerate(MASKS)] + [(n, list(range(n)), 100 + n) for n in short]
+        short = sorted({len(t) for t in self.tokens if LEAST <= len(t) <= SPAN})
+        #: (span, positions looked at, salt, whether for whole items of just that length)
+        self.kinds = [(SPAN, [k for k, c in enumerate(m) if c == "1"], s, False) for s, m in enumerate(MASKS)]
+        self.kinds += [(n, [k for k in range(n) if k != j], 100 * n + j, True) for n in short for j in range(n)]
         keys, item, at = [], [], []
         for i, own in enumerate(self.tokens):
-            for span, picked, salt in self.kinds:
-                if len(own) >= SPAN == span or len(own) == span < SPAN:
+            for span, picked, salt, whole in self.kinds:
+                if len(own) == span if whole else len(own) >= span:
                     seeds = _seed(own, picked, span, salt)
                     keys.append(seeds)
                     item.append(np.full(len(seeds), i))
@@ -97,8 +115,7 @@ class Block:
     def hits(self, hashes: np.ndarray, off: np.ndarray) -> set[tuple[int, int, int]]:
         """(text, item, token of the text at which the item would begin), once each."""
         out: set[tuple[int, int, int]] = set()
-        for span, picked, salt in self.kinds:
-            seeds = _seed(hashes, picked, span, salt)
+        for span, seeds in _seeds(hashes, self.kinds):
             some = np.flatnonzero(self.bitmap[seeds >> np.uint64(64 - _FILTER_BITS)])
             text = np.searchsorted(off, some, "right") - 1
             within = some + span <= off[text + 1]
@@ -109,7 +126,7 @@ class Block:
         return out
 
     def overlap(self, own: np.ndarray, item: int, begin: int) -> tuple[int, int, int]:
-        """(first token, tokens, substitutions) of the best run, if it is long enough; else no tokens."""
+        """(first token, tokens, substitutions) of the best run, if it is long enough, or of the whole item; else no tokens."""
         other = self.tokens[item]
         a, b = max(0, -begin), min(len(other), len(own) - begin)
         same = own[begin + a : begin + b] == other[a:b]
@@ -120,6 +137,8 @@ class Block:
         length, wrong = end - first, int((~same[first:end]).sum())
         if length >= min(OVERLAP, len(other)):
             return begin + a + first, length, wrong
+        if len(same) == len(other) >= LEAST and (wrong := int((~same).sum())) <= 1 + (len(other) >= TWO_FROM):
+            return begin, len(other), wrong
         return 0, 0, 0
 
 

@@ -231,6 +231,22 @@ def test_decontamination_in_other_letter_case(spark, documents):
     assert all(r.n_tokens == len(items[k].split()) and r.n_substituted == 0 and r.token == 2 for (k, _), r in found.items())
 
 
+def test_decontamination_of_short_items(spark, documents):
+    sizes = list(range(decontaminate.LEAST, 26))
+    items = [" ".join(f"i{n}w{k}" for k in range(n)) for n in sizes]
+    texts, want = [], {}
+    for item, n in enumerate(sizes):
+        at = [{a, b} for a in range(n) for b in range(a, n) if a == b or n >= decontaminate.TWO_FROM]
+        for changed in at:
+            want[len(texts), item] = n
+            texts.append(f"pad {' '.join('other' if k in changed else f'i{n}w{k}' for k in range(n))} pad")
+    beyond = len(texts)
+    texts += [" ".join("other" if k in (1, n - 2) else f"i{n}w{k}" for k in range(n)) for n in sizes if n < 15]
+    found = _overlaps(spark, documents, texts, items)
+    assert set(found) == set(want) and beyond < len(texts)
+    assert all(r.n_tokens == n and r.token == 1 for (_, i), r in found.items() for n in [sizes[i]] if n <= decontaminate.SPAN)
+
+
 def test_decontamination_in_blocks(spark, documents, monkeypatch):
     items = [" ".join(f"i{k}w{n}" for n in range(20)) for k in range(30)]
     texts = [f"pad {i} pad" for i in items]
