@@ -1,9 +1,9 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, also across the line breaks of a comment block; each is normalised
-(lower case, one space between words, no comment marks, commas, quotes or closing punctuation, and
-copyright lines without year and holder) and looked up among known licence sentences.  What is found,
-in order, is a sequence of identifiers.  Licence rules are sequences too, tried in their order; a
+A text is normalised: lower case, one space between words, no comment marks, commas, quotes or closing
+punctuation, and copyright lines without year and holder.  Known licence sentences are sought in it
+that begin and end where a line or a sentence does, also across line breaks, but not across the ends
+of sentences: a licence line needs no closing punctuation.  What is found, in order, is a sequence of identifiers.  Licence rules are sequences too, tried in their order; a
 rule that matches takes its identifiers out, so that a longer rule wins over a shorter one that
 it contains.  Identifiers that no rule took are reported as unmatched.
 
@@ -12,6 +12,8 @@ Null and empty texts, and texts without a known sentence, yield no row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,12 +94,32 @@ CLEAN = [
     (r"[ \t]+", " "),
     (r"^(?:copyright|\(c\))(?: |$)(?:.* )?(?:\(c\)|[0-9]{4}).*$", "copyright"),
 ]
+#: Sentences that hold two known ones, parted by a comma.
+JOINED = {
+    f"you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version {v} of the license or (at your option) any later version": f"gpl_terms gpl_v{v}plus"
+    for v in (2, 3)
+}
+#: Steps of the scan, to a text whose lines end in a line feed and whose sentences in a form feed, each as CLEAN
+#: makes a sentence. STEPS, CLEAN and SENTENCES alone are those of the SQL, which knows no lines.
+LINES = [
+    (r"(spdx-license-identifier):", "$1"),
+    (r"[ \t]+", " "),
+    (r"\r?\n[ /#*;%-]*", "\n"),
+    (r"([.!?;:]) ?(?:\n|(?<= ))", "$1\f"),
+    (r"""(^|[\n\f])[ /#*;%"'-]++""", "$1"),
+    (r"""(?<![ .!?;:"'*/])[ .!?;:"'*/]++(?=[\n\f]|\z)""", ""),
+    (r"""[,:"'`]""", ""),
+    (r" +", " "),
+    (r" ?\n[ \n]*", "\n"),
+    # The year may stand further on in the sentence; only the line is taken.
+    (r"(?<![^\n\f])(?:copyright|\(c\))(?=[ \n](?:[^\f]*[ \n])?(?:\(c\)|[0-9]{4}))[^\n\f]*", "copyright"),
+]
 
 
-def _sentences(text: Column) -> Column:
-    for pattern, by in STEPS:
+def _normal(text: Column) -> Column:
+    for pattern, by in LINES:
         text = F.regexp_replace(text, pattern, by)
-    return F.split(text, "\n")
+    return text
 
 
 def _clean(sentence: Column) -> Column:
@@ -108,9 +130,11 @@ def _clean(sentence: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    hinted = F.filter(_sentences(F.lower(text)), lambda s: s.rlike(HINTS))
-    return F.filter(F.transform(hinted, lambda s: F.try_element_at(known, _clean(s))), lambda i: i.isNotNull())
+    sentences = SENTENCES | JOINED
+    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    any_of = "|".join(re.sub(r"([.()/+*?-])", r"\\\1", s).replace(" ", "[ \n]") for s in sorted(sentences, key=len, reverse=True))
+    found = F.regexp_extract_all(_normal(F.lower(text)), F.lit(rf"(?<![^\n\f])(?:{any_of})(?![^\n\f])"), F.lit(0))
+    return F.flatten(F.transform(found, lambda s: F.split(F.element_at(known, F.translate(s, "\n", " ")), " ")))
 
 
 def match_rules(found: Column) -> Column:

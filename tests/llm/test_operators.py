@@ -77,6 +77,78 @@ def test_licences(documents):
     assert rows == {0: (["MIT"], []), 1: (["MIT"], []), 2: (["LicenseRef-All-Rights-Reserved"], ["copyright"]), 3: (["Apache-2.0"], []), 8: (["Apache-2.0", "CC-BY-NC-4.0", "MIT"], [])}
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL = """Copyright (C) 2021  Jane Doe
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Copyright 2022 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_licence_headers_before_code(documents):
+    code = "\nimport os\n\ndef f(x):\n    return x + 1\n"
+    marked = lambda text, mark: "".join(f"{mark} {line}".rstrip() + "\n" for line in text.splitlines())
+    want = {
+        "# SPDX-License-Identifier: MIT" + code: (["MIT"], []),
+        "/* SPDX-License-Identifier: GPL-2.0-only */" + code: (["GPL-2.0-only"], []),
+        "intro\r\nReleased under the MIT License\r\nand a body": (["MIT"], []),
+        "a heading\nLicensed under the\nApache License, Version 2.0\nand a body": (["Apache-2.0"], []),
+        MIT_FILE + code: (["MIT"], ["copyright"]),
+        MIT_FILE.split("\n\n", 1)[1] + code: (["MIT"], ["copyright"]),
+        marked(GPL, "#") + code: (["GPL-3.0-or-later"], ["copyright", "gpl_warranty"]),
+        marked(GPL.replace("version 3", "version 2"), "//") + code: (["GPL-2.0-or-later"], ["copyright", "gpl_warranty"]),
+        "/*\n" + marked(APACHE, " *") + " */" + code: (["Apache-2.0"], ["copyright"]),
+        "(c) Jane Doe,\nJohn Doe 2020\nAll rights reserved\n" + code: (["LicenseRef-All-Rights-Reserved"], ["copyright"]),
+        "not released under the MIT License\nat all": None,
+    }
+    rows = {r.doc_id: (r.licenses, r.unmatched, r.identifiers) for r in licenses.scan(documents(list(want))).collect()}
+    assert {k: v[:2] for k, v in rows.items()} == {k: v for k, v in enumerate(want.values()) if v}
+    assert rows[4][2] == ["copyright", "mit_grant", "mit_notice", "mit_warranty", "mit_liability"]
+    assert rows[8][2] == ["copyright", "apache2_head", "apache2_comply", "apache2_copy", "apache2_basis", "apache2_see"]
+
+
 def test_every_licence_sentence_is_hinted_and_normal(spark):
     import re
 
