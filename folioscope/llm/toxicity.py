@@ -8,9 +8,10 @@ what is rare in both classes says little about either.  A document's score is it
 under the toxic model less that under the ordinary one, divided by a power of its bytes, passed through a
 logistic function that is fitted on labelled documents set apart from the counts.
 
-Counts come from all rows to learn from; n-grams are hashed to ``1 << BITS`` places an order,
-which bounds the model whatever the corpus.  What is shipped to the tasks is one number for each
-place: the log ratio of an n-gram that was seen, and that of backing off in each context.
+Counts come from all rows to learn from and are kept by the n-grams themselves: up to four bytes
+and their number fit a key, so none are hashed together, and the model grows with the distinct n-grams
+of the corpus.  What is shipped to the tasks is the log ratio of each n-gram that was seen, and that
+of backing off in each context.
 
 Null and empty texts have the log ratio 0.  If one of the classes has no documents, every score
 is the share of toxic documents.
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from . import _vec
 
 ORDER = 4
-BITS = 19
 #: The log-likelihoods' difference is divided by this power of the bytes: toxic expressions get
 #: rarer, a byte, as documents get longer.
 LENGTH_POWER = 0.85
@@ -39,8 +39,10 @@ CALIBRATE = 10_000
 
 @dataclass
 class Model:
-    gram: np.ndarray  # log ratio of each n-gram place, NaN if it was never seen
-    context: np.ndarray  # log ratio of backing off in each context place
+    grams: np.ndarray  # keys of the n-grams seen, sorted
+    gram: np.ndarray  # log ratio of each
+    contexts: np.ndarray  # keys of their contexts, sorted
+    context: np.ndarray  # log ratio of backing off in each
     slope: float
     offset: float
 
@@ -60,27 +62,53 @@ def _distinct(texts: _vec.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, _v
     return which, at, sizes, _vec.Texts(buf, off)
 
 
-def _places(words: _vec.Texts, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte after the first of each word: its word, and the places of the n-gram, of its suffix and of its context."""
+def _keys(words: _vec.Texts, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte after the first of each word: its word, and the key of the n-gram: its number of bytes, and its bytes."""
     sizes = np.diff(words.off)
     word = np.repeat(np.arange(len(sizes)), sizes - 1)
     at = _vec.gather(words.off[:-1] + 1, sizes - 1)
-    sums = words.prefix()
-    _, inverse = _vec._pow(len(words.buf) + 1)
+    size = np.minimum(at + 1 - words.off[word], order)
+    key = size << 32
+    for k in range(order):
+        key += np.where(k < size, words.buf[np.maximum(at - k, 0)].astype(np.int64) << 8 * k, 0)
+    return word, key
 
-    def place(begin, end, salt):
-        return (_vec.mix((sums[end] - sums[begin]) * inverse[begin] + np.uint64(salt)) >> np.uint64(64 - BITS)).astype(np.int64)
 
-    begin = np.maximum(words.off[word], at - order + 1)
-    shorter = np.maximum(words.off[word], at - order + 2) if order > 1 else at
-    return word, place(begin, at + 1, order), place(shorter, at + 1, order - 1), place(begin, at, 1000 + order)
+def _suffix(keys: np.ndarray, order: int) -> np.ndarray:
+    """The keys of the n-grams' last ``order`` bytes, or of all if they have less."""
+    size = np.minimum(keys >> 32, order)
+    return size << 32 | keys & ((1 << 8 * size) - 1)
+
+
+def _context(keys: np.ndarray) -> np.ndarray:
+    """The keys of the n-grams without their last byte."""
+    return ((keys >> 32) - 1) << 32 | (keys & 0xFFFFFFFF) >> 8
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their two counts."""
+    distinct, which = np.unique(keys, return_inverse=True)
+    return distinct, np.stack([np.bincount(which, c, len(distinct)) for c in counts])
+
+
+def _look_up(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of what is sought among sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(sought), np.int64), np.zeros(len(sought), bool)
+    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+    return at, keys[at] == sought
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to (order, place, suffix, context, toxic, ordinary), added up for each task."""
-    size = 1 << BITS
-    counts = np.zeros((ORDER + 1, 2, size))
-    suffixes, contexts = np.zeros((ORDER + 1, size), np.int32), np.zeros((ORDER + 1, size), np.int32)
+    """(text, toxic) to (order, n-gram, toxic, ordinary), added up for each task."""
+    totals = [(np.zeros(0, np.int64), np.zeros((2, 0)))] * (ORDER + 1)
+    held: list[list] = [[] for _ in totals]
+
+    def add_up(n):
+        parts = [totals[n], *held[n]]
+        totals[n] = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts], 1))
+        held[n].clear()
+
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for a, b, texts in _vec.slices(_vec.strings(batch.column(0))):
@@ -90,15 +118,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             label = np.repeat(toxic[a:b], np.diff(at))
             by_class = [np.bincount(which[label == c], minlength=len(words)) for c in (0, 1)]
             for n in range(1, ORDER + 1):
-                word, gram, suffix, context = _places(words, n)
-                for c in (0, 1):
-                    counts[n, c] += np.bincount(gram, by_class[c][word], minlength=size)
-                suffixes[n][gram], contexts[n][gram] = suffix, context
+                word, key = _keys(words, n)
+                held[n].append(_summed(key, np.stack([c[word] for c in by_class])))
+                if sum(len(k) for k, _ in held[n]) > max(200_000, len(totals[n][0])):
+                    add_up(n)
     for n in range(1, ORDER + 1):
-        used = np.flatnonzero(counts[n].sum(0))
-        for k in range(0, len(used), 100_000):
-            p = used[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), n, np.int32)), pa.array(p.astype(np.int32)), pa.array(suffixes[n][p]), pa.array(contexts[n][p]), pa.array(counts[n, 1][p].astype(np.int64)), pa.array(counts[n, 0][p].astype(np.int64))], ["n", "place", "suffix", "context", "toxic", "ordinary"])
+        add_up(n)
+        keys, counts = totals[n]
+        for k in range(0, len(keys), 100_000):
+            some = slice(k, k + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[some]), n, np.int32)), pa.array(keys[some]), *(pa.array(counts[c, some].astype(np.int64)) for c in (1, 0))], ["n", "gram", "toxic", "ordinary"])
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -106,38 +135,41 @@ def _discount(counts: np.ndarray) -> float:
     return float(one / (one + 2 * two)) if one else 0.5
 
 
-def _ratios(rows: dict[int, dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << BITS
-    below = np.full(size, 1 / 256)  # probability of each suffix place; under order 1 all bytes are alike
+def _ratios(rows: dict[int, dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a model holds, of the counts of each order by sorted n-grams."""
+    shorter, below = np.zeros(0, np.int64), np.zeros(0)  # the n-grams an order lower, and their probabilities
+
+    def backed_off(keys, n):
+        return below[_look_up(shorter, _suffix(keys, n - 1))[0]] if n > 1 else np.full(len(keys), 1 / 256)  # under order 1 all bytes are alike
+
     for n in range(1, ORDER):
-        r = rows[n]
+        keys = rows[n]["gram"]
         # In how many different (n + 1)-grams an n-gram ends.
-        continued = np.bincount(rows[n + 1]["suffix"], minlength=size)[r["place"]].astype(float)
+        continued = np.bincount(_look_up(keys, _suffix(rows[n + 1]["gram"], n))[0], minlength=len(keys)).astype(float)
         d = _discount(continued)
-        total = np.bincount(r["context"], continued, size)[r["context"]]
-        kinds = np.bincount(r["context"], continued > 0, size)[r["context"]]
-        total = np.maximum(total, 1)
-        own = np.maximum(continued - d, 0) / total + np.minimum(1, d * np.maximum(kinds, 1) / total) * below[r["suffix"]]
-        below = np.full(size, 1 / 256)
-        below[r["place"]] = np.maximum(own, 1e-9)
+        _, context = np.unique(_context(keys), return_inverse=True)
+        total = np.maximum(np.bincount(context, continued)[context], 1)
+        kinds = np.bincount(context, continued > 0)[context]
+        own = np.maximum(continued - d, 0) / total + np.minimum(1, d * np.maximum(kinds, 1) / total) * backed_off(keys, n)
+        shorter, below = keys, np.maximum(own, 1e-9)
     r = rows[ORDER]
+    contexts, context = np.unique(_context(r["gram"]), return_inverse=True)
+    under = backed_off(r["gram"], ORDER)
     logs, back = [], []
     for c in ("toxic", "ordinary"):
         count = r[c].astype(float)
         d = _discount(r[c])
-        total = np.bincount(r["context"], count, size)
-        kinds = np.bincount(r["context"], count > 0, size)
+        total = np.bincount(context, count)
+        kinds = np.bincount(context, count > 0)
         rest = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
         rest = np.maximum(rest, 1e-6)
-        p = np.maximum(count - d, 0) / np.maximum(total[r["context"]], 1) + rest[r["context"]] * below[r["suffix"]]
+        p = np.maximum(count - d, 0) / np.maximum(total[context], 1) + rest[context] * under
         logs.append(np.log(p))
         back.append(np.log(rest))
-    gram = np.full(size, np.nan, np.float32)
-    gram[r["place"]] = logs[0] - logs[1]
-    return gram, (back[0] - back[1]).astype(np.float32)
+    return r["gram"], (logs[0] - logs[1]).astype(np.float32), contexts, (back[0] - back[1]).astype(np.float32)
 
 
-def _log_ratios(gram: np.ndarray, context: np.ndarray):
+def _log_ratios(model: Model):
     """(doc_id, text) to (doc_id, length-normalised log ratio)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +179,11 @@ def _log_ratios(gram: np.ndarray, context: np.ndarray):
                 which, at, sizes, words = _distinct(texts)
                 if not len(which):
                     continue
-                word, place, _, before = _places(words, ORDER)
-                ratio = gram[place]
-                ratio = np.where(np.isnan(ratio), context[before], ratio)
+                word, key = _keys(words, ORDER)
+                ratio = np.zeros(len(key))
+                for keys, values, sought in ((model.contexts, model.context, _context(key)), (model.grams, model.gram, key)):
+                    place, seen = _look_up(keys, sought)
+                    ratio[seen] = values[place[seen]]
                 own = np.bincount(word, ratio, len(words))[which]
                 bytes_ = (sizes + 1)[which]
                 sums, lengths = (np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))[at] for x in (own, bytes_))
@@ -176,27 +210,28 @@ def fit(labelled: DataFrame, calibrate: Column, id_col: str = "doc_id", text_col
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), calibrate.alias("apart"))
     sizes = rows.groupBy("apart", "toxic").count().collect()
     total = {c: sum(r["count"] for r in sizes if r.toxic == c) for c in (0, 1)}
-    flat = Model(np.full(1 << BITS, np.nan, np.float32), np.zeros(1 << BITS, np.float32), 0.0, 0.0)
+    flat = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 0.0)
     flat.offset = float(np.log((total[1] + 0.5) / (total[0] + 0.5)))
     if not total[0] or not total[1]:
         return flat
-    counts = rows.where("not apart").select("text", "toxic").mapInArrow(_vec.tidy(_count), "n int, place int, suffix int, context int, toxic long, ordinary long")
-    table = counts.groupBy("n", "place").agg(F.min("suffix").alias("suffix"), F.min("context").alias("context"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
+    counts = rows.where("not apart").select("text", "toxic").mapInArrow(_vec.tidy(_count), "n int, gram long, toxic long, ordinary long")
+    table = counts.groupBy("n", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow().sort_by("gram")
     columns = {c: table.column(c).to_numpy() for c in table.column_names}
     by_order = {n: {c: v[columns["n"] == n] for c, v in columns.items()} for n in range(1, ORDER + 1)}
-    gram, context = _ratios(by_order)
+    model = Model(*_ratios(by_order), 0.0, 0.0)
     apart = sum(r["count"] for r in sizes if r.apart)
     drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(min(1.0, CALIBRATE / max(1, apart)) * (1 << 20)))
-    found = rows.where("apart").where(drawn).select("toxic", "text").mapInArrow(_vec.tidy(_log_ratios(gram, context)), "toxic int, ratio double").collect()
+    found = rows.where("apart").where(drawn).select("toxic", "text").mapInArrow(_vec.tidy(_log_ratios(model)), "toxic int, ratio double").collect()
     y, x = np.array([r.toxic for r in found], float), np.array([r.ratio for r in found])
     if not len(y) or y.min() == y.max():
         return flat
-    return Model(gram, context, *_logistic(x, y))
+    model.slope, model.offset = _logistic(x, y)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score from 0 to 1 and predicted for each document."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_vec.tidy(_log_ratios(model.gram, model.context)), f"doc_id {kind}, ratio double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_vec.tidy(_log_ratios(model)), f"doc_id {kind}, ratio double")
     p = 1 / (1 + F.exp(-(F.col("ratio") * model.slope + model.offset)))
     return rows.select("doc_id", p.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

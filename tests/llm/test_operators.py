@@ -230,6 +230,24 @@ def test_toxicity_edges(spark, documents):
     assert rows[0].predicted == 1 and rows[1].predicted == 0 and all(0 <= r.score <= 1 for r in rows.values())
 
 
+def test_toxicity_keeps_all_ngrams_apart():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = [" ".join("".join(chr(rng.choice([rng.randrange(97, 123), rng.randrange(0x400, 0x3000)])) for _ in range(6)) for _ in range(800)) for _ in range(20)]
+    want: dict = {}
+    for k, text in enumerate(texts):
+        for word in text.split(" "):
+            data = b"\x02" + word.encode() + b"\x03"
+            for n in range(1, toxicity.ORDER + 1):
+                for at in range(1, len(data)):
+                    gram = n, data[max(0, at - n + 1) : at + 1]
+                    want.setdefault(gram, [0, 0])[k % 2] += 1
+    rows = pa.Table.from_batches(toxicity._count(iter([pa.record_batch({"text": texts, "toxic": [k % 2 for k in range(len(texts))]})])))
+    found = {(r["n"], (r["gram"] & 0xFFFFFFFF).to_bytes(4)[4 - (r["gram"] >> 32) :]): [r["ordinary"], r["toxic"]] for r in rows.to_pylist()}
+    assert found == want and len(found) == rows.num_rows > 150_000
+
+
 def test_packing(spark, documents):
     from tokenizers import Tokenizer
 
