@@ -257,16 +257,17 @@ def _emit_anchors(buckets: int):
             sizes = np.diff(runs)
             known = np.repeat(sizes > 1, sizes)
             rows = _destinations(d[known], buckets, _narrow(h[known]))
-            # One record for each hash: its document, or -1 if this flush has answered it.
+            # One record for each hash, and its document; those that this flush has answered come last, without.
             first = runs[:-1]
-            h, d = h[first], np.where(sizes > 1, -1, d[first])
+            h, d, answered = h[first], d[first], sizes > 1
             bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-            by = np.lexsort((d, bucket))
-            h, d, bucket = h[by], d[by], bucket[by]
+            by = np.lexsort((d, answered, bucket))
+            h, d, answered, bucket = h[by], d[by], answered[by], bucket[by]
             cut = _runs(bucket)
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                docs = _runs(d[a:b])
-                rows.append((int(bucket[a]), None, _vec.pack(_narrow(h[a:b])), _vec.pack(d[a:b][docs[:-1]]), _vec.pack(np.diff(docs).astype(np.uint32)), None))
+                own = d[a:b][~answered[a:b]]
+                docs = _runs(own) if len(own) else np.zeros(1, np.int64)
+                rows.append((int(bucket[a]), None, _vec.pack(_narrow(h[a:b])), _vec.pack(own[docs[:-1]]), _vec.pack(np.diff(docs).astype(np.uint32)), None))
             if rows:
                 yield _flow(rows)
 
@@ -347,12 +348,15 @@ def _held_by_bucket(batches, use) -> Iterator[pa.RecordBatch]:
 
 def _shared_anchors(buckets: int):
     def use(rows):
-        h = np.concatenate([_widen(r["a"]) for r in rows])
-        d = np.concatenate([np.repeat(np.frombuffer(r["b"], np.int64), np.frombuffer(r["c"], np.uint32)) for r in rows])
+        hs = [_widen(r["a"]) for r in rows]
+        ds = [np.repeat(np.frombuffer(r["b"], np.int64), np.frombuffer(r["c"], np.uint32)) for r in rows]
+        is_open = np.concatenate([np.arange(len(h)) < len(d) for h, d in zip(hs, ds, strict=True)])
+        h, d = np.concatenate(hs), np.zeros(len(is_open), np.int64)
+        d[is_open] = np.concatenate(ds)
         by = np.argsort(h, kind="stable")
-        h, d = h[by], d[by]
+        h, d, is_open = h[by], d[by], is_open[by]
         sizes = np.diff(_runs(h))
-        shared = np.repeat(sizes > 1, sizes) & (d >= 0)
+        shared = np.repeat(sizes > 1, sizes) & is_open
         return _destinations(d[shared], buckets, _narrow(h[shared]))
 
     return lambda batches: _held_by_bucket(batches, use)

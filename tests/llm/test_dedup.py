@@ -105,6 +105,16 @@ def test_repeated_bytes(documents, seed):
     assert sorted(len(r.text) for r in again) == [0, 0, 0, 0, 500, 500]
 
 
+def test_repeated_bytes_of_negative_ids(spark):
+    rng = random.Random(8)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(120)) for _ in range(12)]
+    ids = [-(2**63), *(rng.randrange(-(2**62), 2**62) for _ in range(45)), -1, 0]
+    docs = [(i, "".join(rng.choice("ijklmno ") for _ in range(90)) + rng.choice(passages) + str(i)) for i in ids]
+    want = _marked([(i, t.encode()) for i, t in sorted(docs)])
+    rows = suffix_dedup.repeated_bytes(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: sum(b - a for a, b in zip(r.begins, r.ends, strict=True)) for r in rows} == {i: sum(w) for i, w in want.items()}
+
+
 def test_deep_shallow_orders_and_groups():
     import numpy as np
 
