@@ -193,20 +193,23 @@ def _log_ratios(model: Model):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic function, by Newton's method on standardised x."""
     mean, spread = x.mean(), x.std() or 1.0
     z, w = (x - mean) / spread, np.zeros(2)
     rows = np.stack((z, np.ones_like(z)), 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        hess = (rows * (p * (1 - p))[:, None]).T @ rows + 1e-3 * np.eye(2)
-        w -= np.linalg.solve(hess, rows.T @ (p - y) + 1e-3 * w)
+        hess = (rows * (weight * p * (1 - p))[:, None]).T @ rows + 1e-3 * np.eye(2)
+        w -= np.linalg.solve(hess, rows.T @ (weight * (p - y)) + 1e-3 * w)
     return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
 def fit(labelled: DataFrame, calibrate: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 5) -> Model:
-    """Learn from all rows; those where ``calibrate`` holds fit the logistic function, the others are counted."""
+    """Learn from all rows; those where ``calibrate`` holds fit the logistic function, the others are counted.
+
+    A class without a row for one of the two has all its rows in both.
+    """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), calibrate.alias("apart"))
     sizes = rows.groupBy("apart", "toxic").count().collect()
     total = {c: sum(r["count"] for r in sizes if r.toxic == c) for c in (0, 1)}
@@ -214,18 +217,23 @@ def fit(labelled: DataFrame, calibrate: Column, id_col: str = "doc_id", text_col
     flat.offset = float(np.log((total[1] + 0.5) / (total[0] + 0.5)))
     if not total[0] or not total[1]:
         return flat
-    counts = rows.where("not apart").select("text", "toxic").mapInArrow(_vec.tidy(_count), "n int, gram long, toxic long, ordinary long")
+    fitting = {c: sum(r["count"] for r in sizes if r.toxic == c and r.apart) for c in (0, 1)}
+    counting = {c: sum(r["count"] for r in sizes if r.toxic == c and r.apart is False) for c in (0, 1)}
+    both = F.col("toxic").isin([c for c in (0, 1) if not fitting[c] or not counting[c]])
+    counts = rows.where(~F.col("apart") | both).select("text", "toxic").mapInArrow(_vec.tidy(_count), "n int, gram long, toxic long, ordinary long")
     table = counts.groupBy("n", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow().sort_by("gram")
     columns = {c: table.column(c).to_numpy() for c in table.column_names}
     by_order = {n: {c: v[columns["n"] == n] for c, v in columns.items()} for n in range(1, ORDER + 1)}
     model = Model(*_ratios(by_order), 0.0, 0.0)
-    apart = sum(r["count"] for r in sizes if r.apart)
-    drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(min(1.0, CALIBRATE / max(1, apart)) * (1 << 20)))
-    found = rows.where("apart").where(drawn).select("toxic", "text").mapInArrow(_vec.tidy(_log_ratios(model)), "toxic int, ratio double").collect()
+    fitting = {c: fitting[c] if fitting[c] and counting[c] else total[c] for c in (0, 1)}
+    # At least half of CALIBRATE from each class, if it has them; rows stand for those that were not drawn.
+    share = {c: min(1.0, max(CALIBRATE / sum(fitting.values()), CALIBRATE / 2 / fitting[c])) for c in (0, 1)}
+    drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, int(share[1] * (1 << 20))).otherwise(int(share[0] * (1 << 20)))
+    found = rows.where(F.col("apart") | both).where(drawn).select("toxic", "text").mapInArrow(_vec.tidy(_log_ratios(model)), "toxic int, ratio double").collect()
     y, x = np.array([r.toxic for r in found], float), np.array([r.ratio for r in found])
     if not len(y) or y.min() == y.max():
         return flat
-    model.slope, model.offset = _logistic(x, y)
+    model.slope, model.offset = _logistic(x, y, np.where(y == 1, 1 / share[1], 1 / share[0]))
     return model
 
 

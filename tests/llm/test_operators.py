@@ -230,6 +230,16 @@ def test_toxicity_edges(spark, documents):
     assert rows[0].predicted == 1 and rows[1].predicted == 0 and all(0 <= r.score <= 1 for r in rows.values())
 
 
+def test_toxicity_with_few_toxic_rows_to_calibrate(spark, documents, monkeypatch):
+    docs = documents(["you idiot " * 5, "a fine day " * 5])
+    predicted = lambda model: [r.predicted for r in toxicity.score(docs, model).orderBy("doc_id").collect()]
+    rows = [(k, ("you silly idiot " if k % 125 == 0 else "a fine warm day ") * 5, int(k % 125 == 0)) for k in range(1000)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "CALIBRATE", 20)
+    for apart in (F.col("doc_id") % 2 == 0, F.col("doc_id") % 125 == 1, F.col("doc_id") % 125 == 0):
+        assert predicted(toxicity.fit(labelled, calibrate=apart)) == [1, 0]
+
+
 def test_toxicity_keeps_all_ngrams_apart():
     import pyarrow as pa
 
