@@ -30,11 +30,12 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the table of a frame that ``written`` returned and that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._folioscope_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``written`` returned and that no later plan reads; others are left alone."""
+    for df in frames:
+        if location := getattr(df, "_folioscope_path", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(location)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def input_bytes(df: DataFrame) -> int:

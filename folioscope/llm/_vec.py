@@ -1,7 +1,8 @@
 """Vectorised text primitives over Arrow string batches.
 
-Texts are handled as one byte buffer with offsets.  Hashes come from prefix sums of a
-polynomial over random byte values, so that the hash of any substring costs two lookups.
+Texts are handled as one byte buffer with offsets.  Words are hashed eight bytes at a time, each block
+through a bijection of 64 bits that is not linear, and their length with them; what must be exact compares
+the bytes too (``same``).  Grams, all of one small length, come from prefix sums of a polynomial.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,9 +23,13 @@ _RNG = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_TABLE_LOWER = _TABLE[_LOWER]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_LENGTH = np.uint64(0xA0761D6478BD642F)
+#: Masks for the first k bytes of a block.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -59,9 +65,9 @@ class Texts:
     def __len__(self) -> int:
         return len(self.off) - 1
 
-    def prefix(self, lower: bool = False) -> np.ndarray:
+    def prefix(self) -> np.ndarray:
         powers, _ = _pow(len(self.buf) + 1)
-        values = (_TABLE_LOWER if lower else _TABLE)[self.buf]
+        values = _TABLE[self.buf]
         values *= powers[: len(self.buf)]
         out = np.zeros(len(self.buf) + 1, np.uint64)
         np.cumsum(values, out=out[1:])
@@ -86,9 +92,21 @@ class Texts:
         return self.span_hashes(begins, ends, lower), at
 
     def span_hashes(self, begins: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        sums = self.prefix(lower)
-        _, inverse = _pow(len(self.buf) + 1)
-        return mix((sums[ends] - sums[begins]) * inverse[begins])
+        buf = _LOWER[self.buf] if lower else self.buf
+        words, sizes = _blocks(buf), ends - begins
+        out = mix(sizes.astype(np.uint64) * _LENGTH)
+        rows = np.flatnonzero(sizes <= _LONG) if len(sizes) and sizes.max() > _LONG else slice(None)
+        begin, size, h, done = begins[rows], sizes[rows], out[rows], 0
+        while len(begin):
+            h = mix(h ^ (words[begin + done] & _FIRST[np.minimum(size - done, 8)]))
+            out[rows] = h
+            done += 8
+            more = np.flatnonzero(size > done)
+            rows = more if isinstance(rows, slice) else rows[more]
+            begin, size, h = begin[more], size[more], h[more]
+        for k in np.flatnonzero(sizes > _LONG).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(buf[begins[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
     def grams(self, k: int) -> np.ndarray:
         """The hash of the k bytes at each position of the buffer, texts' borders ignored."""
@@ -102,6 +120,25 @@ class Texts:
         return mix(out)
 
 
+def _blocks(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position of the buffer, zeros behind its end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+
+def same(a: np.ndarray, a_begins: np.ndarray, b: np.ndarray, b_begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sizes[k] bytes of ``a`` from a_begins[k] equal those of ``b`` from b_begins[k]."""
+    out, x, y = np.ones(len(sizes), bool), _blocks(a), _blocks(b)
+    rows, done = np.arange(len(sizes)), 0
+    while len(rows):
+        keep = _FIRST[np.minimum(sizes[rows] - done, 8)]
+        out[rows] &= (x[a_begins[rows] + done] & keep) == (y[b_begins[rows] + done] & keep)
+        done += 8
+        rows = rows[out[rows] & (sizes[rows] > done)]
+    return out
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> Texts:
     """The texts of an Arrow string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

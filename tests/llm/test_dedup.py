@@ -54,6 +54,50 @@ def test_near_duplicates_without_rows(documents, spark):
     assert [r.kept for r in near_dups.near_duplicates(wide).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_near_duplicates_by_similarity(documents):
+    """Every pair from 0.80 on is linked, none below."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(60):
+        base = [f"d{k}w{i}" for i in range(150)]
+        texts += [" ".join(base), _edited(rng, base, k // 10 + 1)]
+    sets, comp = _components(texts, 5, 80)
+    shares = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.8 <= s < 0.9 for s in shares) > 10 and sum(s < 0.8 for s in shares) > 10
+    rows = near_dups.near_duplicates(documents(texts)).orderBy("doc_id").collect()
+    assert [r.component_id for r in rows] == comp
+
+
+def test_a_bucket_without_a_common_component(documents, monkeypatch):
+    """Documents that share bands but no link go through the blocks."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(200)]
+    texts = [" ".join(common + [f"t{k // 2}w{i}" for i in range(70 + k // 2 % 3)] + [f"k{k}"]) for k in range(80)]
+    rng.shuffle(texts)
+    monkeypatch.setattr(near_dups, "BLOCK", 7)
+    _, comp = _components(texts, 3, 85)
+    rows = near_dups.near_duplicates(documents(texts), words=3, percent=85).orderBy("doc_id").collect()
+    assert [r.component_id for r in rows] == comp and 1 < len(set(comp)) < 80
+
+
+def test_words_that_a_linear_hash_confuses(documents):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = near_dups.near_duplicates(documents([f"{word} x", f"{other} x", f"{word} x"])).orderBy("doc_id").collect()
+    assert [r.component_id for r in rows] == [0, 1, 0]
+
+
+def test_near_duplicates_that_share_an_id(spark):
+    same, lone = "a b c d e f g h i j " * 3, "k l m n o p q r s t " * 3
+    rows = [(1, same, "p"), (5, same, "q"), (5, lone, "r"), (None, lone + " u", "s"), (None, "only here v w x y z", "t"), (None, "only here v w x y z", "u"), (7, None, "v"), (None, "", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = near_dups.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(r.row for r in kept.collect()) == ["p", "r", "t", "u", "v", "w"]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(100, 101), (101, 100), (7, 7)], "x long, y long")
     found = {r.node: r.comp for r in near_dups.components(edges).collect()}
