@@ -14,7 +14,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _fold(parts: int) -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+    """A doc_id's share of ``parts``; a null one counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -230,6 +231,32 @@ SELECT record_id, canonical_url, response_id, outcome, array_to_string(list_sort
   'etag=' || CASE WHEN ok THEN coalesce(etag, fe) ELSE etag END, 'last-modified=' || CASE WHEN ok THEN coalesce(modified, fm) ELSE modified END], lambda y: y IS NOT NULL)), ';') AS headers FROM x
 """
 
+#: Aligns tokens on every diagonal with enough equal ones; of items of six tokens or more, as all of the table have.
+_OP9 = r"""
+WITH t AS (
+  SELECT doc_id, unnest(ts) AS tok, unnest(range(len(ts))) AS p, len(ts) AS n
+  FROM (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ts FROM documents)
+), b AS (
+  SELECT item_id, unnest(ts) AS tok, unnest(range(len(ts))) AS q, len(ts) AS m
+  FROM (SELECT item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ts FROM benchmark) WHERE len(ts) >= 6
+), hit AS (SELECT doc_id, item_id, m, n, p - q AS d, list(q ORDER BY q) AS qs FROM t JOIN b USING (tok) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= least(10, m - 2)
+), cell AS (
+  SELECT doc_id, item_id, m, d, greatest(0, -d) AS a, least(m, n - d) AS e, i, CASE WHEN list_contains(qs, i) THEN 1 ELSE -3 END AS v
+  FROM (SELECT *, unnest(range(greatest(0, -d), least(m, n - d))) AS i FROM hit)
+), total AS (SELECT *, sum(v) OVER (PARTITION BY doc_id, item_id, d ORDER BY i) AS s, sum(CASE WHEN v = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id, d) AS same FROM cell
+), low AS (SELECT *, least(0, min(s) OVER (PARTITION BY doc_id, item_id, d ORDER BY i)) AS l FROM total
+), top AS (SELECT doc_id, item_id, d, any_value(m) AS m, any_value(a) AS a, any_value(e) - any_value(a) AS whole, any_value(same) AS same, max(s - l) AS score, arg_min(i, (l - s, i)) AS last FROM low GROUP BY 1, 2, 3
+), begun AS (SELECT doc_id, item_id, d, min(s) AS least, arg_min(i, (s, i)) + 1 AS i1 FROM total JOIN top USING (doc_id, item_id, d) WHERE i <= last GROUP BY 1, 2, 3
+), run AS (SELECT *, last - i0 + 1 AS length FROM (SELECT top.*, CASE WHEN least >= 0 THEN top.a ELSE i1 END AS i0 FROM top JOIN begun USING (doc_id, item_id, d))
+), got AS (
+  SELECT doc_id, item_id, CASE WHEN length >= least(13, m) THEN d + i0 ELSE d END AS token, CASE WHEN length >= least(13, m) THEN length ELSE m END AS n_tokens,
+    CASE WHEN length >= least(13, m) THEN (length - score) // 4 ELSE m - same END AS n_substituted
+  FROM run WHERE length >= least(13, m) OR whole = m AND m - same <= 1 + CAST(m >= 16 AS INT)
+)
+SELECT doc_id, item_id, CAST(token AS BIGINT) AS token, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_substituted AS BIGINT) AS n_substituted
+FROM got QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_tokens - n_substituted DESC, token, n_tokens DESC) = 1
+"""
+
 _OP10 = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -278,5 +305,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": _op3_sql(),
         "op4_suffix_dedup": _OP4,
         "op6_warc_revisits": _OP6.format(tracking=revisits.TRACKING),
+        "op9_decontamination": _OP9,
         "op10_chat_formatting": _OP10.format(control=chat._CONTROL),
     }

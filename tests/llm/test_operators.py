@@ -334,6 +334,7 @@ def test_decontamination_in_other_letter_case(spark, documents):
 def test_decontamination_of_short_items(spark, documents):
     sizes = list(range(decontaminate.LEAST, 26))
     items = [" ".join(f"i{n}w{k}" for k in range(n)) for n in sizes]
+    assert set(_overlaps(spark, documents, ["It is. Two Words!\nno two words", "no two words", "two words", "a\nTwo\nwords\nb", "So: 42; done"], ["two words", "42", ""])) == {(0, 0), (2, 0), (3, 0), (4, 1)}
     texts, want = [], {}
     for item, n in enumerate(sizes):
         at = [{a, b} for a in range(n) for b in range(a, n) if a == b or n >= decontaminate.TWO_FROM]
@@ -349,9 +350,67 @@ def test_decontamination_of_short_items(spark, documents):
 
 def test_decontamination_in_blocks(spark, documents, monkeypatch):
     items = [" ".join(f"i{k}w{n}" for n in range(20)) for k in range(30)]
-    texts = [f"pad {i} pad" for i in items]
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 600)
+    texts = [f"pad {i} pad" for i in items] + ["nothing of it"]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 900)
     assert set(_overlaps(spark, documents, texts, items)) == {(k, k) for k in range(30)}
+    bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(items)], "item_id string, text string")
+    assert [r.doc_id for r in decontaminate.clean(documents(texts), bench).collect()] == [30]
+
+
+def test_decontamination_with_ids_of_any_kind(spark):
+    item = " ".join(f"w{n}" for n in range(20))
+    docs = spark.createDataFrame([(None, item, 1), ("x", f"a {item}", 2), ("x", "clean", 3), (None, "clean", 4), ("y", None, 5)], "doc_id string, text string, __hit int")
+    bench = spark.createDataFrame([(None, item), ("b", item), (None, None), ("b", item)], "item_id string, text string")
+    rows = decontaminate.overlaps(docs, bench)
+    assert dict(rows.dtypes)["doc_id"] == dict(rows.dtypes)["item_id"] == "string"
+    assert sorted(((r.doc_id, r.item_id, r.token) for r in rows.collect()), key=str) == sorted([(d, i, int(d == "x")) for d in (None, "x") for i in (None, "b", "b")], key=str)
+    left = decontaminate.clean(docs, bench)
+    assert left.columns == docs.columns and sorted(r["__hit"] for r in left.collect()) == [3, 4, 5]
+
+
+def _by_hand(text, item):
+    """(tokens that match, first token negated, tokens) of the best run, over all diagonals; or nothing."""
+    import re
+
+    x, y = ([t.encode() for t in re.findall("[a-z0-9\x80-\U0010ffff]+", s.casefold())] for s in (text, item))
+    best = None
+    for begin in range(-len(y), len(x) + 1):
+        same = [x[begin + k] == y[k] for k in range(len(y)) if 0 <= begin + k < len(x)]
+        at, runs = max(0, begin), []
+        for a in range(len(same)):
+            total = 0
+            for b in range(a, len(same)):
+                total += 1 if same[b] else decontaminate.SUBSTITUTION
+                runs.append((total, -b, -a))
+        total, b, a = max(runs, default=(0, 0, 0))
+        length = a - b + 1 if total > 0 else 0
+        wrong = same[-a : 1 - b].count(False) if length else 0
+        if length >= min(decontaminate.OVERLAP, len(y)):
+            best = max(best or (0, 0, 0), (length - wrong, a - at, length))
+        elif len(same) == len(y) and same.count(False) <= 1 + (len(y) >= decontaminate.TWO_FROM):
+            best = max(best or (0, 0, 0), (same.count(True), -begin, len(y)))
+    return best
+
+
+def test_decontamination_against_brute_force(spark, documents):
+    """Runs of 13 to 40 tokens with up to one substitution in seven tokens: none is lost."""
+    rng = random.Random(11)
+    items = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(40)}" for _ in range(n)) for n in (20, 25, 30, 40) * 3]
+    texts = []
+    for k in range(400):
+        words = items[k % 12].split()
+        size = rng.randrange(min(13, len(words)), len(words) + 1)
+        a = rng.randrange(len(words) - size + 1)
+        words = words[a : a + size]
+        for _ in range(rng.randrange(1 + size // 7)):
+            words[rng.randrange(size)] = "other"
+        texts.append("pad one two " + " ".join(words) + " three pad")
+    found = {k: (r.n_tokens - r.n_substituted, -r.token, r.n_tokens) for k, r in _overlaps(spark, documents, texts, items).items()}
+    want = {(i, j): w for i, t in enumerate(texts) for j in [i % 12] if (w := _by_hand(t, items[j]))}
+    got = {k: v for k, v in found.items() if k in want}
+    assert {k for k in found if k[1] == k[0] % 12} <= set(want)
+    assert all(got[k] == want[k] for k in got)
+    assert len(got) >= 0.99 * len(want) and len(want) > 250
 
 
 def test_digest_of_empty_conversation(spark):
@@ -369,5 +428,5 @@ def test_null_ids(spark):
     assert packing.pack_documents(df, queries.tokenizer_path()).where("start = 0").count() == 4
     bench = spark.createDataFrame([(None, "a b a b a b a b a b a b a b a b")], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.overlaps(df, bench).collect()] == [None]
-    assert decontaminate.clean(df, bench).count() == 4
+    assert decontaminate.clean(df, bench).count() == 3
     assert licenses.scan(df).count() == 0
