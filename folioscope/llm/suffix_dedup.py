@@ -3,7 +3,8 @@
 A byte of a document goes if a ``LENGTH``-byte string that covers it also starts in a document
 with a smaller doc_id.  Strings are judged on the input; overlaps count; matches never cross
 documents.  Null texts are empty, and texts of under ``LENGTH`` bytes lose nothing.  A document
-whose doc_id is null loses nothing, and others lose nothing to it.
+whose doc_id is null loses nothing, and others lose nothing to it.  Rows that share a doc_id are documents
+of their own: none is smaller than the other, so they lose nothing to each other, and each loses its own repeats only.
 
 Only suffixes that can have a partner are sorted.  Of each window of ``LENGTH`` bytes, the
 ``GRAM``-byte gram with the smallest hash is its anchor, so equal windows have equal anchors.
@@ -19,6 +20,10 @@ Only suffixes that can have a partner are sorted.  Of each window of ``LENGTH``
 
 Documents are dealt once by doc_id; the three steps that read texts reuse that exchange.
 Exact copies of a whole text are marked by their digest and take no part in the sort.
+
+Anchors and contexts fall into buckets of which a task has one in memory at a time; the JVM sorts its rows by bucket.
+The number of partitions is bounded whatever the input's.  A flush sends a record for a bucket, for ``GROUPS`` groups
+of buckets if there are more, which a second exchange then splits, so that records stay large.
 """
 
 from __future__ import annotations
@@ -46,6 +51,13 @@ FLUSH = 8 << 20
 SORT_AT_ONCE = 400_000
 #: Bytes of an anchor's hash that are sent.
 HASH_BYTES = 5
+#: Partitions of an exchange, and groups of buckets, at most.
+PARTS, GROUPS = 8192, 4096
+#: Bytes of records that are split again at once.
+RESPLIT = 32 << 20
+#: Bits of a position; those above hold the tag of the row, which tells rows of one doc_id apart.
+PLACE_BITS = 32
+_PLACE = (1 << PLACE_BITS) - 1
 
 
 class BlindTrie:
@@ -237,8 +249,8 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[np.nd
         yield held
 
 
-def _emit_anchors(buckets: int):
-    """Documents to anchor records by bucket, and by destination the hashes known to be shared."""
+def _emit_anchors(buckets: int, groups: int, dests: int, width: int):
+    """Documents to anchor records by group of buckets, and by destination the hashes known to be shared."""
 
     def run(batches):
         for held in _flushes(batches):
@@ -256,35 +268,61 @@ def _emit_anchors(buckets: int):
             runs = _runs(h)
             sizes = np.diff(runs)
             known = np.repeat(sizes > 1, sizes)
-            rows = _destinations(d[known], buckets, _narrow(h[known]))
+            rows = _destinations(d[known], dests, _narrow(h[known]))
             # One record for each hash, and its document; those that this flush has answered come last, without.
             first = runs[:-1]
-            h, d, answered = h[first], d[first], sizes > 1
-            bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-            by = np.lexsort((d, answered, bucket))
-            h, d, answered, bucket = h[by], d[by], answered[by], bucket[by]
-            cut = _runs(bucket)
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                own = d[a:b][~answered[a:b]]
-                docs = _runs(own) if len(own) else np.zeros(1, np.int64)
-                rows.append((int(bucket[a]), None, _vec.pack(_narrow(h[a:b])), _vec.pack(own[docs[:-1]]), _vec.pack(np.diff(docs).astype(np.uint32)), None))
+            rows += _anchor_rows(_bucket(h[first], buckets) % groups, h[first], d[first], sizes > 1, width)
             if rows:
                 yield _flow(rows)
 
     return run
 
 
-def _narrow(h: np.ndarray) -> np.ndarray:
-    """The low ``HASH_BYTES`` of each hash: with the bucket, enough to tell a task's hashes apart.
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _anchor_rows(bucket: np.ndarray, h: np.ndarray, d: np.ndarray, answered: np.ndarray, width: int) -> list[tuple]:
+    by = np.lexsort((d, answered, bucket))
+    h, d, answered, bucket = h[by], d[by], answered[by], bucket[by]
+    rows = []
+    cut = _runs(bucket)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        own = d[a:b][~answered[a:b]]
+        docs = _runs(own) if len(own) else np.zeros(1, np.int64)
+        rows.append((int(bucket[a]), None, _vec.pack(_narrow(h[a:b], width)), _vec.pack(own[docs[:-1]]), _vec.pack(np.diff(docs).astype(np.uint32)), None))
+    return rows
+
+
+def _anchors_of(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, documents, whether they are yet to be answered) of anchor records."""
+    hs = [_widen(r["a"], width) for r in rows]
+    ds = [np.repeat(np.frombuffer(r["b"], np.int64), np.frombuffer(r["c"], np.uint32)) for r in rows]
+    is_open = np.concatenate([np.arange(len(h)) < len(d) for h, d in zip(hs, ds, strict=True)])
+    h, d = np.concatenate(hs), np.zeros(len(is_open), np.int64)
+    d[is_open] = np.concatenate(ds)
+    return h, d, is_open
+
+
+def _split_anchors(buckets: int):
+    def use(rows):
+        h, d, is_open = _anchors_of(rows, 8)
+        return _anchor_rows(_bucket(h, buckets), h, d, ~is_open, HASH_BYTES)
+
+    return lambda batches: _held_by_bucket(batches, use, RESPLIT)
+
+
+def _narrow(h: np.ndarray, width: int = HASH_BYTES) -> np.ndarray:
+    """The low ``width`` bytes of each hash: with the bucket, enough to tell a task's hashes apart.
 
     Hashes that agree in them only send a few more contexts to be compared.
     """
-    return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+    return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
 
 
-def _widen(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // HASH_BYTES, 8), np.uint8)
-    out[:, :HASH_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, HASH_BYTES)
+def _widen(b: bytes, width: int = HASH_BYTES) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
     return out.view("<u8").reshape(-1)
 
 
@@ -331,39 +369,46 @@ def _to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([int(docs[a]) for a, _ in spans], pa.int64()), *arrays], ["doc_id", "a", "b"])
 
 
-def _held_by_bucket(batches, use) -> Iterator[pa.RecordBatch]:
-    """Pass rows that have a destination through; hand each bucket's other rows to ``use``."""
-    held: dict[int, list] = {}
+def _held_by_bucket(batches, use, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Pass rows that have a destination through; hand the others to ``use``, a bucket at a time, or ``limit`` bytes of it.
+
+    Rows come sorted by bucket.
+    """
+    held, size = [], 0
+
+    def out():
+        rows = use(held)
+        for a in range(0, len(rows), 20_000):
+            yield _flow(rows[a : a + 20_000])
+
     for batch in batches:
         done = batch.filter(batch.column(0).is_null())
         if done.num_rows:
             yield done
         for row in batch.filter(batch.column(0).is_valid()).to_pylist():
-            held.setdefault(row["bucket"], []).append(row)
-    for bucket in list(held):
-        if rows := use(held.pop(bucket)):
-            for a in range(0, len(rows), 20_000):
-                yield _flow(rows[a : a + 20_000])
+            if held and (row["bucket"] != held[0]["bucket"] or limit and size > limit):
+                yield from out()
+                held, size = [], 0
+            held.append(row)
+            size += sum(len(row[c] or b"") for c in "abcd")
+    if held:
+        yield from out()
 
 
-def _shared_anchors(buckets: int):
+def _shared_anchors(dests: int):
     def use(rows):
-        hs = [_widen(r["a"]) for r in rows]
-        ds = [np.repeat(np.frombuffer(r["b"], np.int64), np.frombuffer(r["c"], np.uint32)) for r in rows]
-        is_open = np.concatenate([np.arange(len(h)) < len(d) for h, d in zip(hs, ds, strict=True)])
-        h, d = np.concatenate(hs), np.zeros(len(is_open), np.int64)
-        d[is_open] = np.concatenate(ds)
+        h, d, is_open = _anchors_of(rows, HASH_BYTES)
         by = np.argsort(h, kind="stable")
         h, d, is_open = h[by], d[by], is_open[by]
         sizes = np.diff(_runs(h))
         shared = np.repeat(sizes > 1, sizes) & is_open
-        return _destinations(d[shared], buckets, _narrow(h[shared]))
+        return _destinations(d[shared], dests, _narrow(h[shared]))
 
     return lambda batches: _held_by_bucket(batches, use)
 
 
-def _emit_contexts(buckets: int):
-    """Documents with their shared hashes to contexts by bucket, and marks that the flush itself shows."""
+def _emit_contexts(buckets: int, groups: int, dests: int):
+    """Documents with their shared hashes to contexts by group of buckets, and marks that the flush itself shows."""
 
     def run(batches):
         for held in _flushes(batches):
@@ -389,7 +434,8 @@ def _emit_contexts(buckets: int):
                 ctx = np.where(inside, texts.buf[np.clip(spots, 0, len(texts.buf) - 1)], 0).astype(np.uint8)
                 hs.append(hashes[at])
                 docs.append(ids[text])
-                poss.append(at - begin)
+                tags = batch.column(batch.schema.get_field_index("tag")).to_numpy(zero_copy_only=False)
+                poss.append((at - begin) + (tags[text] << PLACE_BITS))
                 lows.append(low)
                 highs.append(high)
                 ctxs.append(ctx)
@@ -397,20 +443,39 @@ def _emit_contexts(buckets: int):
                 continue
             h, d, pos, low, high, ctx = map(np.concatenate, (hs, docs, poss, lows, highs, ctxs))
             first, marks = _merge(h, d, pos, low, high, ctx)
-            rows = _marks(buckets, *marks)
-            bucket = (h[first] >> np.uint64(32)) % np.uint64(buckets)
-            by = first[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket, kind="stable")
-            # Contexts are text, and the largest part of what is shuffled.
-            cut = _runs(bucket)
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                own = by[a:b]
-                rows.append((int(bucket[a]), None, _vec.pack(h[own]), _vec.compress(_vec.pack(ctx[own])), _vec.pack(np.stack((d[own], pos[own]))), _vec.pack(np.stack((low[own], high[own])).astype(np.uint8))))
-            yield _flow(rows)
+            h, d, pos, low, high, ctx = h[first], d[first], pos[first], low[first], high[first], ctx[first]
+            yield _flow(_marks(dests, *marks) + _context_rows(_bucket(h, buckets) % groups, h, d, pos, low, high, ctx))
 
     return run
 
 
+def _context_rows(bucket: np.ndarray, h, d, pos, low, high, ctx) -> list[tuple]:
+    by = np.argsort(bucket, kind="stable")
+    rows = []
+    # Contexts are text, and the largest part of what is shuffled.
+    cut = _runs(bucket[by])
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        own = by[a:b]
+        rows.append((int(bucket[own[0]]), None, _vec.pack(h[own]), _vec.compress(_vec.pack(ctx[own])), _vec.pack(np.stack((d[own], pos[own]))), _vec.pack(np.stack((low[own], high[own])).astype(np.uint8))))
+    return rows
+
+
+def _contexts_of(rows: list[dict]) -> tuple:
+    h = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
+    ctx = np.concatenate([np.frombuffer(_vec.decompress(r["b"], len(r["a"]) // 8 * CONTEXT), np.uint8).reshape(-1, CONTEXT) for r in rows])
+    d, pos = np.concatenate([np.frombuffer(r["c"], np.int64).reshape(2, -1) for r in rows], axis=1)
+    low, high = np.concatenate([np.frombuffer(r["d"], np.uint8).reshape(2, -1) for r in rows], axis=1).astype(np.int64)
+    return h, d, pos, low, high, ctx
+
+
+def _split_contexts(buckets: int):
+    def use(rows):
+        found = _contexts_of(rows)
+        return _context_rows(_bucket(found[0], buckets), *found)
+
+    return lambda batches: _held_by_bucket(batches, use, RESPLIT)
+
+
 def _merge(h, d, pos, low, high, ctx) -> tuple[np.ndarray, tuple]:
     """Merge equal contexts: places of the smallest document of each, and (documents, begins, ends) covered in the others."""
     # Two 64-bit hashes of a context and its range, eight bytes at a time.
@@ -422,7 +487,9 @@ def _merge(h, d, pos, low, high, ctx) -> tuple[np.ndarray, tuple]:
     fresh = np.ones(len(by), bool)
     fresh[1:] = (np.diff(keys[0][by]) != 0) | (np.diff(keys[1][by]) != 0)
     lead = by[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-    later = d[by] > d[lead]
+    # Hashes bring equal contexts together; whether they are is seen byte by byte.
+    equal = (ctx[by] == ctx[lead]).all(1) & (low[by] == low[lead]) & (high[by] == high[lead]) & (h[by] == h[lead])
+    later = (d[by] > d[lead]) & equal
     own = by[later]
     # A document's other places with its own first context still take part.
     return by[~later], (d[own], pos[own] - low[own], pos[own] - high[own] + LENGTH)
@@ -432,14 +499,18 @@ def _marks(dests: int, docs: np.ndarray, begins: np.ndarray, ends: np.ndarray) -
     """The covered ranges of documents, merged, as rows of destinations."""
     by = np.lexsort((begins, docs))
     docs, begins, ends = docs[by], begins[by], ends[by]
+    tags, begins, ends = begins >> PLACE_BITS, begins & _PLACE, ends & _PLACE
     if len(docs):
-        # Far enough apart, ranges of different documents can be merged in one go.
+        # Far enough apart, ranges of different rows can be merged in one go.
         step = int(ends.max()) + 1
-        shift = np.cumsum(np.concatenate(([0], docs[1:] != docs[:-1]))) * step
-        begins, ends = _union(begins + shift, ends + shift)
-        docs, which = docs[np.searchsorted(shift, begins // step * step)], begins // step * step
-        begins, ends = begins - which, ends - which
-    return _destinations(docs, dests, begins.astype(np.uint32)[:, None], ends.astype(np.uint32)[:, None])
+        fresh = np.concatenate(([True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])))
+        row = np.cumsum(fresh) - 1
+        begins, ends = _union(begins + row * step, ends + row * step)
+        row = begins // step
+        docs, tags = docs[fresh][row], tags[fresh][row]
+        begins, ends = begins - row * step, ends - row * step
+    high = tags << PLACE_BITS
+    return _destinations(docs, dests, (begins | high)[:, None], (ends | high)[:, None])
 
 
 def _union(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -453,12 +524,9 @@ def _union(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begins[first], reach[np.append(first[1:] - 1, len(begins) - 1)]
 
 
-def _sort_contexts(buckets: int):
+def _sort_contexts(dests: int):
     def use(rows):
-        h = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
-        ctx = np.concatenate([np.frombuffer(_vec.decompress(r["b"], len(r["a"]) // 8 * CONTEXT), np.uint8).reshape(-1, CONTEXT) for r in rows])
-        d, pos = np.concatenate([np.frombuffer(r["c"], np.int64).reshape(2, -1) for r in rows], axis=1)
-        low, high = np.concatenate([np.frombuffer(r["d"], np.uint8).reshape(2, -1) for r in rows], axis=1).astype(np.int64)
+        h, d, pos, low, high, ctx = _contexts_of(rows)
         first, marks = _merge(h, d, pos, low, high, ctx)
         out = [marks]
         by = first[np.argsort(h[first], kind="stable")]
@@ -473,7 +541,7 @@ def _sort_contexts(buckets: int):
             span = slice(cut[a], cut[b])
             out.append(_sort_windows(h[span], ctx[span], d[span], pos[span], low[span], high[span]))
             a = b
-        return _marks(buckets, *map(np.concatenate, zip(*out, strict=True)))
+        return _marks(dests, *map(np.concatenate, zip(*out, strict=True)))
 
     return lambda batches: _held_by_bucket(batches, use)
 
@@ -493,13 +561,15 @@ def _sort_windows(h, ctx, d, pos, low, high) -> tuple:
     return d[row[covered]], begin, begin + LENGTH
 
 
-def _covered(text: np.ndarray, copied: bool | None, marks: dict | None) -> tuple[np.ndarray, np.ndarray]:
+def _covered(text: np.ndarray, tag: int, copied: bool, marks: dict | None) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the maximal ranges of a text that go."""
     if copied and len(text) >= LENGTH:
         return np.array([0]), np.array([len(text)])
     if not marks:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begins, ends = (np.frombuffer(marks[c], np.uint32).astype(np.int64) for c in "ab")
+    begins, ends = (np.frombuffer(marks[c], np.int64) for c in "ab")
+    own = begins >> PLACE_BITS == tag
+    begins, ends = begins[own] & _PLACE, ends[own] & _PLACE
     begins, ends = begins[begins < len(text)], np.minimum(ends[begins < len(text)], len(text))
     by = np.argsort(begins, kind="stable")
     return _union(begins[by], ends[by])
@@ -512,14 +582,19 @@ def _gone(size: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+def _ranges(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, begins and ends of what goes) of each row (doc_id, text, tag, copied, marks)."""
+    texts = _vec.strings(batch.column(1))
+    for i, (tag, copied, marks) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
+        text = texts.buf[texts.off[i] : texts.off[i + 1]]
+        yield text, *_covered(text, tag, copied, marks)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, copied, marks) to (doc_id, n_bytes, begins, ends, kept)."""
+    """Rows (doc_id, text, tag, copied, marks) to (doc_id, n_bytes, begins, ends, kept)."""
     for batch in batches:
-        texts = _vec.strings(batch.column(1))
         out: dict = {"n": [], "begins": [], "ends": [], "kept": []}
-        for i, (copied, marks) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            text = texts.buf[texts.off[i] : texts.off[i + 1]]
-            begins, ends = _covered(text, copied, marks)
+        for text, begins, ends in _ranges(batch):
             out["n"].append(len(text))
             out["begins"].append(begins.tolist())
             out["ends"].append(ends.tolist())
@@ -529,44 +604,59 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, rest, copied, marks) to (doc_id, text, rest), characters kept or removed as a whole."""
+    """Rows (doc_id, text, tag, copied, marks, rest) to (doc_id, text, rest, emptied), characters kept or removed as a whole.
+
+    emptied: nothing but white space is left of a text that had more.
+    """
     for batch in batches:
-        texts, out = _vec.strings(batch.column(1)), []
-        for i, (copied, marks) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-            text = texts.buf[texts.off[i] : texts.off[i + 1]]
+        out, emptied = [], []
+        for text, begins, ends in _ranges(batch):
             # Continuation bytes follow the byte that begins their character.
             lead = np.flatnonzero((text & 0xC0) != 0x80)
-            gone = _gone(len(text), *_covered(text, copied, marks))
+            gone = _gone(len(text), begins, ends)
             out.append(text[np.repeat(~gone[lead], np.diff(np.append(lead, len(text))))].tobytes().decode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2)], ["doc_id", "text", "rest"])
+            emptied.append(len(begins) > 0 and not out[-1].strip() and bool(text.tobytes().decode().strip()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(5), pa.array(emptied, pa.bool_())], ["doc_id", "text", "rest", "emptied"])
 
 
 def _with_marks(docs: DataFrame, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
-    """(doc_id, text, copied, marks), and before copied a struct ``rest`` of further columns: what of each document goes.
+    """(doc_id, text, tag, copied, marks) and a struct ``rest`` of further columns: what of each document goes.
 
     All readers of the dealt texts take ``rest`` along, since the optimizer would deal them again without it.
     """
     own = [F.struct(*rest).alias("rest")] if rest else []
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *own)
+    # Rows without a doc_id are dealt evenly; nothing that is sent to a doc_id is for them.
+    docs = docs.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1))).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     names = docs.columns
-    n = partitions(docs, mb=8)
+    buckets = partitions(docs, mb=8)
+    groups, n = min(buckets, GROUPS), min(buckets, PARTS)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    prints = docs.select("doc_id", digest.alias("print"))
+    prints = docs.select("doc_id", "tag", digest.alias("print"))
     # Written, so that the join has two plain exchanges, of which Spark can split a hot group of copies.
     firsts = written(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    copies = prints.join(firsts, "print").where("doc_id > first").select("doc_id").distinct().withColumn("copied", F.lit(True))
-
-    dealt = docs.repartition(n, "doc_id")
-    single = dealt.join(copies.hint("shuffle_hash"), "doc_id", "left")
-    distinct = single.where("copied is null").select(*names)
+    copies = prints.join(firsts, "print").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("tag").alias("copies")).withColumnRenamed("doc_id", "key")
+
+    def by_bucket(flow: DataFrame, split) -> DataFrame:
+        """The flow with one bucket's rows after the other in a partition."""
+        if groups < buckets:
+            flow = flow.repartition(n, "bucket", "dest").sortWithinPartitions("bucket").mapInArrow(_vec.tidy(split(buckets)), _FLOW_DDL)
+        return flow.repartition(n, "bucket", "dest").sortWithinPartitions("bucket")
+
+    dealt = docs.repartition(n, "key")
+    copied = F.col("doc_id").isNotNull() & F.coalesce(F.array_contains("copies", F.col("tag")), F.lit(False))
+    single = dealt.join(copies.hint("shuffle_hash"), "key", "left").withColumn("copied", copied)
+    distinct = single.where(~F.col("copied")).select(*names)
     by_doc = "doc_id long, a binary, b binary"
-    shared = distinct.mapInArrow(_vec.tidy(_emit_anchors(n)), _FLOW_DDL).repartition(n, "bucket", "dest").mapInArrow(_vec.tidy(_shared_anchors(n)), _FLOW_DDL)
-    lists = shared.repartition(n, "dest").mapInArrow(_vec.tidy(_to_documents), by_doc).select("doc_id", F.col("a").alias("lists"))
+    found = distinct.mapInArrow(_vec.tidy(_emit_anchors(buckets, groups, n, 8 if groups < buckets else HASH_BYTES)), _FLOW_DDL)
+    shared = by_bucket(found, _split_anchors).mapInArrow(_vec.tidy(_shared_anchors(n)), _FLOW_DDL)
+    lists = shared.repartition(n, "dest").mapInArrow(_vec.tidy(_to_documents), by_doc).select(F.col("doc_id").alias("key"), F.col("a").alias("lists"))
     # A left join: an inner one would push a null check below the exchange, which then couldn't be reused.
-    contexts = distinct.join(lists.hint("shuffle_hash"), "doc_id", "left").select(*names, "lists").mapInArrow(_vec.tidy(_emit_contexts(n)), _FLOW_DDL)
-    marked = contexts.repartition(n, "bucket", "dest").mapInArrow(_vec.tidy(_sort_contexts(n)), _FLOW_DDL)
-    marks = marked.repartition(n, "dest").mapInArrow(_vec.tidy(_to_documents), by_doc).select("doc_id", F.struct("a", "b").alias("marks"))
-    return single.join(marks.hint("shuffle_hash"), "doc_id", "left").select(*names, "copied", "marks")
+    contexts = distinct.join(lists.hint("shuffle_hash"), "key", "left").select(*names, "lists").mapInArrow(_vec.tidy(_emit_contexts(buckets, groups, n)), _FLOW_DDL)
+    marked = by_bucket(contexts, _split_contexts).mapInArrow(_vec.tidy(_sort_contexts(n)), _FLOW_DDL)
+    marks = marked.repartition(n, "dest").mapInArrow(_vec.tidy(_to_documents), by_doc).select(F.col("doc_id").alias("key"), F.struct("a", "b").alias("marks"))
+    rows = single.join(marks.hint("shuffle_hash"), "key", "left")
+    return rows.select("doc_id", "text", "tag", "copied", F.when(F.col("doc_id").isNotNull(), F.col("marks")).alias("marks"), *["rest"] * bool(rest))
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -575,14 +665,16 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _with_marks(docs, id_col, text_col, []).mapInArrow(_vec.tidy(_cut), ddl)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """The documents, all columns, with texts without the repeated bytes; a null text is empty.
 
-    Of a character that a range cuts, its first byte decides: it stays or goes as a whole.  Rows of one
-    doc_id count as one document: what goes from one goes from all.
+    Of a character that a range cuts, its first byte decides: it stays or goes as a whole.  ``drop_emptied`` leaves
+    out documents of which nothing but white space remains, unless they came so.
     """
     rest = [c for c in docs.columns if c not in (id_col, text_col)] or [id_col]
     kind = docs.select(F.struct(*rest).alias("rest")).schema["rest"].dataType.simpleString()
-    rows = _with_marks(docs, id_col, text_col, rest).mapInArrow(_vec.tidy(_cut_characters), f"doc_id long, text string, rest {kind}")
+    rows = _with_marks(docs, id_col, text_col, rest).mapInArrow(_vec.tidy(_cut_characters), f"doc_id long, text string, rest {kind}, emptied boolean")
+    if drop_emptied:
+        rows = rows.where(~F.col("emptied"))
     own = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text")}
     return rows.select(*[own.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])

@@ -120,7 +120,10 @@ def _marked(docs):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-def test_repeated_bytes(documents, seed):
+def test_repeated_bytes(documents, seed, monkeypatch):
+    if seed == 4:  # as over a large input: more buckets than groups, and small flushes
+        for name, value in {"partitions": lambda df, mb: 40, "GROUPS": 5, "PARTS": 3, "RESPLIT": 2000, "FLUSH": 3000, "SORT_AT_ONCE": 500}.items():
+            monkeypatch.setattr(suffix_dedup, name, value)
     rng = random.Random(seed)
     passage = "".join(rng.choice("abcé d") for _ in range(500))
     texts = [passage, passage, None, "", "x" * 49, "x" * 50, "x" * 400, "x" * 500, "é" * 60, "é" * 61]
@@ -149,6 +152,30 @@ def test_repeated_bytes(documents, seed):
     assert sorted(len(r.text) for r in again) == [0, 0, 0, 0, 500, 500]
 
 
+def test_rows_that_share_an_id_lose_nothing_to_each_other(spark):
+    rng = random.Random(2)
+    first, lone, tail = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(3))
+    rows = [(1, first), (5, first), (5, lone), (5, tail + first[:80]), (5, lone), (6, lone[:100] + "x"), (None, first), (None, tail)]
+    found = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted([(1, first), (5, ""), (5, lone), (5, tail), (5, lone), (6, "x"), (None, first), (None, tail)], key=str)
+
+
+def test_contexts_with_equal_hashes_are_compared_by_bytes(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(suffix_dedup._vec, "mix", lambda h: h * 0)
+    ctx = np.array([[97] * 80, [98] * 80, [97] * 80], np.uint8)
+    h, d, pos, zero = np.zeros(3, np.uint64), np.array([1, 2, 3]), np.array([40, 40, 40]), np.zeros(3, np.int64)
+    _, (docs, _, _) = suffix_dedup._merge(h, d, pos, zero, zero, ctx)
+    assert docs.tolist() == [3]
+
+
+def test_repeated_bytes_of_long_and_of_no_documents(documents):
+    rows = suffix_dedup.repeated_bytes(documents(["ab " * 400_000, "x" + "ab " * 400_000])).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.begins, r.ends) for r in rows] == [(1_200_000, [], []), (1_200_001, [1], [1_200_001])]
+    assert suffix_dedup.repeated_bytes(documents(["a"]).where("false")).count() == 0
+
+
 def test_repeated_bytes_of_negative_ids(spark):
     rng = random.Random(8)
     passages = ["".join(rng.choice("abcdefgh ") for _ in range(120)) for _ in range(12)]
