@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each calling one operator of the llm subpackage.
 
 Each stage reads all that the one before kept.  Stages up to the last return the columns of
-``documents``; the last returns the packed pieces.
+``documents``, whatever they are; the last returns the packed pieces.  Rows are judged as rows: doc_ids may be
+null or repeat, and other columns may have any name.  Tables without rows give none.
 """
 
 from __future__ import annotations
@@ -20,35 +21,38 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model accepts."""
+    """Documents whose language the model accepts; null texts, and those without a letter, have none."""
     return language_id.accepted(docs, language_id.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    gone = near_dups.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Null and empty texts are near to nothing and stay.  Repeated rows, of one doc_id and text, stay or go together; of rows
+    with one doc_id and different texts each has its own verdict.
+    """
+    return near_dups.without_near_duplicates(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte ranges that an earlier document has; cut characters stay whole.
+    """Texts without the byte ranges that a document of a smaller doc_id has; cut characters stay whole.
 
-    A document of which nothing but white space is left goes, unless it came so.
+    A document of which nothing but white space is left goes, unless it came so; a null text becomes empty.  A document
+    without a doc_id loses nothing.
     """
-    empty = F.trim(F.coalesce("text", F.lit(""))) == ""
-    out = suffix_dedup.without_repeats(docs.withColumn("was_empty", empty)).where(F.col("was_empty") | (F.trim("text") != ""))
+    out = suffix_dedup.without_repeats(docs, drop_emptied=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
+    """Documents that overlap no benchmark item; null and empty texts overlap none."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; an empty text is the end id alone."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
