@@ -93,7 +93,7 @@ class Texts:
 
     def span_hashes(self, begins: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
         buf = _LOWER[self.buf] if lower else self.buf
-        words, sizes = _blocks(buf), ends - begins
+        words, sizes = blocks(buf), ends - begins
         out = mix(sizes.astype(np.uint64) * _LENGTH)
         rows = np.flatnonzero(sizes <= _LONG) if len(sizes) and sizes.max() > _LONG else slice(None)
         begin, size, h, done = begins[rows], sizes[rows], out[rows], 0
@@ -120,25 +120,43 @@ class Texts:
         return mix(out)
 
 
-def _blocks(buf: np.ndarray) -> np.ndarray:
+def blocks(buf: np.ndarray) -> np.ndarray:
     """The eight bytes from each position of the buffer, zeros behind its end."""
     padded = np.zeros(len(buf) + 8, np.uint8)
     padded[: len(buf)] = buf
     return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
 
 
-def same(a: np.ndarray, a_begins: np.ndarray, b: np.ndarray, b_begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether sizes[k] bytes of ``a`` from a_begins[k] equal those of ``b`` from b_begins[k]."""
-    out, x, y = np.ones(len(sizes), bool), _blocks(a), _blocks(b)
-    rows, done = np.arange(len(sizes)), 0
+def same(x: np.ndarray, x_begins: np.ndarray, y: np.ndarray, y_begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sizes[k] bytes from x_begins[k] equal those from y_begins[k]; x and y are the ``blocks`` of buffers."""
+    out, rows, done = np.ones(len(sizes), bool), np.arange(len(sizes)), 0
     while len(rows):
         keep = _FIRST[np.minimum(sizes[rows] - done, 8)]
-        out[rows] &= (x[a_begins[rows] + done] & keep) == (y[b_begins[rows] + done] & keep)
+        out[rows] = (x[x_begins[rows] + done] & keep) == (y[y_begins[rows] + done] & keep)
         done += 8
         rows = rows[out[rows] & (sizes[rows] > done)]
     return out
 
 
+class Growing:
+    """An array that grows at its end, with some zero bytes behind."""
+
+    def __init__(self, dtype):
+        self.room, self.size = np.zeros(1 << 16, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end + 8 > len(self.room):
+            room = np.zeros(2 * end + 8, self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : end] = values
+        self.size = end
+
+    def blocks(self) -> np.ndarray:
+        return np.ndarray(self.size + 1, "<u8", self.room, strides=(1,))
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> Texts:
     """The texts of an Arrow string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,40 +1,71 @@
 """Lexical retrieval packing of documents into token sequences.
 
-Each task cuts its documents into shards of about ``SHARD_BYTES`` of text and builds a BM25
-inverted index over each.  A sequence starts with a seed document; the index returns the unused
-documents nearest to it, best first, and they fill the window greedily.  The document that does
-not fit is cut there, and what is left of it is the next seed.  Windows are full, therefore; the
-last one of a shard is split into powers of two, so that there is no padding at all.
-
-A document is its token ids and then ``end_id``; a null text is empty and yields ``end_id`` alone.
-Nothing is shuffled or collected; memory is bounded by a shard and the word cache.  A shard's
-sequences are numbered from its task's partition, so a task that runs again gives the same rows.
+1. Each document becomes its token ids and the counts of its words, by 32 bits of a hash; they are written once.
+2. The number of documents that have a word is counted over the whole corpus, in ``1 << SLOTS`` slots of
+   hashes (rare words of a very large corpus share slots), and so is the mean length.
+3. Documents are dealt by content: first by the frequent word that says most about them, then by the two
+   rarest words of a weighted draw, which documents draw alike the more they share.  The order is cut into shards of
+   about ``SHARD_BYTES`` of text, at bounds taken from a sample of ``SAMPLE`` documents a shard, chosen by a hash.
+4. Each shard has a BM25 inverted index, with the corpus's statistics.  A sequence starts with a seed document;
+   the index returns the unused documents nearest to it, best first, and they fill the window greedily.
+   The document that does not fit is cut there, and what is left of it is the next seed.  Windows are
+   full, therefore; the last one of a shard is split into powers of two, so that there is no padding at all.
+
+A document is its token ids and then ``end_id``; a null text is empty and yields ``end_id`` alone.  Rows may share
+a doc_id, or have none: each is a document.  Of equal scores the document that comes first in the order is taken.
+Memory is bounded by a shard and the word cache; a document larger than a shard is one by itself.  Copies are
+dealt by doc_id, so a large group of them falls into many shards.  Shards depend on the documents, not on their
+partitions, and number their sequences themselves, so a task that runs again gives the same rows.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import os
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec
+from ._spark import written
 
 WINDOW = 4096
 SHARD_BYTES = 8 << 20
 K1, B = 1.2, 0.75
 #: Words that a worker's cache of token ids may hold before it starts anew.
 CACHE_WORDS = 1_200_000
+#: Bits of a word's hash by which documents that have it are counted.
+SLOTS = 20
+#: Documents a shard that are drawn to find the shards' bounds.
+SAMPLE = 256
+#: A word of this share of all documents or more is frequent.
+FREQUENT = 0.02
+
+
+def _distinct(texts: _vec.Texts) -> tuple[np.ndarray, ...]:
+    """(begins, ends, hashes of the words, word offsets of the texts, an index for each distinct word, which of them each word is)."""
+    begins, ends, at = texts.words()
+    hashes = texts.span_hashes(begins, ends)
+    _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+    sizes = ends - begins
+    lead = where[which]
+    blocks = _vec.blocks(texts.buf)
+    if not ((sizes == sizes[lead]).all() and _vec.same(blocks, begins, blocks, begins[lead], sizes).all()):
+        # Two words of one hash: by their bytes.
+        data, seen = texts.buf.tobytes(), {}
+        which = np.array([seen.setdefault(data[x:y], len(seen)) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)])
+        _, where = np.unique(which, return_index=True)
+    return begins, ends, hashes, at, where, which
 
 
 class WordIds:
-    """Token ids of words, from a cache by word hash.
+    """Token ids of words, from a cache by word hash; a word whose bytes differ from the cached one's is no hit.
 
     Holds for tokenizers that split at white space before anything else and drop it, so that
     a text's ids are those of its words, one after the other.
@@ -54,35 +85,40 @@ class WordIds:
 
     def clear(self) -> None:
         none = np.zeros(0, np.int64)
-        self.runs = [(none.view(np.uint64), none, none)]
-        self.flat = [np.zeros(0, np.uint32)]
-        self.size = 0
+        #: (hashes, first id, number of ids, first byte, number of bytes) of words, by hash
+        self.runs = [(none.view(np.uint64), none, none, none, none)]
+        self.flat, self.bytes = _vec.Growing(np.uint32), _vec.Growing(np.uint8)
 
     def places(self, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and number of the ids of distinct words in ``ids``."""
         if sum(len(r[0]) for r in self.runs) > CACHE_WORDS:
             self.clear()
         begin, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for keys, first, number in self.runs:
+        sizes = ends - begins
+        at_byte = np.zeros(len(hashes), np.int64)
+        for keys, first, number, byte, n_bytes in self.runs:
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                hit = keys[at] == hashes
-                begin[hit], count[hit] = first[at[hit]], number[at[hit]]
+                hit = (keys[at] == hashes) & (n_bytes[at] == sizes)
+                begin[hit], count[hit], at_byte[hit] = first[at[hit]], number[at[hit]], byte[at[hit]]
+        hit = np.flatnonzero(begin >= 0)
+        begin[hit[~_vec.same(_vec.blocks(buf), begins[hit], self.bytes.blocks(), at_byte[hit], sizes[hit])]] = -1
         new = np.flatnonzero(begin < 0)
         if len(new):
             data = buf.tobytes()
-            words = [data[a:b].decode() for a, b in zip(begins[new].tolist(), ends[new].tolist(), strict=True)]
-            ids, number = self._encode(words)
-            first = self.size + np.concatenate(([0], np.cumsum(number)[:-1]))
-            self.flat.append(ids)
-            self.size += int(number.sum())
+            ids, number = self._encode([data[a:b].decode() for a, b in zip(begins[new].tolist(), ends[new].tolist(), strict=True)])
+            first = self.flat.size + np.concatenate(([0], np.cumsum(number)[:-1]))
+            byte = self.bytes.size + np.concatenate(([0], np.cumsum(sizes[new])[:-1]))
+            self.flat.add(ids)
+            self.bytes.add(buf[_vec.gather(begins[new], sizes[new])])
             begin[new], count[new] = first, number
-            self.runs.append((hashes[new], first, number))
+            by = np.argsort(hashes[new], kind="stable")
+            self.runs.append(tuple(x[by] for x in (hashes[new], first, number, byte, sizes[new])))
             while len(self.runs) > 1 and len(self.runs[-1][0]) * 2 > len(self.runs[-2][0]):
                 last, before = self.runs.pop(), self.runs.pop()
-                keys, first, number = (np.concatenate(x) for x in zip(before, last, strict=True))
-                by = np.argsort(keys, kind="stable")
-                self.runs.append((keys[by], first[by], number[by]))
+                merged = [np.concatenate(x) for x in zip(before, last, strict=True)]
+                by = np.argsort(merged[0], kind="stable")
+                self.runs.append(tuple(x[by] for x in merged))
         return begin, count
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +149,7 @@ class WordIds:
 
     @property
     def ids(self) -> np.ndarray:
-        if len(self.flat) > 1:
-            self.flat = [np.concatenate(self.flat)]
-        return self.flat[0]
+        return self.flat.room
 
 
 @functools.lru_cache(maxsize=1)
@@ -124,58 +158,174 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _read(path: str, end_id: int):
+    """(doc_id, tie, text) to (doc_id, tie, ids, terms, counts, n_words, n_bytes); terms are sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _word_ids(path)
+        for batch in batches:
+            for a, b, texts in _vec.slices(_vec.strings(batch.column(2))):
+                begins, ends, hashes, at, where, which = _distinct(texts)
+                first, number = words.places(hashes[where], begins[where], ends[where], texts.buf)
+                count = number[which]
+                tokens = words.ids[_vec.gather(first[which], count)]
+                off = np.concatenate(([0], np.cumsum(count)))[at]
+                size = np.diff(off) + 1
+                ids = np.full(int(size.sum()), end_id, "<u4")
+                ids[np.arange(len(tokens)) + np.repeat(np.arange(len(size)), size - 1)] = tokens
+                n_words = np.diff(at)
+                pair, tf = np.unique((np.repeat(np.arange(b - a), n_words).astype(np.uint64) << np.uint64(32)) | hashes >> np.uint64(32), return_counts=True)
+                cut = np.searchsorted(pair >> np.uint64(32), np.arange(b - a + 1)) * 4
+                columns = [_binaries(ids, np.concatenate(([0], np.cumsum(size))) * 4), _binaries(pair.astype("<u4"), cut), _binaries(tf.astype("<u4"), cut)]
+                numbers = [pa.array(n_words), pa.array(np.diff(texts.off))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), *columns, *numbers], ["doc_id", "tie", "ids", "terms", "counts", "n_words", "n_bytes"])
+
+    return run
+
+
+def _binaries(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of a binary column, and their offsets."""
+    texts = _vec.strings(column)
+    return np.frombuffer(texts.buf, "<u4"), texts.off // 4
+
+
+def _slot(terms: np.ndarray) -> np.ndarray:
+    return terms >> np.uint32(32 - SLOTS)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of a task have words of each slot."""
+    total = np.zeros(1 << SLOTS, np.int64)
+    for batch in batches:
+        terms, _ = _numbers(batch.column(0))
+        total += np.bincount(_slot(terms), minlength=len(total))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
+
+
+@dataclass
+class Corpus:
+    """Statistics of all documents."""
+
+    n: int
+    mean_words: float
+    idf: np.ndarray  # of each slot; none is below zero
+
+    @staticmethod
+    def of(df: np.ndarray, n: int, words: int) -> Corpus:
+        # A word of half of all documents or more has no weight that tells them apart.
+        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)
+        return Corpus(n, max(1.0, words / max(n, 1)), idf.astype(np.float32))
+
+
+def _keys(corpus: Corpus, terms: np.ndarray, counts: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where documents stand in the order: 15 bits of a frequent word, 24 each of two drawn ones."""
+    out, full = np.zeros(len(off) - 1, np.int64), np.flatnonzero(np.diff(off))
+    if not len(full):
+        return out
+    idf = corpus.idf[_slot(terms)]
+    begin = off[full]
+    row = np.repeat(np.arange(len(full)), np.diff(off)[full])
+
+    def first(score: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of the term with the smallest score in each document, and where it is; 0 if that is infinite."""
+        least = np.minimum.reduceat(score, begin)
+        at = np.flatnonzero((score == least[row]) & np.isfinite(score))
+        _, lead = np.unique(row[at], return_index=True)
+        at = at[lead]
+        found = np.zeros(len(full), np.int64)
+        found[row[at]] = (_vec.mix(terms[at].astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+        return found, at
+
+    frequent = idf <= np.log((1 - FREQUENT) / FREQUENT)
+    coarse, _ = first(np.where(frequent & (idf > 0), -idf * counts, np.inf), 15)
+    draw = (_vec.mix(terms.astype(np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    with np.errstate(divide="ignore"):
+        score = np.where(idf > 0, -np.log(draw + 1e-18) / np.maximum(idf, 1e-6).astype(np.float64) ** 2, np.inf)
+    one, at = first(score, 24)
+    score[at] = np.inf
+    two, _ = first(score, 24)
+    out[full] = coarse << 48 | one << 24 | two
+    return out
+
+
+def _place(corpus: Corpus):
+    """(tie, terms, counts, ...) to the same with the key in front."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (terms, off), (counts, _) = _numbers(batch.column("terms")), _numbers(batch.column("counts"))
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(corpus, terms, counts, off)), *batch.columns], ["key", *batch.schema.names])
+
+    return run
+
+
 class Shard:
     """Documents with their ids and an inverted index."""
 
-    def __init__(self, parts: list, words: WordIds, end_id: int):
-        self.doc_ids, ids, sizes, docs, terms = [], [], [], [], []
-        for part_ids, texts in parts:
-            begins, ends, at = texts.words()
-            hashes = texts.span_hashes(begins, ends)
-            distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-            first, number = words.places(distinct, begins[where], ends[where], texts.buf)
-            count = number[which]
-            tokens = words.ids[_vec.gather(first[which], count)]
-            off = np.concatenate(([0], np.cumsum(count)))[at]
-            size = np.diff(off) + 1
-            out = np.full(int(size.sum()), end_id, np.uint32)
-            out[np.arange(len(tokens)) + np.repeat(np.arange(len(size)), size - 1)] = tokens
-            docs.append(np.repeat(np.arange(len(size)), np.diff(at)) + len(self.doc_ids))
-            terms.append(hashes)
-            ids.append(out)
-            sizes.append(size)
-            self.doc_ids += part_ids
-        self.ids = np.concatenate(ids)
-        self.sizes = np.concatenate(sizes)
-        self.off = np.concatenate(([0], np.cumsum(self.sizes)))
-        self._index(np.concatenate(docs), np.concatenate(terms))
-
-    def _index(self, docs: np.ndarray, terms: np.ndarray) -> None:
+    def __init__(self, batches: list[pa.RecordBatch], corpus: Corpus):
+        self.doc_ids = [i for b in batches for i in b.column("doc_id").to_pylist()]
+        self.ids, self.off = self._column(batches, "ids")
+        self.sizes = np.diff(self.off)
+        terms, off = self._column(batches, "terms")
+        counts, _ = self._column(batches, "counts")
+        length = np.concatenate([b.column("n_words").to_numpy() for b in batches]).astype(np.float32)
+        self._index(terms, counts, off, length, corpus)
+
+    @staticmethod
+    def _column(batches: list[pa.RecordBatch], name: str) -> tuple[np.ndarray, np.ndarray]:
+        parts = [_numbers(b.column(name)) for b in batches]
+        ends = np.cumsum([0] + [len(v) for v, _ in parts])
+        return np.concatenate([v for v, _ in parts]), np.concatenate([[0], *(o[1:] + e for (_, o), e in zip(parts, ends, strict=False))]).astype(np.int64)
+
+    def _index(self, terms: np.ndarray, tf: np.ndarray, off: np.ndarray, length: np.ndarray, corpus: Corpus) -> None:
         n = len(self.doc_ids)
-        length = np.bincount(docs, minlength=n).astype(np.float64)
-        _, terms = np.unique(terms, return_inverse=True)
-        pair, tf = np.unique(terms * n + docs, return_counts=True)
-        term, doc = pair // n, pair % n
-        df = np.bincount(term)
-        idf = np.log((n - df + 0.5) / (df + 0.5))
-        # A term of half of all documents or more has no weight that tells them apart.
-        keep = idf[term] > 0
-        term, doc, tf = term[keep], doc[keep], tf[keep]
-        norm = K1 * (1 - B + B * length[doc] / max(1.0, length.mean()))
-        self.post_doc = doc
-        self.post_weight = idf[term] * tf * (K1 + 1) / (tf + norm)
-        self.post_off = np.searchsorted(term, np.arange(len(df) + 1))
-        by = np.argsort(doc, kind="stable")
-        self.doc_terms, self.doc_off = term[by], np.searchsorted(doc[by], np.arange(n + 1))
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))
+        idf = corpus.idf[_slot(terms)]
+        keep = idf > 0
+        terms, tf, doc, idf = terms[keep], tf[keep].astype(np.float32), doc[keep], idf[keep]
+        norm = (K1 * (1 - B + B * length / corpus.mean_words)).astype(np.float32)
+        weight = idf * tf * np.float32(K1 + 1) / (tf + norm[doc])
+        distinct, term, df = np.unique(terms, return_inverse=True, return_counts=True)
+        # Words that only one document has find no neighbour.
+        keep = df[term] > 1
+        self.doc_terms, self.doc_off = term[keep].astype(np.int32), np.searchsorted(doc[keep], np.arange(n + 1))
+        by = np.argsort(self.doc_terms, kind="stable")
+        self.post_doc, self.post_weight = doc[keep][by], weight[keep][by]
+        self.post_off = np.searchsorted(self.doc_terms[by], np.arange(len(distinct) + 1))
+        # Words of many of the shard's documents have a row of weights each instead.
+        size = np.diff(self.post_off)
+        frequent = np.flatnonzero(size * 8 > n)
+        self.row = np.full(len(distinct), -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), n), np.float32)
+        at = _vec.gather(self.post_off[frequent], size[frequent])
+        self.rows[np.repeat(np.arange(len(frequent)), size[frequent]), self.post_doc[at]] = self.post_weight[at]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of all documents against all words of the seed."""
+        own = self.doc_terms[self.doc_off[seed] : self.doc_off[seed + 1]]
+        row = self.row[own]
+        rare = own[row < 0]
+        at = _vec.gather(self.post_off[rare], self.post_off[rare + 1] - self.post_off[rare])
+        score = np.bincount(self.post_doc[at], self.post_weight[at], minlength=len(self.doc_ids))
+        chosen = np.zeros(len(self.rows), np.float32)
+        chosen[row[row >= 0]] = 1
+        return score + chosen @ self.rows if len(self.rows) else score
 
     def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
-        """Unused documents by BM25 against all terms of the seed, best first, then the others in order."""
-        own = self.doc_terms[self.doc_off[seed] : self.doc_off[seed + 1]]
-        at = _vec.gather(self.post_off[own], self.post_off[own + 1] - self.post_off[own])
-        score = np.bincount(self.post_doc[at], self.post_weight[at], minlength=len(used))
+        """Unused documents by BM25 against all words of the seed, best first, then the others in order."""
+        score = self.scores(seed)
         score[used] = -1.0
         top = min(32, len(score))
         best = np.argpartition(-score, top - 1)[:top]
+        # Ties with the last of them are settled by order among all.
+        if (score >= score[best].min()).sum() > top:
+            best = np.flatnonzero(score >= score[best].min())
         best = best[np.lexsort((best, -score[best]))]
         yield from (int(i) for i in best if score[i] >= 0)
         seen = set(best.tolist())
@@ -228,37 +378,70 @@ class Shard:
 _COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def _pack(path: str, end_id: int, window: int, shard_bytes: int, with_ids: bool):
+def _pack(corpus: Corpus, window: int, shard_bytes: int, with_ids: bool):
+    """Rows (part, doc_id, ids, terms, counts, n_words, n_bytes), in order, to pieces."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sequences = _word_ids(path), TaskContext.get().partitionId() << 32
-        kind = None
+        sequences = 0
 
-        def out(parts) -> Iterator[pa.RecordBatch]:
+        def out(part: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nonlocal sequences
-            shard = Shard(parts, words, end_id)
+            shard = Shard(held, corpus)
             rows, tokens = [], []
             for doc, start, length, sequence, offset in shard.pack(window):
-                ids = shard.ids[shard.off[doc] + start : shard.off[doc] + start + length].astype("<u4")
-                rows.append((shard.doc_ids[doc], start, length, zlib.crc32(ids.tobytes()), int(shard.sizes[doc]), sequences + sequence, offset))
+                ids = shard.ids[shard.off[doc] + start : shard.off[doc] + start + length]
+                rows.append((shard.doc_ids[doc], start, length, zlib.crc32(ids.tobytes()), int(shard.sizes[doc]), (part << 32) + sequences + sequence, offset))
                 if with_ids:
                     tokens.append(ids.astype(np.int32))
-            sequences += rows[-1][5] - sequences + 1
+            sequences += sequence + 1
             columns = list(zip(*rows, strict=True))
-            arrays = [pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])]
+            arrays = [pa.array(columns[0], held[0].column("doc_id").type), *(pa.array(c, pa.int64()) for c in columns[1:])]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(tokens, pa.list_(pa.int32()))] * with_ids, ["doc_id", *_COLUMNS] + ["ids"] * with_ids)
 
-        held, size = [], 0
+        held, size, part = [], 0, -1
         for batch in batches:
-            kind = batch.column(0).type
-            doc_ids = batch.column(0).to_pylist()
-            for a, b, texts in _vec.slices(_vec.strings(batch.column(1))):
-                held.append((doc_ids[a:b], texts))
-                size += len(texts.buf)
-                if size >= shard_bytes:
-                    yield from out(held)
+            parts, sizes = batch.column("part").to_numpy(), batch.column("n_bytes").to_numpy()
+            a = 0
+            while a < batch.num_rows:
+                if held and (parts[a] != part or size >= shard_bytes):
+                    yield from out(part, held)
+                    sequences = sequences if parts[a] == part else 0
                     held, size = [], 0
+                part = int(parts[a])
+                b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), shard_bytes - size)) + 1)
+                b = min(b, a + int(np.searchsorted(parts[a:], part, "right")))
+                held.append(batch.slice(a, b - a))
+                size += int(sizes[a:b].sum())
+                a = b
         if held:
-            yield from out(held)
+            yield from out(part, held)
+
+    return run
+
+
+def _bounds(read: DataFrame, corpus: Corpus, shards: int) -> list[tuple[int, int]]:
+    """Where the shards begin in the order of (key, tie), from a sample of documents, weighted by their bytes."""
+    share = min(1.0, shards * SAMPLE / max(corpus.n, 1))
+    drawn = read.where(F.pmod(F.xxhash64("tie", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("tie", "terms", "counts", "n_bytes")
+    rows = drawn.mapInArrow(_vec.tidy(_place(corpus)), "key long, tie long, terms binary, counts binary, n_bytes long").select("key", "tie", "n_bytes").toArrow()
+    key, tie, size = (rows.column(c).to_numpy() for c in ("key", "tie", "n_bytes"))
+    by = np.lexsort((size, tie, key))
+    total = np.cumsum(size[by] + 1)
+    at = np.unique(np.searchsorted(total, total[-1] * np.arange(1, shards) / shards)) if len(by) else np.zeros(0, np.int64)
+    return sorted({(int(key[i]), int(tie[i])) for i in by[at]})
+
+
+def _part(bounds: list[tuple[int, int]]):
+    keys, ties = (np.array([b[k] for b in bounds], np.int64) for k in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, tie = batch.column("key").to_numpy(), batch.column("tie").to_numpy()
+            a, b = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+            part = a.copy()
+            for k in np.flatnonzero(a < b):
+                part[k] += np.searchsorted(ties[a[k] : b[k]], tie[k], "right")
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), *batch.columns], ["part", *batch.schema.names])
 
     return run
 
@@ -266,5 +449,21 @@ def _pack(path: str, end_id: int, window: int, shard_bytes: int, with_ids: bool)
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
     kind = docs.schema[id_col].dataType.simpleString()
+    # What parts documents of one key, copies above all: the doc_id, or without one the row.
+    row = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col, row).alias("tie"), F.col(text_col).alias("text"))
+    columns = "ids binary, terms binary, counts binary, n_words long, n_bytes long"
+    read = written(rows.mapInArrow(_vec.tidy(_read(tokenizer, end_id)), f"doc_id {kind}, tie long, {columns}"))
+    n, n_words, n_bytes = read.agg(F.count("*"), F.sum("n_words"), F.sum("n_bytes")).first()
+    df = np.zeros(1 << SLOTS, np.int64)
+    slots = read.select("terms").mapInArrow(_vec.tidy(_count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    df[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
+    corpus = Corpus.of(df, n, n_words or 0)
+    shards = max(1, math.ceil((n_bytes or 0) / shard_bytes))
+    placed = read.mapInArrow(_vec.tidy(_place(corpus)), f"key long, doc_id {kind}, tie long, {columns}")
+    placed = placed.mapInArrow(_vec.tidy(_part(_bounds(read, corpus, shards))), f"part long, key long, doc_id {kind}, tie long, {columns}")
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.repartition(max(least, math.ceil(shards / 2)), "part").sortWithinPartitions("part", "key", "tie", "n_bytes")
     ddl = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _COLUMNS) + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_vec.tidy(_pack(tokenizer, end_id, window, shard_bytes, with_ids)), ddl)
+    # A part that is larger than the sample told is cut at twice a shard.
+    return dealt.mapInArrow(_vec.tidy(_pack(corpus, window, 2 * shard_bytes, with_ids)), ddl)

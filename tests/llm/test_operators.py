@@ -283,17 +283,102 @@ def test_packing(spark, documents):
     assert packing.pack_documents(documents(["a"]).where("false"), path).count() == 0
 
 
-def test_neighbours_are_alike():
+def _indexed(texts):
+    """(a shard of all texts, their words)."""
     import pyarrow as pa
 
-    topics = [["apple", "pear", "plum"], ["wheel", "gear", "axle"]]
+    ids = pa.array(range(len(texts)))
+    batches = list(packing._read(queries.tokenizer_path(), 2)(iter([pa.record_batch([ids, ids, pa.array(texts)], ["doc_id", "tie", "text"])])))
+    (counted,) = packing._count(iter([b.select(["terms"]) for b in batches]))
+    df = np.zeros(1 << packing.SLOTS, np.int64)
+    df[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    words = [t.split() for t in texts]
+    return packing.Shard(batches, packing.Corpus.of(df, len(texts), sum(map(len, words)))), words
+
+
+def _bm25(words, seed):
+    """Scores of all documents, by hand."""
+    from math import log
+
+    n, mean = len(words), sum(map(len, words)) / len(words)
+    out = []
+    for own in words:
+        total = 0.0
+        for t in set(words[seed]) & set(own):
+            df = sum(t in w for w in words)
+            idf = max(0.0, log((n - df + 0.5) / (df + 0.5)))
+            tf = own.count(t)
+            total += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(own) / mean))
+        out.append(total)
+    return out
+
+
+def test_neighbours_against_bm25_by_hand():
     rng = random.Random(4)
-    texts = [" ".join(rng.choice(topics[k % 2]) for _ in range(40)) + f" only{k}" for k in range(30)]
-    shard = packing.Shard([(list(range(30)), _vec.strings(pa.array(texts)))], packing.WordIds(queries.tokenizer_path()), 2)
-    used = np.zeros(30, bool)
-    used[[0, 2]] = True
-    first = [n for n, _ in zip(shard.neighbours(0, used), range(10), strict=False)]
-    assert 0 not in first and 2 not in first and len(set(shard.neighbours(0, used))) == 28
+    vocabulary = [f"v{k}" for k in range(150)]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(150)], k=rng.randrange(1, 60))) for _ in range(120)] + ["v1 v2 v3"] * 5 + [""]
+    shard, words = _indexed(texts)
+    used = np.zeros(len(texts), bool)
+    used[[0, 2, 121]] = True
+    for seed in (0, 7, 120, 125):
+        want = _bm25(words, seed)
+        assert np.allclose(np.delete(shard.scores(seed), seed), np.delete(want, seed), rtol=1e-4)
+        order = list(shard.neighbours(seed, used))
+        assert sorted(order) == [k for k in range(len(texts)) if not used[k]]
+        scores = [want[k] for k in order if k != seed]
+        assert all(x >= y - 1e-3 for x, y in zip(scores, scores[1:], strict=False))
+        ties = [k for k in order if texts[k] == "v1 v2 v3" and k != seed]
+        assert ties == sorted(ties)
+
+
+def test_packing_is_greedy_and_does_not_depend_on_partitions(spark, documents):
+    """A shard against a plain program: seeds in order, the best unused neighbours next, cut documents carried on."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(80)], k=rng.randrange(1, 30))) for _ in range(60)] + [" ".join(["big"] * 300)]
+    shard, _ = _indexed(texts)
+    window, want, left, carried = 64, [], list(range(len(texts))), None
+    while left or carried:
+        room, queue = window, None
+        doc, start = carried or (left.pop(0), 0)
+        seed, carried, sequence = doc, None, []
+        while True:
+            size = min(room, int(shard.sizes[doc]) - start)
+            sequence.append((doc, start, size))
+            room -= size
+            if start + size < shard.sizes[doc]:
+                carried = doc, start + size
+            if not room or not left:
+                break
+            score = shard.scores(seed)
+            doc, start = min(left, key=lambda k: (-score[k], k)), 0
+            left.remove(doc)
+        want.append(sequence)
+    got: dict[int, list] = {}
+    for doc, start, length, sequence, _ in shard.pack(window):
+        got.setdefault(sequence, []).append((doc, start, length))
+    full = [s for s in want if sum(x[2] for x in s) == window]
+    assert len(full) >= len(want) - 1 and list(got.values())[: len(full)] == full
+
+    path = queries.tokenizer_path()
+    rows = [sorted(map(tuple, packing.pack_documents(documents(texts * 3).repartition(n), path, window=window, shard_bytes=2000).collect())) for n in (1, 5)]
+    assert rows[0] == rows[1] and len({r[5] >> 32 for r in rows[0]}) > 3
+
+
+def test_words_of_one_hash_have_their_own_ids(monkeypatch, documents):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(_vec.Texts, "span_hashes", lambda self, begins, ends, lower=False: np.full(len(begins), 7, np.uint64))
+    path = queries.tokenizer_path()
+    words = packing.WordIds(path)
+    import pyarrow as pa
+
+    texts = ["one two three one", "two four on", "one"]
+    for text in texts:
+        own = _vec.strings(pa.array([text]))
+        begins, ends, hashes, _, where, which = packing._distinct(own)
+        first, count = words.places(hashes[where], begins[where], ends[where], own.buf)
+        found = words.ids[_vec.gather(first[which], count[which])].tolist()
+        assert found == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
 def _overlaps(spark, documents, texts, items):
