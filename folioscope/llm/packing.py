@@ -1,10 +1,11 @@
 """Lexical retrieval packing of documents into token sequences.
 
-1. Each document becomes its token ids and the counts of its words, by 32 bits of a hash; they are written once.
-2. The number of documents that have a word is counted over the whole corpus, in ``1 << SLOTS`` slots of
-   hashes (rare words of a very large corpus share slots), and so is the mean length.
-3. Documents are dealt by content: first by the frequent word that says most about them, then by the two
-   rarest words of a weighted draw, which documents draw alike the more they share.  The order is cut into shards of
+1. Each document becomes its token ids, which are written once.  A term is a pre-token, the ids up to one that ends a
+   word (each id, if the vocabulary doesn't mark ends), by 32 bits of a hash.
+2. The number of documents that have a term is counted over the whole corpus, in ``1 << SLOTS`` slots of
+   hashes (rare terms of a very large corpus share slots), and so is the mean length.
+3. Documents are dealt by content: first by the frequent term that says most about them, then by the two
+   first terms of a draw weighted towards rare ones, which documents draw alike the more they share.  The order is cut into shards of
    about ``SHARD_BYTES`` of text, at bounds taken from a sample of ``SAMPLE`` documents a shard, chosen by a hash.
 4. Each shard has a BM25 inverted index, with the corpus's statistics.  A sequence starts with a seed document;
    the index returns the unused documents nearest to it, best first, and they fill the window greedily.
@@ -39,12 +40,14 @@ WINDOW = 4096
 SHARD_BYTES = 8 << 20
 K1, B = 1.2, 0.75
 #: Words that a worker's cache of token ids may hold before it starts anew.
-CACHE_WORDS = 1_200_000
-#: Bits of a word's hash by which documents that have it are counted.
+CACHE_WORDS = 2_400_000
+#: Bits of a term's hash by which documents that have it are counted.
 SLOTS = 20
 #: Documents a shard that are drawn to find the shards' bounds.
-SAMPLE = 256
-#: A word of this share of all documents or more is frequent.
+SAMPLE = 64
+#: Partitions of the exchange, at most; a task takes one shard after the other.
+PARTS = 32_768
+#: A term of this share of all documents or more is frequent.
 FREQUENT = 0.02
 
 
@@ -84,9 +87,8 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        none = np.zeros(0, np.int64)
         #: (hashes, first id, number of ids, first byte, number of bytes) of words, by hash
-        self.runs = [(none.view(np.uint64), none, none, none, none)]
+        self.runs = [tuple(np.zeros(0, kind) for kind in (np.uint64, *[np.uint32] * 4))]
         self.flat, self.bytes = _vec.Growing(np.uint32), _vec.Growing(np.uint8)
 
     def places(self, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +115,7 @@ class WordIds:
             self.bytes.add(buf[_vec.gather(begins[new], sizes[new])])
             begin[new], count[new] = first, number
             by = np.argsort(hashes[new], kind="stable")
-            self.runs.append(tuple(x[by] for x in (hashes[new], first, number, byte, sizes[new])))
+            self.runs.append((hashes[new][by], *(x[by].astype(np.uint32) for x in (first, number, byte, sizes[new]))))
             while len(self.runs) > 1 and len(self.runs[-1][0]) * 2 > len(self.runs[-2][0]):
                 last, before = self.runs.pop(), self.runs.pop()
                 merged = [np.concatenate(x) for x in zip(before, last, strict=True)]
@@ -129,23 +131,28 @@ class WordIds:
         the ends don't add up, and every other word, goes there on its own.
         """
         parts = np.array([1 if w.isalpha() else 2 if w[-1] in ".,;:!?" and w[:-1].isalpha() else 0 for w in words], np.int64) * bool(self.suffix)
-        ids: list = [None] * len(words)
         alone = np.flatnonzero(parts == 0).tolist()
         plain = np.flatnonzero(parts)
+        found, which, sizes = [], [], []
         for a in range(0, len(plain), 1000):
             group = plain[a : a + 1000]
-            (found,) = self.tokenizer.encode_batch_fast([" ".join([words[k] for k in group])], add_special_tokens=False)
-            found = np.array(found.ids, np.uint32)
-            ends = np.flatnonzero(self.ends[found]) + 1
-            if len(ends) != parts[group].sum() or not len(ends) or ends[-1] != len(found):
+            (own,) = self.tokenizer.encode_batch_fast([" ".join([words[k] for k in group])], add_special_tokens=False)
+            own = np.array(own.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[own]) + 1
+            if len(ends) != parts[group].sum() or not len(ends) or ends[-1] != len(own):
                 alone += group.tolist()
                 continue
-            cuts = ends[np.cumsum(parts[group]) - 1].tolist()
-            for k, begin, end in zip(group.tolist(), [0, *cuts], cuts, strict=False):
-                ids[k] = found[begin:end]
-        for k, found in zip(alone, self.tokenizer.encode_batch_fast([words[k] for k in alone], add_special_tokens=False), strict=True):
-            ids[k] = np.array(found.ids, np.uint32)
-        return np.concatenate(ids), np.array([len(i) for i in ids], np.int64)
+            found.append(own)
+            which.append(group)
+            sizes.append(np.diff(ends[np.cumsum(parts[group]) - 1], prepend=0))
+        for own in self.tokenizer.encode_batch_fast([words[k] for k in alone], add_special_tokens=False):
+            found.append(np.array(own.ids, np.uint32))
+            sizes.append(np.array([len(own.ids)]))
+        which = np.concatenate([*which, np.array(alone, np.int64)])
+        sizes = np.concatenate(sizes)
+        back = np.argsort(which)
+        begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        return np.concatenate(found)[_vec.gather(begin[back], sizes[back])], sizes[back]
 
     @property
     def ids(self) -> np.ndarray:
@@ -158,8 +165,8 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _read(path: str, end_id: int):
-    """(doc_id, tie, text) to (doc_id, tie, ids, terms, counts, n_words, n_bytes); terms are sorted."""
+def _read(path: str, end_id: int, kind: str):
+    """(doc_id, tie, text) to (doc_id, tie, ids, n_bytes); ids are numbers of this kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(path)
@@ -171,40 +178,80 @@ def _read(path: str, end_id: int):
                 tokens = words.ids[_vec.gather(first[which], count)]
                 off = np.concatenate(([0], np.cumsum(count)))[at]
                 size = np.diff(off) + 1
-                ids = np.full(int(size.sum()), end_id, "<u4")
+                ids = np.full(int(size.sum()), end_id, kind)
                 ids[np.arange(len(tokens)) + np.repeat(np.arange(len(size)), size - 1)] = tokens
-                n_words = np.diff(at)
-                pair, tf = np.unique((np.repeat(np.arange(b - a), n_words).astype(np.uint64) << np.uint64(32)) | hashes >> np.uint64(32), return_counts=True)
-                cut = np.searchsorted(pair >> np.uint64(32), np.arange(b - a + 1)) * 4
-                columns = [_binaries(ids, np.concatenate(([0], np.cumsum(size))) * 4), _binaries(pair.astype("<u4"), cut), _binaries(tf.astype("<u4"), cut)]
-                numbers = [pa.array(n_words), pa.array(np.diff(texts.off))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), *columns, *numbers], ["doc_id", "tie", "ids", "terms", "counts", "n_words", "n_bytes"])
+                off = np.concatenate(([0], np.cumsum(size))) * ids.itemsize
+                column = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), column, pa.array(np.diff(texts.off))], ["doc_id", "tie", "ids", "n_bytes"])
 
     return run
 
 
-def _binaries(values: np.ndarray, off: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+_RNG = np.random.Generator(np.random.PCG64(31))
+_BY_ID = _RNG.integers(0, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BY_PLACE = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 32-bit numbers of a binary column, and their offsets."""
-    texts = _vec.strings(column)
-    return np.frombuffer(texts.buf, "<u4"), texts.off // 4
+@dataclass
+class Vocabulary:
+    """How ids are written, and which of them end a word."""
+
+    kind: str
+    ends: np.ndarray
+
+    @staticmethod
+    def of(path: str, end_id: int) -> Vocabulary:
+        words = WordIds(path)
+        return Vocabulary("<u2" if max(len(words.ends), end_id + 1) <= 1 << 16 else "<u4", words.ends if words.suffix else np.ones(len(words.ends), bool))
+
+    def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of documents, and their offsets."""
+        texts = _vec.strings(column)
+        ids = np.frombuffer(texts.buf, self.kind)
+        return ids, texts.off // ids.itemsize
+
+    def terms(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, count) of each term of the documents, in order, and how many terms each document has in all."""
+        last = self.ends[np.minimum(ids, len(self.ends) - 1)]
+        last[off[1:] - 1] = True  # the end of the document, and what stands before it
+        last[np.maximum(off[1:] - 2, off[:-1])] = True
+        ends = np.flatnonzero(last) + 1
+        starts = np.concatenate(([0], ends[:-1]))
+        place = np.arange(len(ids)) - np.repeat(starts, ends - starts)
+        by_id = _BY_ID[ids & 0xFFFF] + (ids >> 16 if ids.itemsize > 2 else np.uint64(0))
+        hashes = _vec.mix(np.add.reduceat(by_id * _BY_PLACE[np.minimum(place, 63)] + (place > 63) * place.astype(np.uint64), starts)) if len(ids) else np.zeros(0, np.uint64)
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(ends, off, "right")))
+        real = starts < off[doc + 1] - 1
+        pair, count = np.unique(doc[real].astype(np.uint64) << np.uint64(32) | hashes[real] >> np.uint64(32), return_counts=True)
+        return (pair >> np.uint64(32)).astype(np.int64), pair.astype(np.uint32), count, np.bincount(doc[real], minlength=len(off) - 1)
+
+
+def _slices(vocabulary: Vocabulary, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last + 1, ids, offsets) of runs of rows."""
+    for a, b, texts in _vec.slices(_vec.strings(batch.column("ids"))):
+        ids = np.frombuffer(texts.buf, vocabulary.kind)
+        yield a, b, ids, texts.off // ids.itemsize
 
 
 def _slot(terms: np.ndarray) -> np.ndarray:
     return terms >> np.uint32(32 - SLOTS)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many documents of a task have words of each slot."""
-    total = np.zeros(1 << SLOTS, np.int64)
-    for batch in batches:
-        terms, _ = _numbers(batch.column(0))
-        total += np.bincount(_slot(terms), minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
+def _count(vocabulary: Vocabulary):
+    """How many documents of a task have terms of each slot; as -1 all terms, as -2 all documents, as -3 all bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rest = np.zeros(1 << SLOTS, np.int64), np.zeros(3, np.int64)
+        for batch in batches:
+            for a, b, ids, off in _slices(vocabulary, batch):
+                _, terms, _, length = vocabulary.terms(ids, off)
+                total += np.bincount(_slot(terms), minlength=len(total))
+                rest += (length.sum(), b - a, 0)
+            rest[2] += batch.column("n_bytes").to_numpy().sum()
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1, -2, -3], some)).astype(np.int32)), pa.array(np.concatenate((rest, total[some])))], ["slot", "n"])
+
+    return run
 
 
 @dataclass
@@ -212,24 +259,27 @@ class Corpus:
     """Statistics of all documents."""
 
     n: int
-    mean_words: float
+    n_bytes: int
+    mean_terms: float
     idf: np.ndarray  # of each slot; none is below zero
 
     @staticmethod
-    def of(df: np.ndarray, n: int, words: int) -> Corpus:
-        # A word of half of all documents or more has no weight that tells them apart.
-        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)
-        return Corpus(n, max(1.0, words / max(n, 1)), idf.astype(np.float32))
-
-
-def _keys(corpus: Corpus, terms: np.ndarray, counts: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Where documents stand in the order: 15 bits of a frequent word, 24 each of two drawn ones."""
-    out, full = np.zeros(len(off) - 1, np.int64), np.flatnonzero(np.diff(off))
-    if not len(full):
+    def of(slots: np.ndarray, counts: np.ndarray) -> Corpus:
+        df, rest = np.zeros(1 << SLOTS, np.int64), dict(zip(slots[slots < 0].tolist(), counts[slots < 0].tolist(), strict=True))
+        df[slots[slots >= 0]] = counts[slots >= 0]
+        n = rest.get(-2, 0)
+        # A term of half of all documents or more has no weight that tells them apart.
+        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0) if n else df
+        return Corpus(n, rest.get(-3, 0), max(1.0, rest.get(-1, 0) / max(n, 1)), idf.astype(np.float32))
+
+
+def _keys(corpus: Corpus, doc: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Where documents stand in the order: 15 bits of a frequent term, 24 each of two drawn ones."""
+    out = np.zeros(n, np.int64)
+    if not len(doc):
         return out
     idf = corpus.idf[_slot(terms)]
-    begin = off[full]
-    row = np.repeat(np.arange(len(full)), np.diff(off)[full])
+    full, begin, row = np.unique(doc, return_index=True, return_inverse=True)
 
     def first(score: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """The hash of the term with the smallest score in each document, and where it is; 0 if that is infinite."""
@@ -253,13 +303,13 @@ def _keys(corpus: Corpus, terms: np.ndarray, counts: np.ndarray, off: np.ndarray
     return out
 
 
-def _place(corpus: Corpus):
-    """(tie, terms, counts, ...) to the same with the key in front."""
+def _place(corpus: Corpus, vocabulary: Vocabulary):
+    """(tie, ids, ...) to the same with the key in front."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (terms, off), (counts, _) = _numbers(batch.column("terms")), _numbers(batch.column("counts"))
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(corpus, terms, counts, off)), *batch.columns], ["key", *batch.schema.names])
+            keys = [_keys(corpus, *vocabulary.terms(ids, off)[:3], b - a) for a, b, ids, off in _slices(vocabulary, batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), *batch.columns], ["key", *batch.schema.names])
 
     return run
 
@@ -267,37 +317,30 @@ def _place(corpus: Corpus):
 class Shard:
     """Documents with their ids and an inverted index."""
 
-    def __init__(self, batches: list[pa.RecordBatch], corpus: Corpus):
+    def __init__(self, batches: list[pa.RecordBatch], corpus: Corpus, vocabulary: Vocabulary):
         self.doc_ids = [i for b in batches for i in b.column("doc_id").to_pylist()]
-        self.ids, self.off = self._column(batches, "ids")
-        self.sizes = np.diff(self.off)
-        terms, off = self._column(batches, "terms")
-        counts, _ = self._column(batches, "counts")
-        length = np.concatenate([b.column("n_words").to_numpy() for b in batches]).astype(np.float32)
-        self._index(terms, counts, off, length, corpus)
-
-    @staticmethod
-    def _column(batches: list[pa.RecordBatch], name: str) -> tuple[np.ndarray, np.ndarray]:
-        parts = [_numbers(b.column(name)) for b in batches]
-        ends = np.cumsum([0] + [len(v) for v, _ in parts])
-        return np.concatenate([v for v, _ in parts]), np.concatenate([[0], *(o[1:] + e for (_, o), e in zip(parts, ends, strict=False))]).astype(np.int64)
+        parts = [vocabulary.numbers(b.column("ids")) for b in batches]
+        self.ids = np.concatenate([v for v, _ in parts])
+        self.sizes = np.concatenate([np.diff(o) for _, o in parts])
+        self.off = np.concatenate(([0], np.cumsum(self.sizes)))
+        self._index(*vocabulary.terms(self.ids, self.off), corpus)
 
-    def _index(self, terms: np.ndarray, tf: np.ndarray, off: np.ndarray, length: np.ndarray, corpus: Corpus) -> None:
+    def _index(self, doc: np.ndarray, terms: np.ndarray, tf: np.ndarray, length: np.ndarray, corpus: Corpus) -> None:
         n = len(self.doc_ids)
-        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))
         idf = corpus.idf[_slot(terms)]
         keep = idf > 0
         terms, tf, doc, idf = terms[keep], tf[keep].astype(np.float32), doc[keep], idf[keep]
-        norm = (K1 * (1 - B + B * length / corpus.mean_words)).astype(np.float32)
+        norm = (K1 * (1 - B + B * length / corpus.mean_terms)).astype(np.float32)
         weight = idf * tf * np.float32(K1 + 1) / (tf + norm[doc])
         distinct, term, df = np.unique(terms, return_inverse=True, return_counts=True)
-        # Words that only one document has find no neighbour.
+        # Terms that only one document has find no neighbour.
         keep = df[term] > 1
-        self.doc_terms, self.doc_off = term[keep].astype(np.int32), np.searchsorted(doc[keep], np.arange(n + 1))
+        doc, term, weight = doc[keep].astype(np.int32), term[keep].astype(np.int32), weight[keep]
+        self.doc_terms, self.doc_off = term, np.searchsorted(doc, np.arange(n + 1))
         by = np.argsort(self.doc_terms, kind="stable")
-        self.post_doc, self.post_weight = doc[keep][by], weight[keep][by]
+        self.post_doc, self.post_weight = doc[by], weight[by]
         self.post_off = np.searchsorted(self.doc_terms[by], np.arange(len(distinct) + 1))
-        # Words of many of the shard's documents have a row of weights each instead.
+        # Terms of many of the shard's documents have a row of weights each instead.
         size = np.diff(self.post_off)
         frequent = np.flatnonzero(size * 8 > n)
         self.row = np.full(len(distinct), -1, np.int32)
@@ -307,7 +350,7 @@ class Shard:
         self.rows[np.repeat(np.arange(len(frequent)), size[frequent]), self.post_doc[at]] = self.post_weight[at]
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of all documents against all words of the seed."""
+        """BM25 of all documents against all terms of the seed."""
         own = self.doc_terms[self.doc_off[seed] : self.doc_off[seed + 1]]
         row = self.row[own]
         rare = own[row < 0]
@@ -318,7 +361,7 @@ class Shard:
         return score + chosen @ self.rows if len(self.rows) else score
 
     def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
-        """Unused documents by BM25 against all words of the seed, best first, then the others in order."""
+        """Unused documents by BM25 against all terms of the seed, best first, then the others in order."""
         score = self.scores(seed)
         score[used] = -1.0
         top = min(32, len(score))
@@ -378,18 +421,18 @@ class Shard:
 _COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def _pack(corpus: Corpus, window: int, shard_bytes: int, with_ids: bool):
-    """Rows (part, doc_id, ids, terms, counts, n_words, n_bytes), in order, to pieces."""
+def _pack(corpus: Corpus, vocabulary: Vocabulary, window: int, shard_bytes: int, with_ids: bool):
+    """Rows (part, doc_id, ids, n_bytes), in order, to pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequences = 0
 
         def out(part: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nonlocal sequences
-            shard = Shard(held, corpus)
+            shard = Shard(held, corpus, vocabulary)
             rows, tokens = [], []
             for doc, start, length, sequence, offset in shard.pack(window):
-                ids = shard.ids[shard.off[doc] + start : shard.off[doc] + start + length]
+                ids = shard.ids[shard.off[doc] + start : shard.off[doc] + start + length].astype("<u4")
                 rows.append((shard.doc_ids[doc], start, length, zlib.crc32(ids.tobytes()), int(shard.sizes[doc]), (part << 32) + sequences + sequence, offset))
                 if with_ids:
                     tokens.append(ids.astype(np.int32))
@@ -419,11 +462,11 @@ def _pack(corpus: Corpus, window: int, shard_bytes: int, with_ids: bool):
     return run
 
 
-def _bounds(read: DataFrame, corpus: Corpus, shards: int) -> list[tuple[int, int]]:
+def _bounds(read: DataFrame, corpus: Corpus, vocabulary: Vocabulary, shards: int) -> list[tuple[int, int]]:
     """Where the shards begin in the order of (key, tie), from a sample of documents, weighted by their bytes."""
     share = min(1.0, shards * SAMPLE / max(corpus.n, 1))
-    drawn = read.where(F.pmod(F.xxhash64("tie", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("tie", "terms", "counts", "n_bytes")
-    rows = drawn.mapInArrow(_vec.tidy(_place(corpus)), "key long, tie long, terms binary, counts binary, n_bytes long").select("key", "tie", "n_bytes").toArrow()
+    drawn = read.where(F.pmod(F.xxhash64("tie", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("tie", "ids", "n_bytes")
+    rows = drawn.mapInArrow(_vec.tidy(_place(corpus, vocabulary)), "key long, tie long, ids binary, n_bytes long").select("key", "tie", "n_bytes").toArrow()
     key, tie, size = (rows.column(c).to_numpy() for c in ("key", "tie", "n_bytes"))
     by = np.lexsort((size, tie, key))
     total = np.cumsum(size[by] + 1)
@@ -452,18 +495,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
     # What parts documents of one key, copies above all: the doc_id, or without one the row.
     row = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col, row).alias("tie"), F.col(text_col).alias("text"))
-    columns = "ids binary, terms binary, counts binary, n_words long, n_bytes long"
-    read = written(rows.mapInArrow(_vec.tidy(_read(tokenizer, end_id)), f"doc_id {kind}, tie long, {columns}"))
-    n, n_words, n_bytes = read.agg(F.count("*"), F.sum("n_words"), F.sum("n_bytes")).first()
-    df = np.zeros(1 << SLOTS, np.int64)
-    slots = read.select("terms").mapInArrow(_vec.tidy(_count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    df[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
-    corpus = Corpus.of(df, n, n_words or 0)
-    shards = max(1, math.ceil((n_bytes or 0) / shard_bytes))
-    placed = read.mapInArrow(_vec.tidy(_place(corpus)), f"key long, doc_id {kind}, tie long, {columns}")
-    placed = placed.mapInArrow(_vec.tidy(_part(_bounds(read, corpus, shards))), f"part long, key long, doc_id {kind}, tie long, {columns}")
+    vocabulary = Vocabulary.of(tokenizer, end_id)
+    columns = f"doc_id {kind}, tie long, ids binary, n_bytes long"
+    read = written(rows.mapInArrow(_vec.tidy(_read(tokenizer, end_id, vocabulary.kind)), columns))
+    slots = read.select("ids", "n_bytes").mapInArrow(_vec.tidy(_count(vocabulary)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    corpus = Corpus.of(slots.column("slot").to_numpy(), slots.column("n").to_numpy())
+    shards = max(1, math.ceil(corpus.n_bytes / shard_bytes))
+    placed = read.mapInArrow(_vec.tidy(_place(corpus, vocabulary)), f"key long, {columns}")
+    placed = placed.mapInArrow(_vec.tidy(_part(_bounds(read, corpus, vocabulary, shards))), f"part long, key long, {columns}")
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.repartition(max(least, math.ceil(shards / 2)), "part").sortWithinPartitions("part", "key", "tie", "n_bytes")
+    dealt = placed.repartition(max(least, min(shards, PARTS)), "part").sortWithinPartitions("part", "key", "tie", "n_bytes")
     ddl = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _COLUMNS) + (", ids array<int>" if with_ids else "")
     # A part that is larger than the sample told is cut at twice a shard.
-    return dealt.mapInArrow(_vec.tidy(_pack(corpus, window, 2 * shard_bytes, with_ids)), ddl)
+    return dealt.mapInArrow(_vec.tidy(_pack(corpus, vocabulary, window, 2 * shard_bytes, with_ids)), ddl)
