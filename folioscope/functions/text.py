@@ -95,8 +95,8 @@ def offsets(text: Column, pattern: str) -> Column:
 def offsets_of(cut: Column) -> Column:
     """The tokens before each piece but the first.
 
-    Those of the pieces are added up; a token that a cut splits counts once.  Linear in the text,
-    whatever the number of pieces.
+    Those of the pieces are added up; a token that a cut splits counts once.  Linear in the text, and quadratic in
+    the number of pieces, so callers cut off those that they don't report.
     """
 
     def step(acc: Column, piece: Column) -> Column:

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # Word lists and patterns that decide which results a text gets.
-STOP_WORDS = (
-    "a about above after again against all am an and any are as at be because been before being below "
-    "between both but by can did do does doing down during each few for from further had has have "
-    "having he her here hers herself him himself his how i if in into is it its itself just me "
-    "might more most my myself no nor not now of off on once only or other our ours ourselves out "
-    "over own same she should so some such than that the their theirs them themselves then there these "
-    "they this those through to too under until up very was we were what when where which while who "
-    "whom why will with would you your yours yourself yourselves"
-).split()
+STOP_WORDS = [
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at",
+    "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "did", "do",
+    "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have", "having",
+    "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in", "into", "is", "it",
+    "its", "itself", "just", "me", "might", "more", "most", "my", "myself", "no", "nor", "not", "now", "of",
+    "off", "on", "once", "only", "or", "other", "our", "ours", "ourselves", "out", "over", "own", "same", "she",
+    "should", "so", "some", "such", "than", "that", "the", "their", "theirs", "them", "themselves", "then",
+    "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was",
+    "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would",
+    "you", "your", "yours", "yourself", "yourselves",
+]
 KEYWORD = r"\b[a-zA-Z][a-zA-Z\-']{2,}\b"
 QUESTION = r"(?m)(?:^|[.!?]\s+|\n\s*)((?:What|Why|How|When|Where|Who|Which|Is|Are|Do|Does|Can|Should|Will|Could|Would|May|Might)\b[^.!?\n]{3,180}\?)"
 CREDENTIALS = r"(MD|Ph\.?D\.?|MBA|MSc|MPH|DDS|DMD|JD|RN|DO|DPM|OD|PharmD|DVM|EdD|PsyD)"

@@ -5,7 +5,8 @@ PNG and GIF have native expressions; WebP and JPEG need a walk through the heade
 
 from __future__ import annotations
 
-import struct
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,40 +37,52 @@ def gif_dimensions(data: Column) -> Column:
     return F.when((F.octet_length(data) >= 10) & _starts(data, "47494638"), F.struct(_little(data, 6).alias("width"), _little(data, 8).alias("height")))
 
 
+#: Fixed values, of WebP's container: the first chunk's name, where its data has a start code and which, the bits at which
+#: width and height begin, their number, and what is stored less than the size.
+_WEBP = {
+    b"VP8X": (0, b"", 32, 56, 24, 1),
+    b"VP8L": (0, b"\x2f", 8, 22, 14, 1),
+    b"VP8 ": (3, b"\x9d\x01\x2a", 48, 64, 14, 0),
+}
+#: Bytes of the longest of these headers, container included; a shorter file has no size.
+_WEBP_BYTES = 30
+#: Fixed values, of JPEG's markers: those that begin a frame, and those without a length.
+_FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
+_BARE = frozenset([0x00, 0x01, *range(0xD0, 0xD9)])
+_SCAN, _END = 0xDA, 0xD9
+_MARKER = re.compile(rb"\xff+([^\xff])", re.DOTALL)
+
+
 def webp(data: bytes) -> tuple[int, int] | None:
-    if len(data) < 30 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+    layout = _WEBP.get(data[12:16]) if data.startswith(b"RIFF") and data[8:12] == b"WEBP" and len(data) >= _WEBP_BYTES else None
+    if layout is None:
         return None
-    kind = data[12:16]
-    if kind == b"VP8X":
-        return tuple(1 + int.from_bytes(data[at : at + 3], "little") for at in (24, 27))
-    if kind == b"VP8 " and data[23:26] == b"\x9d\x01\x2a":
-        return tuple(n & 0x3FFF for n in struct.unpack_from("<HH", data, 26))
-    if kind == b"VP8L" and data[20] == 0x2F:
-        packed = int.from_bytes(data[21:25], "little")
-        return 1 + (packed & 0x3FFF), 1 + (packed >> 14 & 0x3FFF)
-    return None
+    at, code, width, height, bits, less = layout
+    body = data[20:_WEBP_BYTES]
+    if not body.startswith(code, at):
+        return None
+    packed, mask = int.from_bytes(body, "little"), (1 << bits) - 1
+    return (packed >> width & mask) + less, (packed >> height & mask) + less
 
 
-def jpeg(data: bytes) -> tuple[int, int] | None:
-    """From the first start-of-frame marker; the other segments are passed over by their length."""
-    if data[:3] != b"\xff\xd8\xff":
-        return None
-    at = 2
-    while at + 9 < len(data):
-        marker = data[at + 1]
-        if data[at] != 0xFF:
-            at += 1
-        elif marker & 0xF0 == 0xC0 and marker not in (0xC4, 0xC8, 0xCC):
-            height, width = struct.unpack_from(">HH", data, at + 5)
-            return width, height
-        elif marker == 0x01 or 0xD0 <= marker <= 0xD9:
-            at += 2
-        else:
-            size = int.from_bytes(data[at + 2 : at + 4], "big")
+def jpeg_segments(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(marker, payload) of each segment before the first scan; bytes between segments are passed over."""
+    found = _MARKER.search(data) if data.startswith(b"\xff\xd8\xff") else None
+    while found and (marker := found[1][0]) not in (_SCAN, _END):
+        end = found.end()
+        if marker not in _BARE:
+            size = int.from_bytes(data[end : end + 2], "big")
             if size < 2:
-                return None
-            at += 2 + size
-    return None
+                return
+            yield marker, data[end + 2 : end + size]
+            end += size
+        found = _MARKER.search(data, end)
+
+
+def jpeg(data: bytes) -> tuple[int, int] | None:
+    """The size that the first frame's header states, behind a byte of precision: lines, then samples a line."""
+    header = next((payload for marker, payload in jpeg_segments(data) if marker in _FRAMES), b"")
+    return (int.from_bytes(header[3:5], "big"), int.from_bytes(header[1:3], "big")) if len(header) >= 5 else None
 
 
 @F.pandas_udf(StructType([StructField("width", LongType()), StructField("height", LongType())]))

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..plans.audit import audit
 
 CHANGES = "file string, score_before int, score_now int, fixed array<string>, regressed array<string>, still_present array<string>"
-STATE = "score int, suggestions array<string>"
+STATE = "score int, suggestions array<string>, at long"
 
 
 def read_landing(spark: SparkSession, path: str, schema: str = "doc_id long, label string, file_type string, raw string, ts timestamp") -> DataFrame:
@@ -22,27 +22,34 @@ def read_landing(spark: SparkSession, path: str, schema: str = "doc_id long, lab
 
 
 def audit_stream(docs: DataFrame, as_of: datetime.date) -> DataFrame:
-    """The audit is stateless, so a stream of documents gives a stream of reports."""
-    return audit(docs, as_of)
+    """The audit is stateless, so a stream of documents gives a stream of reports; ``ts``, if there, stays."""
+    return audit(docs, as_of, keep=("ts",) if "ts" in docs.columns else ())
 
 
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    score, known = state.get if state.exists else (None, [])
+    score, known, last = state.get if state.exists else (None, None, None)
     before = set(known if known is not None else [])
     rows = []
-    for batch in batches:
-        for now_score, suggestions in zip(batch["score"], batch["suggestions"], strict=True):
-            now = set(suggestions)
-            if score is not None:
-                rows.append((key[0], score, int(now_score), sorted(before - now), sorted(now - before), sorted(before & now)))
-            score, before = int(now_score), now
-    state.update((score, sorted(before)))
+    audits = sorted((a for batch in batches for a in zip(batch["at"], batch["score"], batch["suggestions"], strict=True)), key=lambda a: a[0])
+    for at, now_score, suggestions in audits:
+        if last is not None and at < last:
+            continue
+        now = set(suggestions)
+        if score is not None:
+            rows.append((key[0], score, int(now_score), sorted(before - now), sorted(now - before), sorted(before & now)))
+        score, before, last = int(now_score), now, int(at)
+    state.update((score, sorted(before), last))
     yield pd.DataFrame(rows, columns=["file", "score_before", "score_now", "fixed", "regressed", "still_present"])
 
 
 def changes(audits: DataFrame) -> DataFrame:
-    """For every audit of a file after its first: what was fixed, regressed and is still present."""
-    return audits.select("file", "score", "suggestions").groupBy("file").applyInPandasWithState(_changes, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+    """For every audit of a file after its first: what was fixed, regressed and is still present.
+
+    Audits are taken in the order of ``ts``, if there is one, or else as they arrive.  One that is older than
+    the last that was taken comes too late and is left out.
+    """
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)) if "ts" in audits.columns else F.lit(0)
+    return audits.select("file", "score", "suggestions", at.cast("long").alias("at")).groupBy("file").applyInPandasWithState(_changes, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def _timed(events: DataFrame, ts: str, late: str) -> DataFrame:

@@ -5,6 +5,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.operators import banks
 from folioscope.plans import manifest
@@ -52,3 +53,41 @@ def test_manifest(spark):
     kinds = {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()}
     assert kinds["phrase"] == 22 and kinds["aside"] == 30 and kinds["design_line"] == 28 and kinds["factor"] == 6
     assert manifest.pattern_table(spark).count() == len(banks.PHRASES) + len(banks.ASIDES)
+
+
+def _webp(name, body):
+    return b"RIFF" + bytes(4) + b"WEBP" + name + bytes(4) + body + bytes(20)
+
+
+def _jpeg(*segments):
+    return b"\xff\xd8" + b"".join(segments) + b"\xff\xda\x00\x02" + bytes(20)
+
+
+def _segment(marker, payload):
+    return bytes([0xFF, marker]) + (len(payload) + 2).to_bytes(2, "big") + payload
+
+
+def test_sizes_of_webp_and_jpeg(spark):
+    from folioscope.sources import images
+
+    frame = b"\x08" + (630).to_bytes(2, "big") + (1200).to_bytes(2, "big") + b"\x03" + bytes(9)
+    app = _segment(0xE0, b"JFIF\x00" + b"\xff\xc0\x00\x11\x08\x00\x01\x00\x01")
+    lossless = 1199 | 629 << 14
+    want = {
+        _webp(b"VP8X", bytes(4) + (1199).to_bytes(3, "little") + (629).to_bytes(3, "little")): (1200, 630),
+        _webp(b"VP8L", b"\x2f" + lossless.to_bytes(4, "little")): (1200, 630),
+        _webp(b"VP8 ", b"\x10\x00\x00\x9d\x01\x2a" + (1200 | 1 << 14).to_bytes(2, "little") + (630).to_bytes(2, "little")): (1200, 630),
+        _webp(b"VP8L", b"\x2e" + bytes(4)): None,
+        _webp(b"ALPH", bytes(10)): None,
+        _webp(b"VP8X", b"")[:29]: None,
+        _jpeg(app, _segment(0xC0, frame)): (1200, 630),
+        _jpeg(app, b"\xff\xff\xff" + _segment(0xC2, frame)): (1200, 630),
+        _jpeg(_segment(0xC4, frame), b"\xff\x01", _segment(0xC1, frame)): (1200, 630),
+        _jpeg(app): None,
+        _jpeg(_segment(0xC0, frame))[:8]: None,
+        b"\xff\xd8\xff\xe0\x00\x01": None,
+        b"": None,
+    }
+    rows = spark.createDataFrame([(bytearray(d),) for d in want], "d binary").select(images.dimensions(F.col("d")).alias("s"), images.looks_like_image(F.col("d")).alias("i")).collect()
+    assert [tuple(r.s) if r.s else None for r in rows] == list(want.values())
+    assert [r.i for r in rows] == [bool(d) for d in want]
