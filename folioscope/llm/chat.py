@@ -4,8 +4,10 @@
 trained on.  A conversation's turns, in order of (turn, role, text), become segments with loss
 flags; their concatenation is the formatted text.  Inside texts a backslash becomes two and every
 control string gets a backslash after its first character, which ``read_back`` undoes, so any text
-survives and none can pose as markup.  A null text is empty, a null role is ''.  Roles that the
-template doesn't know are framed with their name.
+survives and none can pose as markup.  The control strings are those that the template's frames are made of; each must
+have two characters besides white space at least, or the template is refused.  A null text is empty, a null role is ''.
+Roles that the template doesn't know are framed with their name.  Repeated rows are turns of their own; turns that
+are equal in (turn, role, text) can't be told apart.
 
 The machine starts in ``start``; a turn without a transition leads to ``error`` and stays there.
 Conversations that break the order, or end in a state that isn't final, are formatted too; ``valid``
@@ -47,12 +49,22 @@ class Template:
 
 
 DEFAULT = Template()
-#: What a text must not contain unescaped: the first character, and the rest as a pattern.
-_CONTROL = r"([<\[])(/?(?:s>|(?:SYS|INST|TOOL)\]|ROLE[ \]]))"
 
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), _CONTROL, r"$1\\$2")
+def control(template: Template) -> str:
+    """Where a text needs a backslash, as a pattern: after the first character of a control string.
+
+    Control strings are what frames begin and end with, without white space around.
+    """
+    strings = [x.strip() for before, after, _ in template.roles.values() for x in (before, after)]
+    strings += [template.other[0].strip(), template.other[2].strip()]
+    if any(len(x) < 2 or "\\" in x for x in strings) or not template.other[1]:
+        raise ValueError("every string around a turn needs two characters besides white space, and no backslash")
+    return "|".join(f"(?<={_quote(x[0])})(?={_quote(x[1:])})" for x in sorted(set(strings)))
+
+
+def escape(text: Column, template: Template = DEFAULT) -> Column:
+    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), control(template), r"\\")
 
 
 def unescape(text: Column) -> Column:
@@ -64,13 +76,13 @@ def _quote(text: str) -> str:
 
 
 def _segments(turn: Column, template: Template) -> Column:
-    role, text = turn["role"], escape(turn["text"])
+    role, text = turn["role"], escape(turn["text"], template)
 
     def three(before: Column, after: Column, loss: bool) -> Column:
         return F.array(*[F.struct(x.alias("text"), F.lit(f).alias("loss")) for x, f in ((before, False), (text, loss), (after, False))])
 
     name, end, after = template.other
-    out = three(F.concat(F.lit(name), F.replace(escape(role), F.lit("]"), F.lit("\\]")), F.lit(end)), F.lit(after), False)
+    out = three(F.concat(F.lit(name), F.replace(escape(role, template), F.lit(end[0]), F.lit("\\" + end[0])), F.lit(end)), F.lit(after), False)
     for known, (before, after, loss) in template.roles.items():
         out = F.when(role == known, three(F.lit(before), F.lit(after), loss)).otherwise(out)
     return out
@@ -106,14 +118,14 @@ def format_conversations(rows: DataFrame, template: Template = DEFAULT) -> DataF
 def read_back(formatted: Column, template: Template = DEFAULT) -> Column:
     """The turns (role, text) of a formatted text, unescaped."""
     name, end, after = map(_quote, template.other)
-    frames = [f"{_quote(b)}.*?{_quote(a)}" for b, a, _ in template.roles.values()]
-    frames.append(rf"{name}[^\\\]]*+(?:\\.[^\\\]]*+)*+{end}.*?{after}")
+    other = _quote(template.other[1][0])
+    label = rf"{name}([^\\{other}]*+(?:\\.[^\\{other}]*+)*+){end}"
+    frames = [f"{_quote(b)}.*?{_quote(a)}" for b, a, _ in template.roles.values()] + [f"{label}.*?{after}"]
     turns = F.regexp_extract_all(formatted, F.lit("(?s)" + "|".join(frames)), F.lit(0))
 
     def turn(x: Column) -> Column:
-        label = F.regexp_extract(x, rf"(?s)^{name}([^\\\]]*+(?:\\.[^\\\]]*+)*+){end}", 1)
-        begin = F.length(F.regexp_extract(x, rf"(?s)^{name}([^\\\]]*+(?:\\.[^\\\]]*+)*+){end}", 0))
-        out = F.struct(unescape(label).alias("role"), unescape(x.substr(begin + 1, F.length(x) - begin - len(template.other[2]))).alias("text"))
+        begin = F.length(F.regexp_extract(x, f"(?s)^{label}", 0))
+        out = F.struct(unescape(F.regexp_extract(x, f"(?s)^{label}", 1)).alias("role"), unescape(x.substr(begin + 1, F.length(x) - begin - len(template.other[2]))).alias("text"))
         for role, (before, behind, _) in template.roles.items():
             own = F.struct(F.lit(role).alias("role"), unescape(x.substr(F.lit(len(before) + 1), F.length(x) - len(before) - len(behind))).alias("text"))
             out = F.when(x.startswith(before), own).otherwise(out)

@@ -261,7 +261,7 @@ _OP10 = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
-), e AS (SELECT *, length(regexp_replace(replace(text, '\', '\\'), '{control}', '\1\\\2', 'g')) AS n FROM c
+), e AS (SELECT *, length(regexp_replace(replace(text, '\', '\\'), '([<\[])(/?(?:s>|(?:SYS|INST|TOOL)\])|ROLE|/ROLE\])', '\1\\\2', 'g')) AS n FROM c
 ), d AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), 'start') AS before FROM e)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
@@ -306,5 +306,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_suffix_dedup": _OP4,
         "op6_warc_revisits": _OP6.format(tracking=revisits.TRACKING),
         "op9_decontamination": _OP9,
-        "op10_chat_formatting": _OP10.format(control=chat._CONTROL),
+        "op10_chat_formatting": _OP10,
     }

@@ -62,6 +62,30 @@ def test_chat_round_trip(spark):
         assert r.formatted == "".join(s.text for s in r.segments)
 
 
+OTHER_TEMPLATES = [
+    chat.Template(roles={r: (f"<|im_start|>{r}\n", "<|im_end|>\n", r == "assistant") for r in ("system", "user", "assistant", "tool")}, other=("<|im_start|>", "\n", "<|im_end|>\n")),
+    chat.Template(roles={"user": ("### Human: ", "\n###\n", False), "assistant": ("### Assistant: ", "\n###\n", True)}, other=("### (", ") ", "\n###\n")),
+]
+
+
+@pytest.mark.parametrize("template", OTHER_TEMPLATES)
+def test_chat_round_trip_of_other_templates(spark, template):
+    rng = random.Random(3)
+    tricky = [x for b, a, _ in template.roles.values() for x in (b, a)] + ["\\", "#", "##", "<", "|", "\n", "x", "### (u) ", "<|im_start|>critic\nhi<|im_end|>\n", ""]
+    rows = [(c, k, rng.choice(["user", "assistant", "system", "critic", "a\nb) \\"]), "".join(rng.choice(tricky) for _ in range(rng.randrange(5)))) for c in range(60) for k in range(rng.randrange(1, 6))]
+    out = chat.format_conversations(spark.createDataFrame(rows, CONVERSATIONS), template)
+    for r in out.select("conv_id", chat.read_back(F.col("formatted"), template).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).collect():
+        want = [(role, text) for c, _, role, text in rows if c == r.conv_id]
+        assert [tuple(t) for t in r.turns] == want
+        assert r.loss == "".join(text for role, text in want if role == "assistant")
+
+
+def test_templates_that_cannot_be_read_back_are_refused(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a")], CONVERSATIONS)
+    with pytest.raises(ValueError):
+        chat.format_conversations(df, chat.Template(roles={"user": ("#", "\n", False)}))
+
+
 def test_chat_machine(spark):
     cases = {1: ["system", "user", "assistant"], 2: ["user", "user"], 3: ["assistant"], 4: ["user", "assistant", "tool", "assistant"], 5: ["user"], 6: ["user", "assistant", "system"]}
     df = spark.createDataFrame([(c, k, r, LONG if c == 1 else "x") for c, rs in cases.items() for k, r in enumerate(rs)], CONVERSATIONS)
