@@ -4,9 +4,10 @@ A word is the bytes of a white-space separated string (A-Z lowered) between two
 Two models of order ``ORDER`` give the probability of each byte after the ``ORDER - 1`` before it,
 one learnt from toxic and one from ordinary documents.  The highest order has counts of its own
 class; below it both share the Kneser-Ney continuation counts of all labelled text, so that
-what is rare in both classes says little about either.  A document's score is its log-likelihood
-under the toxic model less that under the ordinary one, divided by a power of its bytes, passed through a
-logistic function that is fitted on labelled documents set apart from the counts.
+what is rare in both classes says little about either.  Of every run of ``PASSAGE`` words the log-likelihood under the
+toxic model less that under the ordinary one is divided by its bytes; a document has that of its most toxic run, since
+toxic expressions get rarer, a byte, as documents get longer.  A document of fewer words is one run.  A logistic function,
+fitted on labelled documents set apart from the counts, makes it a score.
 
 Counts come from all rows to learn from and are kept by the n-grams themselves: up to four bytes
 and their number fit a key, so none are hashed together, and the model grows with the distinct n-grams
@@ -30,9 +31,8 @@ from pyspark.sql import functions as F
 from . import _vec
 
 ORDER = 4
-#: The log-likelihoods' difference is divided by this power of the bytes: toxic expressions get
-#: rarer, a byte, as documents get longer.
-LENGTH_POWER = 0.85
+#: Words of a run whose log-likelihoods are compared.
+PASSAGE = 4
 #: Labelled documents that fit the logistic function, about.
 CALIBRATE = 10_000
 
@@ -170,7 +170,7 @@ def _ratios(rows: dict[int, dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndar
 
 
 def _log_ratios(model: Model):
-    """(doc_id, text) to (doc_id, length-normalised log ratio)."""
+    """(doc_id, text) to (doc_id, the largest length-normalised log ratio of its runs of words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +186,14 @@ def _log_ratios(model: Model):
                     ratio[seen] = values[place[seen]]
                 own = np.bincount(word, ratio, len(words))[which]
                 bytes_ = (sizes + 1)[which]
-                sums, lengths = (np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))[at] for x in (own, bytes_))
-                out[a:b] = np.diff(sums) / np.maximum(np.diff(lengths), 1) ** LENGTH_POWER
+                sums, lengths = (np.concatenate(([0.0], np.cumsum(x, dtype=np.float64))) for x in (own, bytes_))
+                begin, end = (np.repeat(x, np.diff(at)) for x in (at[:-1], at[1:]))
+                first = np.arange(len(which))
+                last = np.minimum(first + PASSAGE, end)
+                value = (sums[last] - sums[first]) / (lengths[last] - lengths[first])
+                value[(first > begin) & (first + PASSAGE > end)] = -np.inf  # shorter than the others
+                full = np.flatnonzero(np.diff(at))
+                out[a + full] = np.maximum.reduceat(value, at[full])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "ratio"])
 
     return run

@@ -282,6 +282,74 @@ def test_toxicity_keeps_all_ngrams_apart():
     assert found == want and len(found) == rows.num_rows > 150_000
 
 
+def _toxicity_by_hand(rows, text):
+    """The log ratio of a text, from dictionaries of n-grams as bytes."""
+    from math import log
+
+    def words(t):
+        return [b"\x02" + w.encode() + b"\x03" for w in t.lower().split()]
+
+    def grams(w, n):
+        return [w[max(0, at - n + 1) : at + 1] for at in range(1, len(w))]
+
+    def discount(counts):
+        one, two = counts.count(1), counts.count(2)
+        return one / (one + 2 * two) if one else 0.5
+
+    order = toxicity.ORDER
+    seen = {n: {g for t, _ in rows for w in words(t) for g in grams(w, n)} for n in range(1, order + 1)}
+    below, longer = {}, None
+    for n in range(1, order):
+        continued = {g: sum(x[-n:] == g for x in seen[n + 1]) for g in seen[n]}
+        d, own = discount(list(continued.values())), {}
+        for g in seen[n]:
+            same = [continued[x] for x in seen[n] if x[:-1] == g[:-1]]
+            total, kinds = max(sum(same), 1), max(sum(c > 0 for c in same), 1)
+            under = below[g[-(n - 1) :]] if n > 1 else 1 / 256
+            own[g] = max(max(continued[g] - d, 0) / total + min(1, d * kinds / total) * under, 1e-9)
+        below = own
+    known, rest = {}, {}
+    for label in (1, 0):
+        counts = dict.fromkeys(seen[order], 0)
+        for t, toxic in rows:
+            for w in words(t):
+                for g in grams(w, order):
+                    counts[g] += toxic == label
+        d = discount(list(counts.values()))
+        for g in seen[order]:
+            same = [counts[x] for x in seen[order] if x[:-1] == g[:-1]]
+            rest[label, g[:-1]] = max(d * sum(c > 0 for c in same) / sum(same) if sum(same) else 1.0, 1e-6)
+            known[label, g] = max(counts[g] - d, 0) / max(sum(same), 1) + rest[label, g[:-1]] * below[g[-(order - 1) :]]
+    values = []
+    for w in words(text):
+        total = 0.0
+        for g in grams(w, order):
+            p = known if (1, g) in known else rest if (1, g := g[:-1]) in rest else None
+            total += log(p[1, g] / p[0, g]) if p else 0.0
+        values.append((total, len(w) - 1))
+    runs = [values[k : k + toxicity.PASSAGE] for k in range(max(1, len(values) - toxicity.PASSAGE + 1))]
+    return max((sum(v for v, _ in run) / sum(n for _, n in run) for run in runs if run), default=0.0)
+
+
+def test_toxicity_against_a_plain_program():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    rows = [(" ".join(rng.choices(words[:45] if k % 3 else words[15:], k=rng.randrange(1, 12))), int(k % 3 == 0)) for k in range(40)]
+    batches = [pa.record_batch({"text": [t for t, _ in rows[a::2]], "toxic": [y for _, y in rows[a::2]]}) for a in (0, 1)]
+    models = []
+    for parts in (batches, batches[::-1], [pa.Table.from_batches(batches).combine_chunks().to_batches()[0]]):
+        table = pa.Table.from_batches([x for b in parts for x in toxicity._count(iter([b]))]).group_by(["n", "gram"]).aggregate([("toxic", "sum"), ("ordinary", "sum")]).sort_by("gram")
+        columns = {c.removesuffix("_sum"): table.column(c).to_numpy() for c in table.column_names}
+        models.append(toxicity.Model(*toxicity._ratios({n: {c: v[columns["n"] == n] for c, v in columns.items()} for n in range(1, toxicity.ORDER + 1)}), 0.0, 0.0))
+    # However the rows are dealt, the model is the same.
+    assert all(np.array_equal(getattr(models[0], c), getattr(m, c)) for m in models for c in ("grams", "gram", "contexts", "context"))
+    texts = [t for t, _ in rows[:10]] + ["", "zzz", "abc zq aé", " ".join(words)]
+    (found,) = toxicity._log_ratios(models[0])(iter([pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})]))
+    assert np.allclose(found.column(1).to_numpy(), [_toxicity_by_hand(rows, t) for t in texts], atol=1e-5)
+
+
 def test_packing(spark, documents):
     from tokenizers import Tokenizer
 
