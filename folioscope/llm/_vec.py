@@ -172,6 +172,21 @@ def strings(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(buf, off - off[0])
 
 
+def bordered(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, Texts]:
+    """(index of each word's distinct word, word offsets of the texts, sizes, the distinct words, A-Z lowered, between borders)."""
+    lowered = _LOWER[texts.buf]
+    begins, ends, at = texts.words()
+    _, where, which = np.unique(texts.span_hashes(begins, ends, lower=True), return_index=True, return_inverse=True)
+    begins, sizes = begins[where], ends[where] - begins[where]
+    off = np.concatenate(([0], np.cumsum(sizes + 2)))
+    buf = np.zeros(int(off[-1]), np.uint8)
+    buf[off[:-1]] = 2
+    buf[off[1:] - 1] = 3
+    if len(sizes):
+        buf[gather(off[:-1] + 1, sizes)] = lowered[gather(begins, sizes)]
+    return which, at, sizes, Texts(buf, off)
+
+
 def slices(texts: Texts, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
     """(first, last + 1, texts) of runs of about ``limit`` bytes; a longer text is one run."""
     a, n = 0, len(texts)

@@ -1,7 +1,7 @@
 """Language identification by averaged hashed subword embeddings.
 
-A text is the average of the embeddings of its hashed byte n-grams (A-Z lowered), followed by
-a linear softmax; both layers are trained by stochastic gradient descent in numpy.  Since the
+A text is the average of the embeddings of its subwords, the hashed byte n-grams of its words (A-Z lowered) with
+a border before and after, followed by a linear softmax; both layers are trained by stochastic gradient descent in numpy.  Since the
 model is linear after the average, prediction adds up one row of class scores for each n-gram.
 
 The classifier is fitted on a bounded sample: about ``per_class`` labelled documents of each
@@ -44,18 +44,18 @@ class Model:
     reject_below: float
 
 
-def _buckets(texts: _vec.Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket of each n-gram, n-gram offsets of the texts), for each n; n-grams lie within a text."""
-    lowered = _vec.Texts(_vec._LOWER[texts.buf], texts.off)
+def _subwords(texts: _vec.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of each word's distinct word, word offsets of the texts, buckets of the distinct words' n-grams, their offsets)."""
+    which, at, sizes, words = _vec.bordered(texts)
+    ids, owner = [], []
     for k in GRAMS:
-        hashes = lowered.grams(k)
-        whole = np.ones(len(hashes), bool)
-        for back in range(1, k):
-            ends = texts.off[1:] - back
-            whole[ends[(ends >= 0) & (ends < len(whole))]] = False
-        ids = (hashes >> np.uint64(50)).astype(np.int64)
-        off = np.concatenate(([0], np.cumsum(whole)))[np.minimum(texts.off, len(whole))]
-        yield ids[whole], off
+        hashes = words.grams(k)
+        count = np.maximum(sizes + 3 - k, 0)
+        ids.append((hashes[_vec.gather(words.off[:-1], count)] >> np.uint64(50)).astype(np.int64))
+        owner.append(np.repeat(np.arange(len(sizes)), count))
+    ids, owner = np.concatenate(ids), np.concatenate(owner)
+    by = np.argsort(owner, kind="stable")
+    return which, at, ids[by], np.searchsorted(owner[by], np.arange(len(sizes) + 1))
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,10 +63,11 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(0)
         for a, b, texts in _vec.slices(_vec.strings(batch.column(1))):
-            counts = [np.zeros(BUCKETS, np.int64) for _ in range(b - a)]
-            for ids, off in _buckets(texts):
-                for i in range(b - a):
-                    counts[i] += np.bincount(ids[off[i] : off[i + 1]], minlength=BUCKETS)
+            which, at, ids, off = _subwords(texts)
+            counts = []
+            for i in range(b - a):
+                own = which[at[i] : at[i + 1]]
+                counts.append(np.bincount(ids[_vec.gather(off[own], off[own + 1] - off[own])], minlength=BUCKETS))
             used = [np.flatnonzero(c) for c in counts]
             shares = [c[u] / max(1, c.sum()) for c, u in zip(counts, used, strict=True)]
             yield pa.RecordBatch.from_arrays([langs.slice(a, b - a), pa.array([_vec.pack(u.astype(np.int32)) for u in used]), pa.array([_vec.pack(s.astype(np.float32)) for s in shares])], ["lang", "ids", "shares"])
@@ -127,13 +128,14 @@ def _predict(model: Model):
             lettered = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for a, b, texts in _vec.slices(_vec.strings(batch.column(1))):
-                total, count = np.zeros((b - a, len(model.languages))), np.zeros(b - a)
-                for ids, off in _buckets(texts):
-                    full = np.flatnonzero(np.diff(off))
-                    if len(full):
-                        for c in range(total.shape[1]):
-                            total[full, c] += np.add.reduceat(model.scores[:, c][ids], off[full], dtype=np.float64)
-                    count += np.diff(off)
+                which, at, ids, off = _subwords(texts)
+                owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+
+                def summed(by_word: np.ndarray, which=which, at=at) -> np.ndarray:
+                    return np.diff(np.concatenate(([0.0], np.cumsum(by_word[which])))[at])
+
+                count = summed(np.diff(off).astype(np.float64))
+                total = np.stack([summed(np.bincount(owner, model.scores[:, c][ids], len(off) - 1)) for c in range(len(model.languages))], 1)
                 p = _softmax((total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature)
                 best[a:b], score[a:b] = p.argmax(-1), p.max(-1)
             lang = np.where(lettered, np.array(model.languages, object)[best], "und")

@@ -47,21 +47,6 @@ class Model:
     offset: float
 
 
-def _distinct(texts: _vec.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, _vec.Texts]:
-    """(index of each word's distinct word, word offsets of the texts, sizes, the distinct words with borders)."""
-    lowered = _vec._LOWER[texts.buf]
-    begins, ends, at = texts.words()
-    _, where, which = np.unique(texts.span_hashes(begins, ends, lower=True), return_index=True, return_inverse=True)
-    begins, sizes = begins[where], ends[where] - begins[where]
-    off = np.concatenate(([0], np.cumsum(sizes + 2)))
-    buf = np.zeros(int(off[-1]), np.uint8)
-    buf[off[:-1]] = 2
-    buf[off[1:] - 1] = 3
-    if len(sizes):
-        buf[_vec.gather(off[:-1] + 1, sizes)] = lowered[_vec.gather(begins, sizes)]
-    return which, at, sizes, _vec.Texts(buf, off)
-
-
 def _keys(words: _vec.Texts, order: int) -> tuple[np.ndarray, np.ndarray]:
     """For each byte after the first of each word: its word, and the key of the n-gram: its number of bytes, and its bytes."""
     sizes = np.diff(words.off)
@@ -112,7 +97,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for a, b, texts in _vec.slices(_vec.strings(batch.column(0))):
-            which, at, _, words = _distinct(texts)
+            which, at, _, words = _vec.bordered(texts)
             if not len(which):
                 continue
             label = np.repeat(toxic[a:b], np.diff(at))
@@ -176,7 +161,7 @@ def _log_ratios(model: Model):
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for a, b, texts in _vec.slices(_vec.strings(batch.column(1))):
-                which, at, sizes, words = _distinct(texts)
+                which, at, sizes, words = _vec.bordered(texts)
                 if not len(which):
                     continue
                 word, key = _keys(words, ORDER)

@@ -243,6 +243,31 @@ def test_language(spark, documents):
     assert language_id.identify(odd, language_id.fit(odd.where("false"))).where("rejected").count() == 5
 
 
+def test_language_against_a_plain_program():
+    """Subwords, averages, probabilities and rejection, text by text."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    model = language_id.Model(["x", "y", "z"], rng.normal(size=(language_id.BUCKETS, 3)).astype(np.float32), rng.normal(size=3), 0.3, 0.5)
+    texts = ["a", "Ab  é\n", "the quick brown fox the the", "word " * 500, "1 2 q", "über straße"]
+
+    def bucket(gram: bytes) -> int:
+        return int(_vec.strings(pa.array([gram], pa.binary())).grams(len(gram))[0] >> np.uint64(50))
+
+    columns = [pa.array(range(len(texts))), pa.array(texts), pa.array([True] * len(texts))]
+    (found,) = language_id._predict(model)(iter([pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "lettered"])]))
+    (bags,) = language_id._bags(iter([pa.record_batch({"lang": texts, "text": texts})]))
+    for k, text in enumerate(texts):
+        words = [b"\x02" + w.encode() + b"\x03" for w in text.lower().split()]
+        ids = [bucket(w[p : p + n]) for w in words for n in language_id.GRAMS for p in range(len(w) - n + 1)]
+        logits = (np.mean([model.scores[i] for i in ids], 0) + model.bias) / model.temperature
+        p = np.exp(logits) / np.exp(logits).sum()
+        assert found.column(1)[k].as_py() == "xyz"[p.argmax()] and abs(found.column(2)[k].as_py() - p.max()) < 1e-4
+        used, count = np.unique(ids, return_counts=True)
+        assert np.frombuffer(bags.column(1)[k].as_py(), np.int32).tolist() == used.tolist()
+        assert np.allclose(np.frombuffer(bags.column(2)[k].as_py(), np.float32), count / count.sum())
+
+
 def test_toxicity_edges(spark, documents):
     docs = documents(["you idiot " * 5, "a fine day " * 5, None, "", LONG])
     flat = toxicity.fit(docs.where("false").withColumn("toxic", F.lit(1)), calibrate=F.lit(False))
