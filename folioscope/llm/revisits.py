@@ -10,9 +10,11 @@ change into those of the response.  Records: record_id, url, ts (long), type, st
 - ``unchecked``: there is no validator on both sides to compare
 - ``mismatch``: the first pair of validators that both sides have differs; response_id is kept
 - ``orphan``: there is no earlier full response, or the URL is null
+- ``other``: the record has a ``profile`` (a column that may be missing) that is not the one of unmodified responses, such as
+  that of identical payloads; it is not resolved
 
 Of responses with one ts the largest record_id counts; a response at the revisit's own ts isn't earlier.
-A revisit with a null ts is an orphan, and responses with a null ts are not used.
+A revisit with a null ts is an orphan, and responses with a null ts are not used.  Repeated records give a row each.
 
 A URL may hold a third of all records, so captures are searched within buckets of time; only the
 last response of each bucket travels to later ones.
@@ -21,7 +23,9 @@ last response of each bucket travels to later ones.
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 
 #: Header fields that a 304 response may update.
 PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
+#: Fixed value: what the profile of a not-modified revisit holds.
+NOT_MODIFIED = "server-not-modified"
 #: Query parameters that don't name a resource.
 TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|ref|sessionid)"
 
@@ -47,11 +53,14 @@ def canonical_url(url: Column) -> Column:
 
 def resolve(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
-    rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "type", "status", F.coalesce("headers", empty).alias("headers"), "digest")
+    other = F.lit(False)
+    if "profile" in records.columns:
+        other = F.coalesce(~F.lower("profile").contains(NOT_MODIFIED), F.lit(False))
+    rows = records.select(other.alias("other"), "record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "type", "status", F.coalesce("headers", empty).alias("headers"), "digest")
     rows = rows.withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
     full = (F.col("type") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull() & F.col("canonical_url").isNotNull()
     revisit = F.col("type") == "revisit"
-    known = revisit & F.col("ts").isNotNull() & F.col("canonical_url").isNotNull()
+    known = revisit & ~F.col("other") & F.col("ts").isNotNull() & F.col("canonical_url").isNotNull()
     response = F.when(full, F.struct("ts", "record_id", "headers", "digest"))
     rows = rows.where(full | revisit).withColumn("is_revisit", revisit)
     order = [F.col("ts"), F.col("is_revisit").desc(), F.col("record_id")]
@@ -74,7 +83,7 @@ def resolve(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
     outcome = F.lit("unchecked")
     for a, b in ((F.col("digest"), F.col("response.digest")), pair("last-modified", F.trim), pair("etag", tag)):
         outcome = F.when(a.isNotNull() & b.isNotNull(), F.when(a == b, "resolved").otherwise("mismatch")).otherwise(outcome)
-    outcome = F.when(F.col("response").isNull(), "orphan").otherwise(outcome)
+    outcome = F.when(F.col("other"), "other").when(F.col("response").isNull(), "orphan").otherwise(outcome)
     update = F.map_filter("headers", lambda k, _: k.isin(PERMITTED))
     keep = F.map_filter("response.headers", lambda k, _: ~F.map_contains_key(update, k))
     merged = F.when(outcome.isin("resolved", "unchecked"), F.map_concat(keep, update)).otherwise(F.col("headers"))
@@ -88,37 +97,64 @@ def write_record(kind: str, headers: dict[str, str], block: bytes, compress: boo
     return gzip.compress(data, mtime=0) if compress else data
 
 
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The members of a gzip file, one after the other; what a broken one holds up to its fault is the last."""
+    while data:
+        inflate = zlib.decompressobj(wbits=31)
+        try:
+            yield inflate.decompress(data)
+        except zlib.error:
+            return
+        data = inflate.unused_data
+
+
 def parse_records(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
     """(type, headers with lower-case names, block) of each record; reading ends where a record is broken."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = headers.get("content-length", "")
-        if not size.isdigit() or end + 4 + int(size) > len(data):
-            return
-        block = data[end + 4 : end + 4 + int(size)]
-        yield headers.get("warc-type", ""), headers, block
-        at = end + 4 + int(size) + 4
+    rest = b""
+    for part in _inflated(data) if data[:2] == b"\x1f\x8b" else [data]:
+        rest, at = rest + part, 0
+        while record := _record(rest, at):
+            *found, at = record
+            yield tuple(found)
+        rest = rest[at:]
+
+
+def _record(data: bytes, at: int) -> tuple[str, dict[str, str], bytes, int] | None:
+    """The record at a place, and where the next one begins; None if it is not there whole."""
+    end = data.find(b"\r\n\r\n", at) if data.startswith(b"WARC/", at) else -1
+    if end < 0:
+        return None
+    lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    size = headers.get("content-length", "")
+    begin = end + 4
+    if not (size.isascii() and size.isdigit()) or begin + int(size) > len(data):
+        return None
+    return headers.get("warc-type", ""), headers, data[begin : begin + int(size)], begin + int(size) + 4
+
+
+def _seconds(date: str | None) -> int | None:
+    """A WARC-Date as seconds; null if it is none."""
+    try:
+        return int(datetime.fromisoformat(date.replace("Z", "+00:00")).timestamp()) if date else None
+    except (ValueError, OverflowError):
+        return None
 
 
 def _http(block: bytes) -> tuple[int | None, dict[str, str]]:
     head = block.partition(b"\r\n\r\n")[0].decode("latin-1").split("\r\n")
     status = head[0].split(" ")[1:2]
-    return (int(status[0]) if status and status[0].isdigit() else None), {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
+    return (int(status[0]) if status and status[0].isascii() and status[0].isdigit() and len(status[0]) < 6 else None), {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of WARC files: record_id, url, ts, type, status, headers, digest."""
-    from datetime import datetime
+    """The response and revisit records of WARC files: record_id, url, ts, type, status, headers, digest, profile.
 
-    ddl = "record_id string, url string, ts long, type string, status int, headers map<string,string>, digest string"
-    schema = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("ts", pa.int64()), ("type", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string())])
+    A file is read by one task, a record at a time; its bytes are in memory, its records are not.  A file that is broken gives
+    the records before the fault, and a date that can't be read is null.
+    """
+    ddl = "record_id string, url string, ts long, type string, status int, headers map<string,string>, digest string, profile string"
+    schema = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("ts", pa.int64()), ("type", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("profile", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,8 +163,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for kind, h, block in parse_records(data.as_py()):
                     if kind in ("response", "revisit"):
                         status, http = _http(block)
-                        ts = int(datetime.fromisoformat(h["warc-date"].replace("Z", "+00:00")).timestamp()) if "warc-date" in h else None
-                        rows.append({"record_id": h.get("warc-record-id"), "url": h.get("warc-target-uri"), "ts": ts, "type": kind, "status": status, "headers": list(http.items()), "digest": h.get("warc-payload-digest")})
+                        rows.append({"record_id": h.get("warc-record-id"), "url": h.get("warc-target-uri"), "ts": _seconds(h.get("warc-date")), "type": kind, "status": status, "headers": list(http.items()), "digest": h.get("warc-payload-digest"), "profile": h.get("warc-profile")})
+                    if len(rows) >= 1000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ddl)

@@ -225,6 +225,15 @@ def test_warc_files(spark, tmp_path):
     assert [k for k, _, _ in revisits.parse_records(gzip.decompress(data)[:-40])] == ["warcinfo", "response"]
     (tmp_path / "a.warc.gz").write_bytes(data)
     rows = revisits.read_warc(spark, str(tmp_path)).collect()
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    dated = head | {"WARC-Date": "no date", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+    (broken / "a.warc.gz").write_bytes(revisits.write_record("revisit", dated, b"HTTP/1.1 304 x\r\n\r\n") + data[:-20])
+    (broken / "b.warc").write_bytes(b"no such file")
+    found = revisits.read_warc(spark, str(broken))
+    assert sorted((r.type, r.ts is None) for r in found.collect()) == [("response", False), ("revisit", True)]
+    assert [r.outcome for r in revisits.resolve(found).collect()] == ["other"]
+    assert [r.outcome for r in revisits.resolve(found.union(found).withColumn("profile", F.lit(None).cast("string"))).collect()] == ["orphan"] * 2
     assert [(r.type, r.status, r.ts, r.headers.get("etag")) for r in rows] == [("response", 200, 1704067200, '"1"'), ("revisit", 304, 1704067200, None)]
 
 
