@@ -272,12 +272,13 @@ def _links(nodes: DataFrame, members: DataFrame, texts: DataFrame, words: int, p
         parts = written(parts)
         member = F.struct("node", "comp", "sig", "text")
         placed = sized.join(parts, ["bucket", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
-        blocks = placed.groupBy("bucket", "band", "cell", "block").agg(F.collect_list(member).alias("members")).drop("block")
+        # Written too, so that the join has plain exchanges.
+        blocks = written(placed.groupBy("bucket", "band", "cell", "block").agg(F.collect_list(member).alias("members")).drop("block"))
         odd = placed.where("comp <> main").groupBy("bucket", "cell", "block").agg(F.collect_list(member).alias("odd")).drop("block")
-        odd = odd.select("bucket", "odd", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+        odd = written(odd.select("bucket", "odd", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")))
         more = odd.join(blocks, ["bucket", "cell"]).select("band", "odd", "members").mapInArrow(_vec.tidy(_across(words, percent)), "x long, y long")
         labels = joined(labels, more)
-        forget(sized, parts)
+        forget(sized, parts, blocks, odd)
     forget(still)
     return labels
 
