@@ -31,12 +31,11 @@ def test_changes_of_a_page(spark, tmp_path):
 def test_changes_are_taken_in_the_order_of_their_times(spark, tmp_path):
     day = lambda k: datetime.datetime(2026, 1, k)
     rows = [(0, "page", "html", "<title>t</title><h1>x</h1>", day(3)), (1, "page", "html", "<h2>x</h2>", day(1)), (2, "page", "html", "<h1>x</h1>", day(2))]
-    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path))
-    spark.createDataFrame([(3, "page", "html", "<h2>late</h2>", day(1))], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path))
-    docs = landing.read_landing(spark, str(tmp_path))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    docs = landing.read_landing(spark, str(tmp_path / "in"))
     _drain(landing.changes(landing.audit_stream(docs, datetime.date(2026, 5, 1))), "ordered")
-    found = spark.table("ordered").collect()
-    assert [r.score_before <= r.score_now for r in found[-2:]] == [True, True] and found[-1].score_now > found[-2].score_before
+    first, second = spark.table("ordered").collect()
+    assert first.score_before < first.score_now == second.score_before < second.score_now
 
 
 def test_windows(spark, tmp_path):
