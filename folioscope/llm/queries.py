@@ -277,23 +277,43 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: The steps of ``licenses.LINES`` without look-around; copyright lines follow.
+_OP1_LINES = [
+    (r"(spdx-license-identifier):", r"\1"),
+    (r"[ \t]+", " "),
+    (r"\r?\n[ /#*;%-]*", "\n"),
+    (r"([.!?;:])(?: ?\n| )", "\\1\f"),
+    (r"""(^|[\n\f])[ /#*;%"'-]+""", r"\1"),
+    (r"""[ .!?;:"'*/]+([\n\f]|$)""", r"\1"),
+    (r"""[,:"'`]""", ""),
+    (r" +", " "),
+    (r" ?\n[ \n]*", "\n"),
+]
+
+
 def _op1_sql() -> str:
     text = "lower(text)"
-    for pattern, by in licenses.STEPS:
-        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(by.replace('$1', chr(92) + '1'))}, 'g')"
-    clean = "s"
-    for pattern, by in licenses.CLEAN:
-        clean = f"regexp_replace({clean}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    for pattern, by in _OP1_LINES:
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    # Each line and sentence end is doubled, so that two neighbours can take one each.
     known = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in licenses.SENTENCES.items()) + "}"
-    step = f"SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS l, []::VARCHAR[] AS names FROM found"
-    for name, ids in licenses.RULES:
-        seq = _quoted(" " + "  ".join(ids) + " ")
-        step = f"SELECT doc_id, ids, replace(l, {seq}, ' | ') AS l, CASE WHEN contains(l, {seq}) THEN list_append(names, {_quoted(name)}) ELSE names END AS names FROM ({step})"
+    pattern = _quoted(rf"[\n\f]({licenses.sentence_pattern('(?: |\n\n)')})[\n\f]")
+    holder = _quoted(r"^(?:copyright|\(c\))[ \n](?:[^\f]*[ \n])?(?:\(c\)|[0-9]{4})")
+    names = f"string_split_regex(trim(regexp_replace(substr(x, {len(licenses.TAG) + 2}), '[() ]+', ' ', 'g')), ' (?:and|or|with) ')"
+    rules = ", ".join(f"{{'l': {_quoted(' ' + '  '.join(ids) + ' ')}, 'names': [{_quoted(name)}]}}" for name, ids in licenses.RULES)
+    start = "{'l': ' ' || array_to_string(ids, '  ') || ' ', 'names': []::VARCHAR[]}"
+    taken = "CASE WHEN contains(a.l, r.l) THEN {'l': replace(a.l, r.l, ' | '), 'names': list_concat(a.names, r.names)} ELSE a END"
     return f"""
-WITH s AS (SELECT doc_id, list_filter(string_split({text}, chr(10)), lambda s: regexp_matches(s, '{licenses.HINTS}')) AS ss FROM documents WHERE regexp_matches(lower(text), '{licenses.HINTS}')
-), found AS (SELECT * FROM (SELECT doc_id, list_filter(list_transform(ss, lambda s: {known}[{clean}]), lambda i: i IS NOT NULL) AS ids FROM s) WHERE len(ids) > 0)
-SELECT doc_id, array_to_string(ids, ' ') AS identifiers, array_to_string(list_sort(list_distinct(names)), ' ') AS licenses,
-  array_to_string(list_filter(string_split_regex(l, '[ |]+'), lambda x: x <> ''), ' ') AS unmatched FROM ({step})
+WITH n AS (SELECT doc_id, {text} AS t FROM documents WHERE regexp_matches(lower(text), '{licenses.HINTS}')
+), s AS (SELECT doc_id, list_transform(list_transform(string_split(t, chr(12)), lambda x: string_split(x, chr(10))),
+    lambda ls: array_to_string(list_transform(ls, lambda x, i: CASE WHEN regexp_matches(array_to_string(ls[i:], chr(10)), {holder}) THEN 'copyright' ELSE x END), chr(10) || chr(10))) AS ss FROM n
+), m AS (SELECT doc_id, regexp_extract_all(chr(10) || array_to_string(ss, chr(12) || chr(12)) || chr(10), {pattern}, 1) AS ms FROM s
+), found AS (SELECT doc_id, ids FROM (SELECT doc_id, flatten(list_transform(ms, lambda x: CASE WHEN starts_with(x, '{licenses.TAG}')
+    THEN list_transform([{names}], lambda ns: CASE WHEN len(list_filter(ns, lambda z: z = '' OR contains(z, ' '))) = 0 THEN list_transform(ns, lambda y: 'spdx:' || y) ELSE [] END)[1]
+    ELSE string_split({known}[replace(x, chr(10) || chr(10), ' ')], ' ') END)) AS ids FROM m) WHERE len(ids) > 0)
+SELECT doc_id, array_to_string(ids, ' ') AS identifiers, array_to_string(list_sort(list_distinct(e.names)), ' ') AS licenses,
+  array_to_string(list_filter(string_split_regex(e.l, '[ |]+'), lambda x: x <> ''), ' ') AS unmatched
+FROM (SELECT doc_id, ids, list_reduce(list_prepend({start}, [{rules}]), lambda a, r: {taken}) AS e FROM found)
 """
 
 
