@@ -29,6 +29,8 @@ FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u s
 SKIPPED = frozenset("script style noscript template svg iframe object embed nav footer aside".split())
 CHROME = frozenset("nav footer aside".split())
 FOREIGN = frozenset("svg math".split())
+#: Elements that are sought among the open ones at each tag.
+_SOUGHT = FOREIGN | frozenset("p li dd dt a button option td th tr".split())
 
 _WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = re.compile(f"[{_WHITE}]+")
@@ -38,11 +40,15 @@ _BARE_ENTITY = re.compile(r"&(#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[a-zA-Z][a-zA-Z0-9]
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "parent", "children", "within")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
+        #: Which of the sought elements are this one or around it.
+        self.within: frozenset[str] = parent.within if parent is not None else frozenset()
+        if tag in _SOUGHT and tag not in self.within:
+            self.within |= {tag}
         if parent is not None:
             parent.children.append(self)
 
@@ -187,7 +193,7 @@ class Tree:
                     self.stack = [self.root, self.head]
             elif len(self.stack) < 3:
                 self._open_body()
-        foreign = any(n.tag in FOREIGN for n in self.stack)
+        foreign = not FOREIGN.isdisjoint(self.stack[-1].within)
         if not foreign:
             if name in CLOSES_P:
                 self._close("p", SCOPE | {"button"})
@@ -220,7 +226,9 @@ class Tree:
         return at
 
     def _close(self, name: str, until: frozenset[str]) -> None:
-        """Pop up to and with the nearest ``name``, unless an element of ``until`` comes first."""
+        """Pop up to and with the nearest ``name``, one of ``_SOUGHT``, unless an element of ``until`` comes first."""
+        if name not in self.stack[-1].within:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[k].tag
             if tag == name:
@@ -244,7 +252,7 @@ class Tree:
                 if self.stack[k].tag in SCOPE:
                     return
             return
-        if name == "p" and not any(n.tag == "p" for n in self.stack):
+        if name == "p" and "p" not in self.stack[-1].within:
             self._open_body()
             Node("p", {}, self.stack[-1])
             return
@@ -320,8 +328,12 @@ def parse(markup: str | None) -> dict:
     """The fields of ``PARSED`` of one document."""
     tree = Tree(markup or "")
     nodes = list(tree.root.walk())
-    banners = {id(n) for n in nodes if n.tag == "header" and any(d.tag == "nav" for d in n.walk())}
-    # Parents come before children, so one pass settles what lies within what.
+    # Parents come before children, so one pass each way settles what lies within what.
+    around_nav: set[int] = set()
+    for n in reversed(nodes):
+        if n.tag == "nav" or id(n) in around_nav:
+            around_nav.add(id(n.parent))
+    banners = {id(n) for n in nodes if n.tag == "header" and id(n) in around_nav}
     in_chrome: dict[int, bool] = {}
     in_head: dict[int, bool] = {}
     for n in nodes:

@@ -69,3 +69,16 @@ def test_files(spark, tmp_path):
     assert sorted(r.reason for r in rejects.collect()) == ["not UTF-8", "unsupported file type"]
     sniffed = from_frame(spark.createDataFrame([(1, " <p>"), (2, "x")], "k long, t string"), "k", "t").collect()
     assert [r.file_type for r in sniffed] == ["html", "markdown"]
+
+
+def test_deep_markup_takes_linear_time():
+    import time
+
+    from folioscope.sources.html import parse
+
+    n = 100_000
+    start = time.monotonic()
+    assert parse("<div>" * n + "x" + "</div>" * n)["body_text"] == "x"
+    assert parse("<header>" * n + "<nav>y</nav>" + "</header>" * n + "z")["body_text"] == "z"
+    # Quadratic time would be minutes.
+    assert time.monotonic() - start < 20
