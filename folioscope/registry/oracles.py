@@ -355,6 +355,7 @@ _MESSAGES = [
     ("og_image_alt", "og", "doc_id % 4 = 2", "'og:image:alt absent. Screen readers and multimodal retrieval read it.'"),
     ("og_description_absent", "og", "img IS NOT NULL", "'og:description absent. Platforms fall back to the meta description; AI previews may show arbitrary page text instead.'"),
     ("twitter_card_absent", "og", "img IS NOT NULL", "'twitter:card absent. X falls back to OG for text and image but renders the small card — add `twitter:card=summary_large_image`.'"),
+    ("og_type_absent", "og", "article", "'og:type absent on an Article page. Declare `og:type=article`.'"),
     ("canonical_absent", "meta", "doc_id % 2 = 1", "'Canonical link absent. Without it, near-duplicate URLs dilute Google''s index and confuse downstream retrieval.'"),
     ("viewport_absent", "meta", "true", "'Viewport meta absent. Mobile rendering breaks; Google indexes mobile-first.'"),
     ("h2_few", "content", "true", "'1 H2s in main content. H2s act as passage anchors for AI retrieval; one or zero H2s makes the page hard to chunk.'"),
@@ -367,6 +368,7 @@ _MESSAGES = [
     ("perf_font_display", "content", "doc_id % 6 = 0", "'External fonts present but no `font-display: swap|optional|fallback` declared. Invisible text during font load (FOIT) on slow networks.'"),
     ("perf_lcp_preload", "content", "true", "'No `<link rel=\"preload\" as=\"image\">` for the LCP image. Browser discovers the hero image only after the HTML parser reaches it.'"),
     ("link_generic", "content", "generic >= 3", "generic || ' generic anchor texts (\"click here\", \"read more\", \"link\"). Anchor text is topic signal — use descriptive phrases.'"),
+    ("date_mismatch_severe", "freshness", "article AND n >= 400", "'Schema dateModified is severely out of sync with visible signals (gap >180 days, or no visible date at all on long content). Refresh visible dates alongside the schema, not just the schema.'"),
 ]
 _FOUND = f"WITH {_audit_base()} " + " UNION ALL ".join(f"SELECT doc_id, {_Q(i)} AS rule_id, {_Q(f)} AS factor, {m} AS message FROM x WHERE {t}" for i, f, t, m in _MESSAGES)
 _FACTORS = f"SELECT rule_id, count(*) AS documents FROM ({_FOUND}) WHERE regexp_matches(lower(message), 'og:|og_|open graph|twitter:card|schema|json-ld') GROUP BY 1"
@@ -426,7 +428,7 @@ def oracle_sql() -> dict[str, str]:
         "authority_links": _AUTHORITY_LINKS,
         "page_performance": _PERFORMANCE,
         "audit_scores": _AUDIT_SCORES,
-        "audit_findings": _FOUND,
+        "rule_findings": _FOUND,
         "factor_filter": _FACTORS,
         "verify_diff": _VERIFY,
         "verify_long": _VERIFY_LONG,

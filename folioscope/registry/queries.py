@@ -185,19 +185,23 @@ def audit_scores(spark, sf_dir):
 
 
 def audit_findings(spark, sf_dir):
-    """The findings of metadata, previews, structure and links; those of prose have their own queries."""
+    """All findings of all rules; the tests hold the rules against fixtures, ``rule_findings`` has SQL for a part."""
+    return plan.findings_long(_audits(spark, sf_dir)).select("doc_id", "rule_id", "factor", "message")
+
+
+def rule_findings(spark, sf_dir):
+    """The findings of given rules: those of metadata, previews, structure and links."""
     rows = plan.findings_long(_audits(spark, sf_dir))
-    return rows.where(F.col("rule_id").isin(list(FINDINGS))).select("doc_id", "rule_id", "factor", "message")
+    return rows.where(F.col("rule_id").isin(FINDINGS)).select("doc_id", "rule_id", "factor", "message")
 
 
-#: Rules whose conditions the SQL of ``audit_findings`` states.
-FINDINGS = ["desc_absent", "desc_short", "desc_long", "og_title_absent", "og_image_absent", "og_image_relative", "og_image_dims", "og_image_alt", "og_description_absent", "twitter_card_absent", "canonical_absent", "viewport_absent", "h2_few", "img_alt_missing", "jsonld_absent", "stale_90", "perf_lazy", "perf_dims", "perf_blocking_script", "perf_font_display", "perf_lcp_preload", "link_generic"]
+#: Rules whose conditions the SQL of ``rule_findings`` states.
+FINDINGS = ["desc_absent", "desc_short", "desc_long", "og_title_absent", "og_image_absent", "og_image_relative", "og_image_dims", "og_image_alt", "og_description_absent", "og_type_absent", "twitter_card_absent", "canonical_absent", "viewport_absent", "h2_few", "img_alt_missing", "jsonld_absent", "stale_90", "perf_lazy", "perf_dims", "perf_blocking_script", "perf_font_display", "perf_lcp_preload", "link_generic", "date_mismatch_severe"]
 
 
 def factor_filter(spark, sf_dir):
     kept = plan.audit(samples.pages(spark, sf_dir), AS_OF, factors=plan.parse_factors("og, Schema"))
-    rows = plan.findings_long(kept).where(F.col("rule_id").isin(list(FINDINGS)))
-    return rows.groupBy("rule_id").agg(F.count("*").alias("documents"))
+    return plan.findings_long(kept).groupBy("rule_id").agg(F.count("*").alias("documents"))
 
 
 def verify_diff(spark, sf_dir):
@@ -336,7 +340,7 @@ def jsonld_documents(spark, sf_dir):
 QUERIES = [
     word_counts, sentence_stats, keyword_counts, keywords, people, organizations, organizations_by_row, evidence, snippet_candidate, position_bias, information_gain,
     copy_precision, ai_slop_density, ai_slop_signals, metatext_signals, metatext_verdict, freshness_dates, design_line_hits, design_documents, design_verdict, heading_order,
-    markdown_lite, page_metadata, page_body_text, page_links, authority_links, page_performance, audit_scores, audit_findings, factor_filter, verify_diff, verify_long, header_rules,
+    markdown_lite, page_metadata, page_body_text, page_links, authority_links, page_performance, audit_scores, audit_findings, rule_findings, factor_filter, verify_diff, verify_long, header_rules,
     image_probe, image_rules, jsonld, jsonld_documents, sarif_results, score_histogram, score_rank, quality_gate, rule_prevalence, findings_rollup, event_windows, event_sessions, audit_reports,
 ]
 
