@@ -121,3 +121,13 @@ def test_report_of_a_crawl(spark):
     assert [f.rule_id for f in r.response_findings] == ["xrobots_nofollow", "xrobots_noai", "og_image_small", "og_image_portrait"]
     assert list(r.suggestions[:4]) == [f.message for f in r.response_findings]
     assert (r.fetched.og_image_check.width, r.fetched.og_image_check.height) == (250, 400)
+
+
+def test_findings_of_all_rules_are_returned(spark):
+    from folioscope.plans.rules import audit_rules
+    from folioscope.registry import queries
+
+    rules = {r.id for r in audit_rules()}
+    found = {r.rule_id for r in queries.audit_findings(spark, "/root/testdata/sf0.001").collect()}
+    assert set(queries.FINDINGS) < rules
+    assert found - set(queries.FINDINGS) and found <= rules
