@@ -7,24 +7,39 @@ null or repeat, and other columns may have any name.  Tables without rows give n
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, language_id, near_dups, packing, suffix_dedup
-from folioscope.llm._spark import shared_dir
+from folioscope.llm._spark import bounded_batches, shared_dir
 from folioscope.llm.queries import tokenizer_path
 
 #: The stages learn and search; SQL can't express them.
 ORACLE_SQL = None
 
 
+def stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose Python workers get batches of bounded bytes; it is the caller's session that is set so."""
+
+    @functools.wraps(run)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return run(spark, docs, sf_dir)
+
+    return bounded
+
+
+@stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model accepts; null texts, and those without a letter, have none."""
     return language_id.accepted(docs, language_id.fit(docs))
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
@@ -34,6 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return near_dups.without_near_duplicates(docs)
 
 
+@stage
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte ranges that a document of a smaller doc_id has; cut characters stay whole.
 
@@ -46,11 +62,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item; null and empty texts overlap none."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences; an empty text is the end id alone."""
     return packing.pack_documents(docs, tokenizer_path())
@@ -69,7 +87,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's result is written as Parquet in the shared folder and read as the next one's input."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+    for name, step in STAGES:
+        step(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

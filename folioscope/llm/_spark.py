@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch of rows that a Python worker gets or returns, about.
+BATCH_BYTES = 2 << 20
+
 _own: dict[str, str] = {}
 
 
@@ -38,6 +41,17 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python workers batches of about ``BATCH_BYTES``, unless it has a bound of its own.
+
+    Spark's bound of 10,000 rows lets a partition of long texts be a single batch, of which executor and worker
+    each hold copies outside the heap.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def input_bytes(df: DataFrame) -> int:
     """The size of what a plan reads, by Catalyst's estimates: for scans that of their files; reads no data.
 

@@ -204,12 +204,6 @@ class Vocabulary:
         words = WordIds(path)
         return Vocabulary("<u2" if max(len(words.ends), end_id + 1) <= 1 << 16 else "<u4", words.ends if words.suffix else np.ones(len(words.ends), bool))
 
-    def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a column of documents, and their offsets."""
-        texts = _vec.strings(column)
-        ids = np.frombuffer(texts.buf, self.kind)
-        return ids, texts.off // ids.itemsize
-
     def terms(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, count) of each term of the documents, in order, and how many terms each document has in all."""
         last = self.ends[np.minimum(ids, len(self.ends) - 1)]
@@ -241,6 +235,8 @@ def _count(vocabulary: Vocabulary):
     """How many documents of a task have terms of each slot; as -1 all terms, as -2 all documents, as -3 all bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The ids are written; a worker that goes on to other steps needs no words for them.
+        _word_ids.cache_clear()
         total, rest = np.zeros(1 << SLOTS, np.int64), np.zeros(3, np.int64)
         for batch in batches:
             for a, b, ids, off in _slices(vocabulary, batch):
@@ -319,23 +315,36 @@ class Shard:
 
     def __init__(self, batches: list[pa.RecordBatch], corpus: Corpus, vocabulary: Vocabulary):
         self.doc_ids = [i for b in batches for i in b.column("doc_id").to_pylist()]
-        parts = [vocabulary.numbers(b.column("ids")) for b in batches]
-        self.ids = np.concatenate([v for v, _ in parts])
-        self.sizes = np.concatenate([np.diff(o) for _, o in parts])
+        ids, sizes, weights, n = [], [], [], 0
+        # A slice at a time: finding terms takes tens of bytes for each byte of ids.
+        for batch in batches:
+            for a, b, own, off in _slices(vocabulary, batch):
+                ids.append(own)
+                sizes.append(np.diff(off))
+                doc, terms, weight = self._weights(*vocabulary.terms(own, off), corpus)
+                weights.append((doc + np.int32(n), terms, weight))
+                n += b - a
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
         self.off = np.concatenate(([0], np.cumsum(self.sizes)))
-        self._index(*vocabulary.terms(self.ids, self.off), corpus)
+        doc, terms, weight = (np.concatenate(x) for x in zip(*weights, strict=True))
+        del ids, weights
+        self._index(doc, terms, weight)
 
-    def _index(self, doc: np.ndarray, terms: np.ndarray, tf: np.ndarray, length: np.ndarray, corpus: Corpus) -> None:
-        n = len(self.doc_ids)
+    @staticmethod
+    def _weights(doc: np.ndarray, terms: np.ndarray, tf: np.ndarray, length: np.ndarray, corpus: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, BM25 weight) of the terms that have one."""
         idf = corpus.idf[_slot(terms)]
         keep = idf > 0
         terms, tf, doc, idf = terms[keep], tf[keep].astype(np.float32), doc[keep], idf[keep]
         norm = (K1 * (1 - B + B * length / corpus.mean_terms)).astype(np.float32)
-        weight = idf * tf * np.float32(K1 + 1) / (tf + norm[doc])
+        return doc.astype(np.int32), terms, idf * tf * np.float32(K1 + 1) / (tf + norm[doc])
+
+    def _index(self, doc: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> None:
+        n = len(self.doc_ids)
         distinct, term, df = np.unique(terms, return_inverse=True, return_counts=True)
         # Terms that only one document has find no neighbour.
         keep = df[term] > 1
-        doc, term, weight = doc[keep].astype(np.int32), term[keep].astype(np.int32), weight[keep]
+        doc, term, weight = doc[keep], term[keep].astype(np.int32), weight[keep]
         self.doc_terms, self.doc_off = term, np.searchsorted(doc, np.arange(n + 1))
         by = np.argsort(self.doc_terms, kind="stable")
         self.post_doc, self.post_weight = doc[by], weight[by]
@@ -501,8 +510,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
     slots = read.select("ids", "n_bytes").mapInArrow(_vec.tidy(_count(vocabulary)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     corpus = Corpus.of(slots.column("slot").to_numpy(), slots.column("n").to_numpy())
     shards = max(1, math.ceil(corpus.n_bytes / shard_bytes))
-    placed = read.mapInArrow(_vec.tidy(_place(corpus, vocabulary)), f"key long, {columns}")
-    placed = placed.mapInArrow(_vec.tidy(_part(_bounds(read, corpus, vocabulary, shards))), f"part long, key long, {columns}")
+    place, part = _place(corpus, vocabulary), _part(_bounds(read, corpus, vocabulary, shards))
+    # One function, so that a task has one Python worker.
+    placed = read.mapInArrow(_vec.tidy(lambda batches: part(place(batches))), f"part long, key long, {columns}")
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.repartition(max(least, min(shards, PARTS)), "part").sortWithinPartitions("part", "key", "tie", "n_bytes")
     ddl = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _COLUMNS) + (", ids array<int>" if with_ids else "")

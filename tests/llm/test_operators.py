@@ -541,6 +541,31 @@ def _indexed(texts):
     return packing.Shard(batches, corpus, vocabulary), [t.split() for t in texts]
 
 
+def test_a_shard_is_indexed_in_bounded_memory():
+    """Terms are found a slice at a time, not for all ids of a shard at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    words = np.array([f"w{k}" for k in range(2000)])
+    drawn = np.random.default_rng(5).integers(0, len(words), (600, 1500))
+    texts = [" ".join(words[row]) for row in drawn]
+    ids, path = pa.array(range(len(texts))), queries.tokenizer_path()
+    vocabulary = packing.Vocabulary.of(path, 2)
+    batches = list(packing._read(path, 2, vocabulary.kind)(iter([pa.record_batch([ids, ids, pa.array(texts)], ["doc_id", "tie", "text"])])))
+    corpus = packing.Corpus(len(texts), sum(map(len, texts)), 1500.0, np.ones(1 << packing.SLOTS, np.float32))
+    tracemalloc.start()
+    shard = packing.Shard(batches, corpus, vocabulary)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(shard.ids) == shard.off[-1] > 600 * 1500
+    assert peak < 20 * shard.ids.nbytes
+    whole = vocabulary.terms(shard.ids, shard.off)
+    assert len(shard.doc_terms) == len(whole[0])  # all have a weight, and other documents that have them
+    assert (shard.doc_off == np.searchsorted(whole[0], np.arange(601))).all()
+
+
 def _bm25(words, seed):
     """Scores of all documents, by hand."""
     from math import log

@@ -67,3 +67,29 @@ def test_pipeline(spark, duck):
     kept = {r.doc_id for r in docs.collect()}
     assert not kept & {i for (i,) in leaks}
     assert corpus_pipeline.run(spark, TABLES).select("doc_id").distinct().count() == len(kept)
+
+
+def test_pipeline_stages_send_batches_of_bounded_bytes(spark):
+    """Long texts in one partition, which Spark alone would send to a worker in one batch."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from folioscope.llm import _spark
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word ', id, ' '), 4000) AS text")
+    docs, stages = spark.read.parquet(f"{TABLES}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    for stage in ("language_id", "suffix_dedup", "decontamination", "packing"):
+        spark.conf.unset(name)
+        stages[stage](spark, docs, TABLES)
+        found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 4 * _spark.BATCH_BYTES and max(found) < 1.5 * _spark.BATCH_BYTES
+    # What the session has chosen itself is left alone.
+    spark.conf.set(name, "1m")
+    _spark.bounded_batches(spark)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
